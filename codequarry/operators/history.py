@@ -62,43 +62,42 @@ def blame(issues: DataFrame, owners: DataFrame, *, spread_by: list[str]) -> Data
     )
 
 
-def version_before(
-    commits: DataFrame, versions: DataFrame, *, width: int = SEQ_BUCKET
-) -> DataFrame:
-    """``commits`` (file, seq) plus ``before_seq``: the greatest version of the file with
-    a smaller ``seq``, NULL for the first.
+def _earlier_max(rows: DataFrame, width: int, levels: int) -> DataFrame:
+    """``rows`` (file, seq, top) plus ``before``: the greatest ``top`` at a smaller seq.
 
-    An as-of join in two levels. The sequence is cut into ranges of ``width``: inside a
-    range a running maximum finds the version, and the last version of earlier ranges
-    is carried in from one summary row per range. So a file with a third of all versions
-    is many small groups, and no commit meets every version of its file.
+    A prefix scan over ranges: a running maximum inside each range of ``width``, and the
+    maximum of all earlier ranges from one summary row per range, found the same way one
+    level up. Every group is as small as its range, however many rows a file has.
     """
-    bucket = F.floor(F.col("seq") / width).alias("bucket")
-    points = versions.select("file", "seq", bucket, F.lit(True).alias("is_version"))
-    asked = commits.select("file", "seq", bucket, F.lit(False).alias("is_version"))
-    # Distinct on both sides: a group then has at most 2 x width rows.
-    both = points.distinct().unionByName(asked.distinct())
-    inside = Window.partitionBy("file", "bucket").orderBy("seq").rangeBetween(
-        Window.unboundedPreceding, -1
-    )
-    local = both.withColumn(
-        "local_seq", F.max(F.when(F.col("is_version"), F.col("seq"))).over(inside)
-    ).where(~F.col("is_version"))
-    summary = both.groupBy("file", "bucket").agg(
-        F.max(F.when(F.col("is_version"), F.col("seq"))).alias("top")
+    order = Window.partitionBy("file", "bucket") if levels else Window.partitionBy("file")
+    inside = order.orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    if not levels:
+        return rows.withColumn("before", F.max("top").over(inside))
+    split = rows.withColumn("bucket", F.floor(F.col("seq") / width).cast("long"))
+    local = split.withColumn("here", F.max("top").over(inside))
+    ranges = split.groupBy("file", "bucket").agg(F.max("top").alias("top"))
+    carried = _earlier_max(
+        ranges.withColumnRenamed("bucket", "seq"), width, levels - 1
+    ).select("file", F.col("seq").alias("bucket"), "before")
+    return local.join(carried, ["file", "bucket"]).select(
+        *rows.columns, F.coalesce("here", "before").alias("before")
     )
-    earlier = Window.partitionBy("file").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = summary.select(
-        "file", "bucket", F.max("top").over(earlier).alias("carried_seq")
-    )
-    found = local.join(carried, ["file", "bucket"]).select(
-        "file", "seq", F.coalesce("local_seq", "carried_seq").alias("before_seq")
+
+
+def version_before(
+    commits: DataFrame, versions: DataFrame, *, width: int = SEQ_BUCKET, levels: int = 2
+) -> DataFrame:
+    """``commits`` (file, seq) plus ``before_seq``: the greatest version of the file with
+    a smaller ``seq``, NULL for the first. No commit meets every version of its file."""
+    asked = commits.select("file", "seq").distinct()
+    points = versions.select("file", "seq", F.col("seq").alias("top")).unionByName(
+        asked.withColumn("top", F.lit(None).cast("long"))
     )
-    return spread_lookup(
-        commits, found, ["file", "seq"], spread_by=list(commits.columns)
+    merged = points.groupBy("file", "seq").agg(F.max("top").alias("top"))
+    found = _earlier_max(merged, width, levels).select(
+        "file", "seq", F.col("before").alias("before_seq")
     )
+    return commits.join(found, ["file", "seq"])
 
 
 def excerpt(content: Column, line_no: Column, context: int = 10) -> Column:
@@ -152,18 +151,23 @@ def investigate(
 ) -> DataFrame:
     """``issues`` (issue_id, file, line_no, …) plus ``archaeology``.
 
-    ``line_history`` also carries author, author_mail, ts_epoch, summary and ``seq``, the
-    place of the commit in the file's history; ``versions``: file, seq, content.
+    ``line_history`` also carries author, author_mail, ts_epoch, summary and
+    ``commit_seq``, the place of the commit in the file's history; ``versions``: file,
+    seq, content.
     """
     owned = blame(issues, line_owners(line_history), spread_by=["issue_id"])
-    commits = owned.where(F.col("seq").isNotNull()).select("file", "seq").distinct()
+    commits = owned.where(F.col("commit_seq").isNotNull()).select(
+        "file", F.col("commit_seq").alias("seq")
+    ).distinct()
     before = version_before(commits, versions.select("file", "seq"))
     text = before.join(
         versions.select("file", F.col("seq").alias("before_seq"),
                         F.col("content").alias("before_content")),
         ["file", "before_seq"],
-    ).select("file", "seq", "before_content")
-    told = spread_lookup(owned, text, ["file", "seq"], spread_by=["issue_id"], how="left")
+    ).select("file", F.col("seq").alias("commit_seq"), "before_content")
+    told = spread_lookup(
+        owned, text, ["file", "commit_seq"], spread_by=["issue_id"], how="left"
+    )
     return told.select(*issues.columns, archaeology(as_of).alias("archaeology"))
 
 

@@ -143,10 +143,14 @@ def dashboard(
     measured: DataFrame | None = None, high_confidence: float = 0.80,
 ) -> DataFrame:
     """Everything a results page shows, as one row; lists are bounded top-k results."""
-    def rows(df: DataFrame, *columns: str) -> Column:
-        listed = df.agg(F.collect_list(F.struct(*columns)).alias("x"))
-        return listed.select("x").scalar()
-
+    def rows(df: DataFrame, by: list[Column], *columns: str) -> Column:
+        """A bounded result as one array, ordered by ``by``."""
+        keyed = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(by)],
+                         F.struct(*columns).alias("row"))
+        listed = df.agg(F.array_sort(F.collect_list(keyed)).alias("x"))
+        return listed.select(F.transform("x", lambda r: r["row"]).alias("x")).scalar()
+
+    most = [-F.col("n")]
     c = F.coalesce("confidence", F.lit(0.0))
     n = F.count(F.lit(1))
     out = issues.agg(
@@ -161,15 +165,18 @@ def dashboard(
         out.withColumn("total_chunks", chunks.agg(F.count(F.lit(1))).scalar())
         .withColumn("total_patches", patches.agg(F.count(F.lit(1))).scalar())
         .withColumn("patch_metrics", totals.select(F.struct("*")).scalar())
-        .withColumn("severity", rows(severity_counts(issues), "severity", "n"))
-        .withColumn("issue_types", rows(type_counts(issues), "type", "n"))
-        .withColumn("top_files", rows(top_base_names(issues), "file", "n"))
-        .withColumn("conf_buckets", rows(confidence_buckets(issues), "bucket", "n"))
+        .withColumn("severity", rows(severity_counts(issues), most, "severity", "n"))
+        .withColumn("issue_types", rows(type_counts(issues), most, "type", "n"))
+        .withColumn("top_files", rows(
+            _top(issues, T.base_name(_or_unknown("file")), "file", 8),
+            [*most, F.col("first_seen")], "file", "n"))
+        .withColumn("conf_buckets", rows(
+            confidence_buckets(issues), [F.lit(0)], "bucket", "n"))
         .withColumn("recent_issues", rows(
-            recent_issues(issues), "type", "severity", "confidence", "function", "file",
+            recent_issues(issues), [-c, F.col("seq")], "type", "severity", "confidence", "function", "file",
             "line_number", "message"))
         .withColumn("patches", rows(
-            first_patches(patches), "function", "file", "issue_type", "patch_source",
+            first_patches(patches), [F.col("seq")], "function", "file", "issue_type", "patch_source",
             "suggested_fix"))
     )
     if measured is not None:

@@ -185,7 +185,7 @@ def _pack(df: DataFrame, keys: list[str], id_column: str, salts: int) -> DataFra
         def flush():
             row = [[v] for v in held]
             row.append([np.concatenate(ids).tolist()])
-            row.append([np.concatenate(blocks).astype(np.float32).tobytes()])
+            row.append([np.concatenate(blocks).tobytes()])
             arrays = [pa.array(c, f.type) for c, f in zip(row, wanted)]
             return pa.RecordBatch.from_arrays(arrays, schema=wanted)
 
@@ -296,10 +296,8 @@ def _pair_products(k: int, schema):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                a = np.frombuffer(row["query_matrix"], np.float32)
-                b = np.frombuffer(row["matrix"], np.float32)
-                a = a.reshape(len(row["query_ids"]), -1).astype(np.float64)
-                b = b.reshape(len(row["ids"]), -1).astype(np.float64)
+                a = np.frombuffer(row["query_matrix"]).reshape(len(row["query_ids"]), -1)
+                b = np.frombuffer(row["matrix"]).reshape(len(row["ids"]), -1)
                 yield _hits_batch(
                     row["query_ids"], row["ids"], np.round(a @ b.T, 6), k, schema
                 )

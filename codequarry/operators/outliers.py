@@ -103,7 +103,7 @@ def fit(
     picked = drawn.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample)
     max_depth = math.ceil(math.log2(max(sample, 2)))
 
-    def build(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
         x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
         feature, threshold, length = _grow(
