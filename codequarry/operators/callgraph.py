@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as fixed
 from ..functions import text as T
-from ..plans.checkpoints import cut
-from ..plans.skew import spread_lookup
+from ..plans.checkpoints import cut, cut_counted
+from ..plans.skew import spread_lookup, step_join
 from .parse import call_sites, functions
 
 KEY = ["repo", "name"]
@@ -46,10 +46,6 @@ def call_edges(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
-
-
 def _union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -65,29 +61,30 @@ def _compact(parts: list[DataFrame]) -> list[DataFrame]:
 def reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names from which a sink can be reached, sinks included: a frontier that walks the
     edges backwards, one join per step."""
-    frontier = cut(nodes.where("is_sink").select(*KEY))
+    frontier, n = cut_counted(nodes.where("is_sink").select(*KEY))
     parts = [frontier]
-    while not _is_empty(frontier):
-        callers = spread_lookup(
-            edges.select("repo", "caller", "callee"),
-            frontier.withColumnRenamed("name", "callee"),
-            ["repo", "callee"], spread_by=["caller"],
+    while n:
+        callers = step_join(
+            frontier.withColumnRenamed("name", "callee"), n,
+            edges.select("repo", "caller", "callee"), ["repo", "callee"],
+            spread_by=["caller"], frontier_is_hot=False,
         ).select("repo", F.col("caller").alias("name")).distinct()
-        frontier = cut(callers.join(_union_all(parts), KEY, "left_anti"))
+        frontier, n = cut_counted(callers.join(_union_all(parts), KEY, "left_anti"))
         parts = _compact([*parts, frontier])
     return _union_all(parts)
 
 
 def _live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges into names that reach a sink, with the callee's sink mark."""
-    live = reaching(edges, nodes).join(
-        nodes.select(*KEY, "is_sink"), KEY
-    ).withColumnRenamed("name", "callee")
-    return cut(
-        spread_lookup(edges, live, ["repo", "callee"], spread_by=["caller"]).select(
-            "repo", "caller", "callee", "ordinal", "is_sink"
-        )
+    live, n = cut_counted(
+        reaching(edges, nodes).join(nodes.select(*KEY, "is_sink"), KEY)
+        .withColumnRenamed("name", "callee")
     )
+    found = step_join(
+        live, n, edges, ["repo", "callee"], spread_by=["caller"],
+        frontier_is_hot=False,
+    )
+    return cut(found.select("repo", "caller", "callee", "ordinal", "is_sink"))
 
 
 def _follow_first(live: DataFrame, sources: DataFrame):
@@ -101,27 +98,33 @@ def _follow_first(live: DataFrame, sources: DataFrame):
             F.min_by(F.struct("callee", "is_sink"), F.col("ordinal")).alias("step")
         )
     )
-    state = cut(
+    state, n = cut_counted(
         sources.select(
             "repo", F.col("name").alias("source"), F.col("name").alias("caller"),
             F.array("name").alias("path"),
         )
     )
+    open_end = F.expr("not is_sink and not again")
     done, stuck = [], []
-    while not _is_empty(state):
-        moved = cut(
-            spread_lookup(state, first, ["repo", "caller"], spread_by=["source"]).select(
+    while n:
+        steps = step_join(
+            state, n, first, ["repo", "caller"], spread_by=["source"],
+            frontier_is_hot=True,
+        )
+        moved, n = cut_counted(
+            steps.select(
                 "repo", "source", "path", F.col("step.callee").alias("at"),
                 F.col("step.is_sink").alias("is_sink"),
                 F.array_contains("path", F.col("step.callee")).alias("again"),
-            )
+            ),
+            open_end,
         )
         grown = F.concat("path", F.array("at"))
         done = _compact([*done, moved.where("is_sink and not again").select(
             "repo", "source", grown.alias("path"))])
         stuck = _compact([*stuck, moved.where("again").select(
             "repo", F.col("source").alias("name"))])
-        state = moved.where("not is_sink and not again").select(
+        state = moved.where(open_end).select(
             "repo", "source", F.col("at").alias("caller"), grown.alias("path")
         )
     return done, stuck
@@ -134,20 +137,20 @@ def _search(live: DataFrame, sources: DataFrame) -> DataFrame:
     the answer, so that one is kept and improved round by round until nothing changes.
     """
     key = ["repo", "source", "at"]
-    no_calls = live.select("ordinal").schema["ordinal"].dataType
-    best = cut(
+    no_calls = live.schema["ordinal"].dataType.simpleString()
+    best, n = cut_counted(
         sources.select(
             "repo", F.col("name").alias("source"), F.col("name").alias("at"),
-            F.array().cast(f"array<{no_calls.simpleString()}>").alias("calls"),
+            F.array().cast(f"array<{no_calls}>").alias("calls"),
             F.array("name").alias("path"), F.lit(False).alias("is_sink"),
         )
     )
     frontier = best
-    while not _is_empty(frontier):
-        steps = spread_lookup(
+    while n:
+        steps = step_join(
             frontier.where("not is_sink").withColumnRenamed("at", "caller")
             .drop("is_sink"),
-            live, ["repo", "caller"], spread_by=["source"],
+            n, live, ["repo", "caller"], spread_by=["source"], frontier_is_hot=True,
         ).where(~F.array_contains("path", F.col("callee")))
         found = steps.select(
             "repo", "source", F.col("callee").alias("at"),
@@ -157,7 +160,7 @@ def _search(live: DataFrame, sources: DataFrame) -> DataFrame:
             ).alias("new"),
         ).groupBy(*key).agg(F.min_by("new", F.col("new.calls")).alias("new"))
         old = best.select(*key, F.col("calls").alias("old_calls"))
-        frontier = cut(
+        frontier, n = cut_counted(
             found.join(old, key, "left")
             .where(F.col("old_calls").isNull() | (F.col("new.calls") < F.col("old_calls")))
             .select(*key, "new.*")
@@ -180,20 +183,18 @@ def sink_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     further sink, and a walk ends at the first sink it meets.
     """
     first = edges.groupBy("repo", "caller", "callee").agg(F.min("ordinal").alias("ordinal"))
-    edges, nodes = cut(first), cut(nodes)
+    edges, nodes = cut(first), cut(nodes.select(*KEY, "is_source", "is_sink"))
     live = _live_edges(edges, nodes)
     sources = nodes.where("is_source").select(*KEY)
     done, stuck = _follow_first(live, sources)
-    parts = list(done)
+    if not done:
+        done = [sources.where(F.lit(False)).select(
+            "repo", F.col("name").alias("source"), F.array("name").alias("path"))]
     if stuck:
-        rest = cut(_union_all(stuck))
-        if not _is_empty(rest):
-            parts.append(_search(live, rest))
-    if not parts:
-        return sources.select(
-            "repo", F.col("name").alias("source"), F.array("name").alias("path")
-        ).where(F.lit(False))
-    return _union_all(parts)
+        rest, n = cut_counted(_union_all(stuck))
+        if n:
+            done.append(_search(live, rest))
+    return _union_all(done)
 
 
 def taint_issues(paths: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -43,6 +43,7 @@ _PARSED = to_arrow_type(PARSE_TYPE)
 _FACTS = to_arrow_type(FACT_TYPE)
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_MAY_HAVE_FACTS = r"eval|exec|print|while|assert|except|[\[{]|[^\x00-\x7f]"
 # What a parser may raise on hostile input; one bad text must not end a task.
 PARSE_FAILURES = (SyntaxError, ValueError, RecursionError, MemoryError)
 
@@ -204,8 +205,16 @@ def function_args(parsed: DataFrame) -> DataFrame:
 
 
 def with_facts(chunks: DataFrame) -> DataFrame:
-    """``chunks`` plus their syntax facts; text that does not parse has none."""
-    return chunks.withColumn("facts", _syntax_facts.asNondeterministic()("code"))
+    """``chunks`` plus their syntax facts; text that does not parse has none.
+
+    A chunk without any word or bracket a fact starts from is not sent to the parser.
+    (Names with other than ASCII letters may still read as one of the words.)
+    """
+    code = F.when(F.col("code").rlike(_MAY_HAVE_FACTS), F.col("code"))
+    facts = _syntax_facts.asNondeterministic()(code)
+    return chunks.withColumn(
+        "facts", F.coalesce(facts, F.array().cast(FACT_TYPE))
+    )
 
 
 def parses(text):

@@ -1,33 +1,53 @@
 """Where lineage is cut.
 
-Only reliable checkpoints are used: they live on shared storage, so a lost executor
-costs a re-read and not the whole history of a loop.
+A result that is read more than once, or that a loop builds on, is written as a Parquet
+table to shared storage and read back. A lost executor then costs a re-read, later reads
+take only the columns they need, and the optimizer knows the true size of the table.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..errors import CheckpointError
 
+_numbers = itertools.count()
+_local_folders: dict[str, str] = {}
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+
+def work_folder(spark: SparkSession) -> str:
+    """Folder of this application below the shared folder of the cluster."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir"
+    shared = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
     )
-    if not folder:
+    app = context.applicationId
+    if not shared:
         if not context.master.startswith("local"):
             raise CheckpointError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="codequarry-")
-    context.setCheckpointDir(folder)
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="codequarry-")
+        shared = _local_folders[app]
+    return f"{shared.rstrip('/')}/codequarry-{app}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute once, store, and continue from the stored rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{next(_numbers):06d}"
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, n: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`cut`, and a count taken while the rows are written (all rows, or those where
+    ``n`` holds), so that a loop can decide without another job."""
+    watch = Observation()
+    counted = F.count(F.lit(1)) if n is None else F.count_if(n)
+    stored = cut(df.observe(watch, counted.alias("n")))
+    return stored, watch.get.get("n", 0)

@@ -31,9 +31,26 @@ def spread_lookup(
     return salted.join(copies, [*keys, _SALT], how).drop(_SALT)
 
 
-def spread_count(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Row count per key (partial counts first, so hot keys do not matter)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+# A stored side of at most this many rows (of names and numbers, some tens of MB) may be
+# sent to every task.
+SMALL_ROWS = 200_000
+
+
+def step_join(
+    frontier: DataFrame, n_frontier: int, table: DataFrame, keys: list[str],
+    *, spread_by: list[str], frontier_is_hot: bool,
+) -> DataFrame:
+    """Inner join of a loop's frontier, whose row count is known, with a large table.
+
+    A small frontier is broadcast, so the table is not shuffled. A large one goes through
+    :func:`spread_lookup`: ``frontier_is_hot`` says which side may repeat a key without
+    bound and is spread; the other side is copied.
+    """
+    if n_frontier <= SMALL_ROWS:
+        return table.join(F.broadcast(frontier), keys)
+    if frontier_is_hot:
+        return spread_lookup(frontier, table, keys, spread_by=spread_by)
+    return spread_lookup(table, frontier, keys, spread_by=spread_by)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

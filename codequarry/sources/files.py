@@ -164,10 +164,11 @@ def decode_strict(raw: DataFrame, repo: Column | str) -> tuple[DataFrame, DataFr
     return files, rejects
 
 
-def decode_lossy(raw: DataFrame, repo: Column | str) -> DataFrame:
+def decode_lossy(raw: DataFrame, repo: Column | str, *also: str) -> DataFrame:
     """Text of every readable file; bad bytes become the replacement character."""
     repo = F.lit(repo) if isinstance(repo, str) else repo
     return raw.where(F.col("body").isNotNull()).select(
         repo.alias("repo"), "file_path", "rel_path",
         _unix_newlines(F.make_valid_utf8(F.col("body").cast("string"))).alias("content"),
+        *also,
     )

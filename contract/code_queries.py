@@ -9,6 +9,7 @@ from codequarry.config import AnalysisConfig
 from codequarry.functions import text as T
 from codequarry.operators import callgraph, chunks as C, conventions, issues as I, parse
 from codequarry.operators import embeddings, rules
+from codequarry.plans.checkpoints import cut
 from codequarry.sources import files as S
 
 from .registry import query
@@ -440,7 +441,7 @@ WHERE t.is_consistent AND CASE t.pattern_name
     ELSE NOT CASE t.dominant_value WHEN 'snake_case' THEN snake ELSE camel END
          AND length(m.function_name) > 4 AND camel <> snake END""")
 def q_convention_violations(spark, sf_dir):
-    corpus = _named_chunks(spark, sf_dir)
+    corpus = cut(_named_chunks(spark, sf_dir))
     return conventions.violations(corpus, conventions.measure(corpus)).select(
         "chunk_id", "function", "file", "line_number", "severity", "confidence",
         "pattern", "subtype", "message",
@@ -465,7 +466,7 @@ SELECT 'dna_violation', 'low', 0.75, function_name, chunk_id,
 FROM mark, prof WHERE pattern_name = 'error_handling' AND is_consistent
   AND dominant_value = 'custom_exceptions' AND generic""")
 def q_issue_union(spark, sf_dir):
-    corpus = chunks(spark, sf_dir)
+    corpus = cut(chunks(spark, sf_dir))
     everything = I.union(
         rules=rules.scan(corpus),
         convention=conventions.violations(corpus, conventions.measure(corpus)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codequarry import fixed_values as fixed
 from codequarry.operators import history, issues as I, metrics, patches as P
 from codequarry.operators import rules, verification as V
+from codequarry.plans.checkpoints import cut
 
 from . import views
 from .code_queries import CTES, chunks
@@ -305,8 +306,9 @@ _MESSAGE = f"""CASE type {' '.join(
 
 
 def _work(spark, sf_dir):
-    corpus = chunks(spark, sf_dir)
-    found = I.union(rules=rules.scan(corpus))
+    # Both tables are read more than once, so they are stored first.
+    corpus = cut(chunks(spark, sf_dir))
+    found = cut(I.union(rules=rules.scan(corpus)))
     return P.with_chunks(found, corpus)
 
 

@@ -149,7 +149,11 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", F.floor(F.col("event_id") / EVENTS_PER_FILE).alias("block"),
         F.struct("event_id", text.alias("text")).alias("piece"),
     )
-    files = pieces.groupBy("user_id", "block").agg(
+    # The shuffle of the grouping, with its number of tasks fixed: files are small in
+    # bytes but dear to parse, so they should not be merged into few tasks afterwards.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = pieces.repartition(tasks, "user_id", "block")
+    files = placed.groupBy("user_id", "block").agg(
         F.array_sort(F.collect_list("piece")).alias("pieces")
     )
     folder = (
