@@ -171,7 +171,9 @@ def dashboard(
             _top(issues, T.base_name(_or_unknown("file")), "file", 8),
             [*most, F.col("first_seen")], "file", "n"))
         .withColumn("conf_buckets", rows(
-            confidence_buckets(issues), [F.lit(0)], "bucket", "n"))
+            confidence_buckets(issues),
+            [F.array_position(F.array(*[F.lit(b) for b, _ in BUCKETS]), F.col("bucket"))],
+            "bucket", "n"))
         .withColumn("recent_issues", rows(
             recent_issues(issues), [-c, F.col("seq")], "type", "severity", "confidence", "function", "file",
             "line_number", "message"))
