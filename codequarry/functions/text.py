@@ -15,14 +15,27 @@ WS_CHARS = "".join(
 )
 # str.isalnum() characters and the underscore.
 WORD = r"[\p{L}\p{N}_]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# Line breaks other than \n and the pair \r\n.
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def lines(text: Column) -> Column:
-    """``str.splitlines()``: a break at the very end opens no further line."""
-    body = F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", "")
+    """``str.splitlines()``: a break at the very end opens no further line.
+
+    Texts with breaks other than ``\\n`` are brought to ``\\n`` first; all others go
+    straight to the split.
+    """
+    unix = F.when(
+        text.rlike(f"[{OTHER_BREAKS}]"),
+        F.translate(
+            F.replace(text, F.lit("\r\n"), F.lit("\n")), OTHER_BREAKS,
+            "\n" * len(OTHER_BREAKS),
+        ),
+    ).otherwise(text)
     none = F.array().cast("array<string>")
-    return F.when(text == "", none).otherwise(F.split(body, LINE_BREAK))
+    return F.when(text == "", none).otherwise(
+        F.split(F.regexp_replace(unix, r"\n\z", ""), "\n")
+    )
 
 
 def strip(text: Column) -> Column:

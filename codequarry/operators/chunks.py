@@ -28,8 +28,7 @@ def _cut_points(rows: Column, max_lines: int) -> Column:
     )
 
 
-def _parts(code: Column, max_lines: int) -> Column:
-    rows = T.lines(code)
+def _parts(rows: Column, max_lines: int) -> Column:
     cuts = _cut_points(rows, max_lines)
     starts = F.concat(F.array(F.lit(1)), F.transform(cuts, lambda c: c + 1))
     ends = F.concat(cuts, F.array(F.size(rows)))
@@ -53,26 +52,22 @@ def chunk_functions(
     """
     keep = [c for c in ("repo", "rel_path", "func_seq", "is_nested")
             if c in functions.columns]
-    stripped = functions.withColumn("code", T.strip(F.col("code")))
-    sized = stripped.withColumn("n_lines", F.size(T.lines(F.col("code"))))
-    long_enough = sized.where(F.col("n_lines") >= config.min_chunk_lines)
-
-    parts = F.when(
-        F.col("n_lines") <= config.max_chunk_lines, F.array("code")
-    ).otherwise(_parts(F.col("code"), config.max_chunk_lines))
-    measured = long_enough.withColumn(
-        "parts",
-        F.transform(
-            parts, lambda p: F.struct(p.alias("code"), F.size(T.lines(p)).alias("n"))
-        ),
+    # Short functions get no parts and fall out after the explode: as a filter before it,
+    # the test would be pushed down and split every text a second time.
+    rows = functions.withColumn("code", T.strip(F.col("code"))).withColumn(
+        "rows", T.lines(F.col("code"))
     )
-    exploded = measured.select(
+    n_lines = F.size("rows")
+    parts = F.when(
+        (n_lines >= config.min_chunk_lines) & (n_lines <= config.max_chunk_lines),
+        F.array("code"),
+    ).when(n_lines > config.max_chunk_lines, _parts(F.col("rows"), config.max_chunk_lines))
+    texts = rows.withColumn("parts", parts)
+    exploded = texts.select(
         *keep, "function_name", "file_path", F.col("start_line").alias("func_start"),
-        F.col("parts.n").alias("sizes"),
-        # Outer, or the optimizer would add a filter that builds the parts once more;
-        # there is always one part.
+        F.transform("parts", lambda p: F.size(T.lines(p))).alias("sizes"),
         F.posexplode_outer("parts").alias("part", "p"),
-    )
+    ).where(F.col("part").isNotNull())
     before = F.aggregate(
         F.slice("sizes", F.lit(1), F.col("part")), F.lit(0), lambda acc, n: acc + n
     )
@@ -82,8 +77,8 @@ def chunk_functions(
         T.chunk_id(F.col("file_path"), F.col("function_name"), F.col("start_line"))
         .alias("chunk_id"),
         "function_name", "file_path", "start_line",
-        (F.col("start_line") + F.col("p.n")).cast("int").alias("end_line"),
-        F.col("p.code").alias("code"),
+        (F.col("start_line") + F.col("sizes")[F.col("part")]).cast("int").alias("end_line"),
+        F.col("p").alias("code"),
     )
 
 

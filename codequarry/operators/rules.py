@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,8 +15,9 @@ from .parse import with_facts
 
 # `/`, spaces, `0` that starts neither a decimal fraction nor a longer word.
 DIVISION_BY_ZERO = rf"/{T.WS}*0(?!\.\p{{Nd}}|{T.WORD})"
+# (The look-ahead only names the first letters, which rejects most positions at once.)
 SECRET = (
-    rf"(?iu)(?<!{T.WORD})({'|'.join(fixed.SECRET_NAMES)}){T.WS}*={T.WS}*"
+    rf"(?iu)(?=[past])(?<!{T.WORD})({'|'.join(fixed.SECRET_NAMES)}){T.WS}*={T.WS}*"
     r"['\"][^\n]+['\"]"
 )
 
@@ -24,7 +27,8 @@ class Rule:
     """A finding for each line or fact where ``predicate`` holds.
 
     ``predicate``, ``severity`` and ``message`` get the line or fact as a struct with
-    ``line_text`` (and ``kind``, ``name``, ``flag`` for facts).
+    ``line_text`` (and ``kind``, ``name``, ``flag`` for facts).  ``hint`` may tell from a
+    whole text that no line of it can match.
     """
 
     issue_type: str
@@ -32,6 +36,7 @@ class Rule:
     predicate: Callable[[Column], Column]
     severity: Callable[[Column], Column]
     message: Callable[[Column], Column]
+    hint: Callable[[Column], Column] | None = None
 
 
 def _always(value: str) -> Callable[[Column], Column]:
@@ -45,6 +50,19 @@ def _simple(issue_type: str, over: str, severity: str, predicate) -> Rule:
     )
 
 
+def _pattern(issue_type: str, severity: str, pattern: str, *needs: str) -> Rule:
+    """A line rule by pattern. Text that lacks a needed character, or does not match as a
+    whole, has no matching line and is not split."""
+
+    def hint(text: Column) -> Column:
+        return reduce(and_, [text.contains(c) for c in needs]) & text.rlike(pattern)
+
+    return Rule(
+        issue_type, "line", lambda x: x["line_text"].rlike(pattern), _always(severity),
+        _always(fixed.RULE_MESSAGES[issue_type]), hint,
+    )
+
+
 def _call_to(name: str) -> Callable[[Column], Column]:
     return lambda x: (x["kind"] == "call") & (x["name"] == name)
 
@@ -64,8 +82,7 @@ def _either(test, yes: str, no: str) -> Callable[[Column], Column]:
 _TEXT = fixed.RULE_MESSAGES
 
 RULES: tuple[Rule, ...] = (
-    _simple("division_by_zero", "line", "high",
-            lambda x: x["line_text"].rlike(DIVISION_BY_ZERO)),
+    _pattern("division_by_zero", "high", DIVISION_BY_ZERO, "/"),
     Rule("eval_usage", "fact", _call_to("eval"),
          _either(_eval_is_compiled, "medium", "high"),
          _either(_eval_is_compiled, _TEXT["eval_usage_compiled"], _TEXT["eval_usage"])),
@@ -82,7 +99,7 @@ RULES: tuple[Rule, ...] = (
     Rule("mutable_default_argument", "fact",
          lambda x: x["kind"] == "mutable_default", _always("medium"),
          lambda x: F.format_string(_TEXT["mutable_default_argument"], x["name"])),
-    _simple("hardcoded_secret", "line", "high", lambda x: x["line_text"].rlike(SECRET)),
+    _pattern("hardcoded_secret", "high", SECRET, "="),
     _simple("print_in_production", "fact", "low", _call_to("print")),
 )
 
@@ -105,6 +122,16 @@ def _code_lines(code: Column) -> Column:
     return F.filter(numbered, holds_code)
 
 
+def _lines_in_question(text: Column, rules) -> Column:
+    """Code lines of texts in which some line rule may match, NULL for others."""
+    hints = [r.hint for r in rules if r.over == "line"]
+    if not hints:
+        return F.lit(None)
+    if None in hints:
+        return _code_lines(text)
+    return F.when(reduce(or_, [h(text) for h in hints]), _code_lines(text))
+
+
 def _finding(rule: Rule, rule_seq: int) -> Callable[[Column], Column]:
     confidence = fixed.CONFIDENCE.get(rule.issue_type, fixed.DEFAULT_CONFIDENCE)
 
@@ -131,7 +158,7 @@ def scan(chunks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     uses_facts = any(r.over == "fact" for r in rules)
     prepared = (with_facts(chunks) if uses_facts else chunks).withColumn(
-        "code_lines", _code_lines(F.col("code"))
+        "code_lines", _lines_in_question(F.col("code"), rules)
     )
     findings = [
         F.transform(
@@ -140,11 +167,13 @@ def scan(chunks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         )
         for n, r in enumerate(rules)
     ]
+    # Without lines in question a line rule finds NULL, which adds nothing.
+    findings = F.flatten(F.array_compact(F.array(*findings)))
     order = [c for c in ("repo", "rel_path", "func_seq", "part") if c in chunks.columns]
     rows = prepared.select(
         *order, "chunk_id", "start_line",
         F.col("function_name").alias("function"), F.col("file_path").alias("file"),
-        F.posexplode(F.concat(*findings)).alias("hit_seq", "hit"),
+        F.posexplode(findings).alias("hit_seq", "hit"),
     )
     return rows.select(
         *order, "hit.rule_seq", "hit_seq",
@@ -161,6 +190,8 @@ def scan_texts(
     """One line rule over any text table: (id, line_no, code_snippet)."""
     rule = next(r for r in RULES if r.issue_type == issue_type and r.over == "line")
     hits = F.filter(_code_lines(F.col(text_column)), rule.predicate)
+    if rule.hint is not None:
+        texts = texts.where(rule.hint(F.col(text_column)))
     return texts.select(id_column, F.explode(hits).alias("x")).select(
         id_column,
         F.col("x.line_no").alias("line_no"),
