@@ -18,8 +18,10 @@ from ..functions import text as T
 from ..functions.vectors import has_vector
 from ..plans.skew import keep_last, spread_lookup
 
-# Rows of one side that may be sent to every task (64 MB of 1,000 wide float vectors).
-SMALL_SIDE_ROWS = 16_384
+# Rows of a pattern library, or of a query side, that may be sent to every task (some tens
+# of MB of 1,000 wide vectors). Queries cost k result rows each in every task.
+SMALL_LIBRARY_ROWS = 16_384
+SMALL_QUERY_ROWS = 2_048
 PACK_ROWS = 2_048
 # Groups one key is spread over; without keys, as many as there are shuffle partitions.
 INDEX_SALTS = 64
@@ -33,6 +35,20 @@ def _unit_rows(vectors) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def _small_side(df: DataFrame, key: str, limit: int):
+    """(keys, unit matrix) of a side of at most ``limit`` rows, None for a larger one."""
+    got = df.select(key, "embedding").limit(limit + 1).toArrow()
+    if got.num_rows > limit:
+        return None
+    if got.num_rows == 0:
+        return [], None
+    flat = got.column("embedding").combine_chunks().flatten()
+    matrix = flat.to_numpy(zero_copy_only=False).reshape(got.num_rows, -1)
+    keys = got.column(key).to_pylist()
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return [keys[i] for i in order], _unit_rows(matrix[order])
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int):
     """Columns of the k best scores per row, ties by smaller id."""
     order = np.argsort(ids, kind="stable")
@@ -52,22 +68,26 @@ def best_pattern(chunks: DataFrame, patterns: DataFrame, id_column: str = "chunk
     """
     chunks = chunks.where(has_vector(F.col("embedding")))
     library = patterns.where(has_vector(F.col("embedding"))).select("ord", "embedding")
-    rows = library.orderBy("ord").limit(SMALL_SIDE_ROWS + 1).collect()
-    if len(rows) > SMALL_SIDE_ROWS:
+    small = _small_side(library, "ord", SMALL_LIBRARY_ROWS)
+    if small is None:
         top = nearest(
             chunks.select(F.col(id_column).alias("query_id"), "embedding"),
             library.select(F.col("ord").alias("id"), "embedding"),
-            1, small_queries=False,
+            1, packed=True,
         )
         hit = top.select(
             F.col("query_id").alias(id_column), F.col("id").alias("best_ord"),
             F.col("similarity").alias("best_score"),
         )
         return chunks.join(hit, id_column)
-    ords = [r.ord for r in rows]
-    matrix = chunks.sparkSession.sparkContext.broadcast(
-        _unit_rows([r.embedding for r in rows])
-    )
+    ords, units = small
+    if units is None:
+        nothing = F.lit(None)
+        return chunks.where(F.lit(False)).select(
+            "*", nothing.cast("int").alias("best_ord"),
+            nothing.cast("double").alias("best_score"),
+        )
+    matrix = chunks.sparkSession.sparkContext.broadcast(units)
 
     def match(vectors: pa.Array) -> pa.Array:
         m = matrix.value
@@ -104,12 +124,14 @@ def semantic_flags(
     """
     order = [c for c in ("repo", "rel_path", "func_seq", "part") if c in chunks.columns]
     flagged = best_pattern(chunks, patterns).where(F.col("best_score") >= threshold)
-    named = spread_lookup(
-        flagged,
-        patterns.select(F.col("ord").alias("best_ord"), "label",
-                        F.col("pattern").alias("matched_pattern")),
-        ["best_ord"], spread_by=["chunk_id"],
+    names = patterns.select(
+        F.col("ord").alias("best_ord"), "label", F.col("pattern").alias("matched_pattern")
     )
+    n = names.limit(SMALL_LIBRARY_ROWS + 1).count()
+    if n <= SMALL_LIBRARY_ROWS:
+        named = flagged.join(F.broadcast(names), "best_ord")
+    else:
+        named = spread_lookup(flagged, names, ["best_ord"], spread_by=["chunk_id"])
     score = F.col("best_score")
     return named.select(
         *order, F.lit("semantic_similarity_flag").alias("type"),
@@ -225,7 +247,7 @@ def nearest(
     k: int,
     *,
     within: tuple[str, ...] = (),
-    small_queries: bool | None = None,
+    packed: bool | None = None,
     tables: int = 0,
     bits: int = 12,
     seed: int = 7,
@@ -235,20 +257,20 @@ def nearest(
 
     ``queries`` has ``query_id``, ``embedding``; ``index`` has ``id``, ``embedding``;
     both have the columns of ``within``, and only rows that agree on them can match.
-    Exact by default.  ``tables`` > 0 looks only at index rows that share a sign-hash
+    Exact by default: a query side that is found to be small is sent to every task, any
+    other goes through the pack join (``packed`` forces it).  ``tables`` > 0 looks only at index rows that share a sign-hash
     bucket with the query in one of that many tables: much less work, and exact
     similarities, but a neighbour may be missed.
     """
     queries = queries.where(has_vector(F.col("embedding")))
     index = index.where(has_vector(F.col("embedding")))
     schema = _hit_schema(queries, index)
-    if small_queries is None and not tables and not within:
-        small = queries.limit(SMALL_SIDE_ROWS + 1).collect()
-        small_queries = len(small) <= SMALL_SIDE_ROWS
-    elif small_queries:
-        small = queries.collect()
-    if small_queries and not tables and not within:
-        return _top_per_query(_scan_index(index, small, k, schema), k)
+    if packed is False and (tables or within):
+        raise ValueError("groups and hash tables need the packed form")
+    if not packed and not tables and not within:
+        small = _small_side(queries, "query_id", SMALL_QUERY_ROWS)
+        if small is not None:
+            return _top_per_query(_scan_index(index, small, k, schema), k)
 
     keys = list(within)
     if tables:
@@ -305,13 +327,10 @@ def _pair_products(k: int, schema):
     return run
 
 
-def _scan_index(index: DataFrame, small: list, k: int, schema) -> DataFrame:
+def _scan_index(index: DataFrame, small: tuple, k: int, schema) -> DataFrame:
     """One pass over the index with the queries in memory: each batch gives the k best
     per query, and each task hands on only its own best."""
-    held = index.sparkSession.sparkContext.broadcast(
-        ([r.query_id for r in small],
-         _unit_rows([r.embedding for r in small]) if small else None)
-    )
+    held = index.sparkSession.sparkContext.broadcast(small)
 
     def run(batches):
         query_ids, q = held.value

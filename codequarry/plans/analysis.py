@@ -130,7 +130,7 @@ def analyze(
         told = history.investigate(
             cut(asked_lines), inputs.line_history, inputs.versions, inputs.as_of
         )
-        issues = cut(history.attach(issues, told))
+        issues = cut(history.attach(issues, told, config.archaeology_cap))
 
     return {
         "functions": functions, "function_args": parse.function_args(parsed),

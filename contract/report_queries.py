@@ -270,7 +270,7 @@ def q_attach_archaeology(spark, sf_dir):
         {"chunk_id": F.col("function"), "issue_id": F.col("seq")}
     )
     first = I.first_high_confidence(found).withColumn("archaeology", F.col("seq"))
-    return history.attach(found, first).select(
+    return history.attach(found, first, at_most=20).select(
         "seq", "function", F.col("archaeology").alias("story")
     )
 

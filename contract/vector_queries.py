@@ -112,7 +112,7 @@ def q_nearest_packed(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(
         v.select(F.col("vec_id").alias("query_id"), "embedding"),
-        v.select(F.col("vec_id").alias("id"), "embedding"), 4, small_queries=False,
+        v.select(F.col("vec_id").alias("id"), "embedding"), 4, packed=True,
     )
 
 

@@ -51,12 +51,12 @@ def same_hits(df, want):
     assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-6)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_nearest_equals_brute_force(spark, small, monkeypatch):
+@pytest.mark.parametrize("packed", [None, True])
+def test_nearest_equals_brute_force(spark, packed, monkeypatch):
     monkeypatch.setattr(N, "PACK_ROWS", 7)
     q, x = vectors(40, 8, 1), vectors(150, 8, 2)
     df = N.nearest(table(spark, q).withColumnRenamed("id", "query_id"), table(spark, x), 5,
-                   small_queries=small)
+                   packed=packed)
     same_hits(df, brute(q, x, 5))
 
 
@@ -100,7 +100,7 @@ def test_best_pattern_both_ways(spark, monkeypatch):
     want = [(a, b) for a, b, _, _ in brute(x, p, 1)]
     got = sorted((r.chunk_id, r.best_ord) for r in N.best_pattern(chunks, patterns).collect())
     assert got == want
-    monkeypatch.setattr(N, "SMALL_SIDE_ROWS", 3)
+    monkeypatch.setattr(N, "SMALL_LIBRARY_ROWS", 3)
     got = sorted((r.chunk_id, r.best_ord) for r in N.best_pattern(chunks, patterns).collect())
     assert got == want
 
