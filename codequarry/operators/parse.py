@@ -17,8 +17,6 @@ from pyspark.sql.types import (
     ArrayType, BooleanType, IntegerType, StringType, StructField, StructType,
 )
 
-from ..functions import text as T
-
 PARSE_TYPE = StructType([
     StructField("error", StringType()),
     StructField("functions", ArrayType(StructType([
@@ -161,46 +159,43 @@ def _parses(text: pa.Array) -> pa.Array:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """``files`` plus a ``parsed`` column. Store this if it is read more than once."""
+    """One row per ``def`` of each file, and one row with no ``func_seq`` for a file that
+    has none or does not parse (``error``).
+
+    Store this table if it is read more than once: it is flat, so a reader of, say, the
+    calls does not load the code.
+    """
     # Declared non-deterministic so that no rewrite evaluates the parse twice.
     once = _parse_files.asNondeterministic()
-    return files.withColumn("parsed", once("content")).drop("content")
-
-
-def parse_errors(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("parsed.error").isNotNull()).select(
-        "repo", "file_path", "rel_path", F.col("parsed.error").alias("error")
+    keep = [c for c in files.columns if c != "content"]
+    parsed = files.withColumn("parsed", once("content"))
+    rows = parsed.select(
+        *keep, F.col("parsed.error").alias("error"),
+        F.posexplode_outer("parsed.functions").alias("func_seq", "f"),
     )
+    return rows.select(*keep, "error", "func_seq", "f.*")
 
 
-def _exploded(parsed: DataFrame) -> DataFrame:
-    return parsed.select(
-        "repo", "file_path", "rel_path",
-        F.posexplode("parsed.functions").alias("func_seq", "f"),
+def parse_errors(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("error").isNotNull()).select(
+        "repo", "file_path", "rel_path", "error"
     )
 
 
 def functions(parsed: DataFrame) -> DataFrame:
     """One row per ``def``; ``is_method`` keeps its historic meaning of *async*."""
-    return _exploded(parsed).select(
+    return parsed.where(F.col("func_seq").isNotNull()).select(
         "repo", "file_path", "rel_path", "func_seq",
-        F.col("f.name").alias("function_name"),
-        F.col("f.start_line").alias("start_line"),
-        F.col("f.end_line").alias("end_line"),
-        F.col("f.code").alias("code"),
-        F.col("f.is_async").alias("is_method"),
-        F.col("f.is_async").alias("is_async"),
-        F.col("f.is_nested").alias("is_nested"),
+        F.col("name").alias("function_name"), "start_line", "end_line", "code",
+        F.col("is_async").alias("is_method"), "is_async", "is_nested",
     )
 
 
 def function_args(parsed: DataFrame) -> DataFrame:
     """Positional argument names of each plain (not async) function."""
-    return _exploded(parsed).where(~F.col("f.is_async")).select(
-        "file_path", "func_seq",
-        F.col("f.name").alias("function_name"),
-        F.col("f.start_line").alias("line_number"),
-        F.col("f.arguments").alias("arguments"),
+    return parsed.where(~F.col("is_async")).select(
+        "file_path", "func_seq", F.col("name").alias("function_name"),
+        F.col("start_line").alias("line_number"), "arguments",
     )
 
 
@@ -228,12 +223,7 @@ def call_sites(parsed: DataFrame) -> DataFrame:
     (``file_path`` by parts, ``func_seq``, ``call_seq``) is the order of the calls of
     one caller name over the whole corpus.
     """
-    calls = _exploded(parsed).select(
-        "repo", "file_path", "func_seq", F.col("f.name").alias("caller"),
-        F.posexplode("f.calls").alias("call_seq", "callee"),
+    return parsed.select(
+        "repo", "file_path", "func_seq", F.col("name").alias("caller"),
+        F.posexplode("calls").alias("call_seq", "callee"),
     )
-    return calls
-
-
-def path_key(column: str = "file_path"):
-    return T.path_order(F.col(column))
