@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.ages import age_text, days_old
+from ..plans.checkpoints import cut
 from ..plans.skew import SMALL_ROWS, keep_last, spread_lookup
 
 SEQ_BUCKET = 4_096
@@ -155,7 +156,8 @@ def investigate(
     ``commit_seq``, the place of the commit in the file's history; ``versions``: file,
     seq, content.
     """
-    owned = blame(issues, line_owners(line_history), spread_by=["issue_id"])
+    # Read three times below.
+    owned = cut(blame(issues, line_owners(line_history), spread_by=["issue_id"]))
     commits = owned.where(F.col("commit_seq").isNotNull()).select(
         "file", F.col("commit_seq").alias("seq")
     ).distinct()

@@ -1,7 +1,7 @@
-"""One parse per file: functions, arguments and calls as nested columns.
+"""One parse per file: functions, arguments and calls as a flat table.
 
-The only Python in this module is a pair of Arrow functions that turn source text
-into nested facts; everything else in the library works on those columns in the JVM.
+The only Python in this module is a few Arrow functions that turn source text into facts;
+everything else in the library works on their columns in the JVM.
 Source text is only ever parsed, never imported or run.
 """
 
@@ -52,6 +52,22 @@ def parse_text(source: str) -> ast.Module:
         return ast.parse(source)
 
 
+def _walk(root: ast.AST) -> list[ast.AST]:
+    """All nodes breadth first, like ``ast.walk``, but without going into names and
+    constants, which hold nothing anyone asks about."""
+    found = [root]
+    for node in found:
+        if isinstance(node, (ast.Name, ast.Constant)):
+            continue
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if isinstance(value, list):
+                found += [v for v in value if isinstance(v, ast.AST)]
+            elif isinstance(value, ast.AST):
+                found.append(value)
+    return found
+
+
 def _callee(call: ast.Call) -> str | None:
     target = call.func
     return getattr(target, "id", None) or getattr(target, "attr", None)
@@ -62,11 +78,11 @@ def _functions_of(source: str) -> dict:
         tree = parse_text(source)
         rows = source.splitlines()
         found, inner = [], set()
-        for node in ast.walk(tree):
+        for node in _walk(tree):
             if not isinstance(node, _DEFS):
                 continue
             calls = []
-            for child in ast.walk(node):
+            for child in _walk(node):
                 if isinstance(child, ast.Call):
                     name = _callee(child)
                     if name:
@@ -101,14 +117,14 @@ def _facts_of(code: str) -> list[dict]:
                 "line_text": rows[node.lineno - 1], "name": name, "flag": flag,
             })
 
-        for node in ast.walk(tree):
+        for node in _walk(tree):
             match node:
                 case ast.Call(func=ast.Name(id="eval" | "exec" | "print" as called)):
                     add("call", node, called)
                 case ast.While(test=ast.Constant(value=True as test)) if test is True:
                     leaves = any(
                         isinstance(c, (ast.Break, ast.Return, ast.Raise))
-                        for c in ast.walk(node)
+                        for c in _walk(node)
                     )
                     add("while_true", node, flag=leaves)
                 case ast.Assert():
