@@ -43,7 +43,7 @@ WITH line AS (
            generate_subscripts(string_split(text, chr(10)), 1) AS line_no
     FROM documents)
 SELECT doc_id, CAST(line_no AS INT) AS line_no, trim(line_text) AS code_snippet,
-       'high' AS severity, {confidence} AS confidence
+       'high' AS severity, CAST({confidence} AS DOUBLE) AS confidence
 FROM line
 WHERE trim(line_text) <> '' AND trim(line_text) NOT LIKE '#%'
   AND regexp_matches(line_text, '{pattern}')
@@ -73,8 +73,9 @@ WITH line AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text,
            generate_subscripts(string_split(text, chr(10)), 1) AS line_no
     FROM documents)
-SELECT doc_id, count(*) AS n_lines, min(line_no) AS first_line, max(line_no) AS last_line,
-       sum(length(line_text)) AS n_chars
+SELECT doc_id, count(*) AS n_lines, CAST(min(line_no) AS INT) AS first_line,
+       CAST(max(line_no) AS INT) AS last_line,
+       CAST(sum(length(line_text)) AS BIGINT) AS n_chars
 FROM line WHERE trim(line_text) <> '' AND trim(line_text) NOT LIKE '#%'
 GROUP BY doc_id""")
 def q_code_lines(spark, sf_dir):
@@ -92,7 +93,7 @@ def q_code_lines(spark, sf_dir):
 SELECT 'doc' || doc_id || '.txt' AS file_path, 'doc' AS function_name, 1 AS start_line,
        CAST(1 + len(string_split(trim(text, chr(10) || ' '), chr(10))) AS INT) AS end_line,
        left(sha1('doc' || doc_id || '.txt::doc::1'), 12) AS chunk_id,
-       length(trim(text, chr(10) || ' ')) AS n_chars
+       CAST(length(trim(text, chr(10) || ' ')) AS INT) AS n_chars
 FROM documents
 WHERE len(string_split(trim(text, chr(10) || ' '), chr(10))) >= 3""")
 def q_text_chunks(spark, sf_dir):
@@ -416,7 +417,7 @@ def _named_chunks(spark, sf_dir):
 text AS (SELECT pattern_name, dominant_value, is_consistent,
                 CAST(round_even(coverage * 100, 0) AS INT) || '%' AS pct FROM prof)
 SELECT m.chunk_id, m.function_name AS function, m.file_path AS file,
-       m.start_line AS line_number, 'low' AS severity, 0.75 AS confidence,
+       m.start_line AS line_number, 'low' AS severity, CAST(0.75 AS DOUBLE) AS confidence,
        t.pattern_name AS pattern,
        CASE t.pattern_name WHEN 'output_style' THEN
                 CASE t.dominant_value WHEN 'logging' THEN 'print_in_logging_codebase'
@@ -452,8 +453,8 @@ def q_convention_violations(spark, sf_dir):
 
 
 @query(CTES + "," + _profile("chunk") + """
-SELECT type, severity, confidence, function_name AS function, chunk_id, NULL AS subtype,
-       file_line FROM hit
+SELECT type, severity, confidence, function_name AS function, chunk_id,
+       CAST(NULL AS VARCHAR) AS subtype, file_line FROM hit
 UNION ALL
 SELECT 'dna_violation', 'low', 0.75, function_name, chunk_id, 'naming_violates_' ||
        dominant_value, start_line
@@ -476,7 +477,7 @@ def q_issue_union(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, 256 AS dimensions, 1.0 AS norm FROM documents")
+@query("SELECT doc_id, 256 AS dimensions, CAST(1 AS DOUBLE) AS norm FROM documents")
 def q_embed_texts(spark, sf_dir):
     """Hashed token vectors of whole texts: their width and length."""
     v = embeddings.embed_hashed(

@@ -147,7 +147,8 @@ SELECT true AS has_results, count(*) AS total_issues,
        (SELECT string_agg(name || '=' || n, ';' ORDER BY n DESC, s) FROM f) AS top_files,
        (SELECT string_agg(function, ';' ORDER BY coalesce(confidence, 0) DESC, seq) FROM r)
          AS recent,
-       (SELECT count(DISTINCT coalesce(severity, 'unknown')) FROM i) AS severities,
+       (SELECT CAST(count(DISTINCT coalesce(severity, 'unknown')) AS INT) FROM i)
+         AS severities,
        4 AS buckets, 25 AS patches
 FROM i""")
 def q_dashboard(spark, sf_dir):
@@ -465,10 +466,10 @@ w AS (SELECT *, CASE WHEN tested AND NOT no_suite AND NOT unapplied
 SELECT issue_id, verified,
        CASE WHEN NOT tested THEN NULL WHEN no_suite THEN 0 ELSE bp END AS baseline_pass,
        CASE WHEN NOT tested THEN NULL WHEN no_suite THEN 0 ELSE bf END AS baseline_fail,
-       CASE WHEN verified IS NOT NULL THEN p END AS after_pass,
-       CASE WHEN verified IS NOT NULL THEN f END AS after_fail,
-       CASE WHEN NOT tested THEN NULL WHEN verified IS NULL THEN 0.0
-            WHEN verified THEN 0.15 ELSE -0.3 END AS confidence_boost,
+       CASE WHEN verified IS NOT NULL THEN CAST(p AS INT) END AS after_pass,
+       CASE WHEN verified IS NOT NULL THEN CAST(f AS INT) END AS after_fail,
+       CAST(CASE WHEN NOT tested THEN NULL WHEN verified IS NULL THEN 0.0
+            WHEN verified THEN 0.15 ELSE -0.3 END AS DOUBLE) AS confidence_boost,
        CASE WHEN NOT tested THEN NULL
             WHEN no_suite THEN 'No runnable pytest suite found — add tests to enable patch verification'
             WHEN unapplied THEN 'Patch could not be applied — original code not found in target file'

@@ -254,7 +254,8 @@ SELECT 'taint_flow' AS type, source AS function, 'src/' || source || '.py' AS fi
        'taint_' || source || '_' || path[-1] AS chunk_id,
        array_to_string(path, ' → ') AS taint_path, path[-1] AS sink_function,
        'src/' || path[-1] || '.py' AS sink_file,
-       CAST(string_split(path[-1], '_')[-1] AS INT) AS sink_line, 0.8 AS confidence,
+       CAST(string_split(path[-1], '_')[-1] AS INT) AS sink_line,
+       CAST(0.8 AS DOUBLE) AS confidence,
        'User-controlled input enters at ''' || source || ''' and reaches dangerous operation in '''
          || path[-1] || ''' via ' || len(path) - 1 || ' call(s): '
          || array_to_string(path, ' → ') || '. Potential injection vulnerability — verify all'

@@ -253,7 +253,8 @@ def code_ctes() -> str:
                  AS chunk_id
         FROM fn LEFT JOIN part_of USING (shape, k) WHERE n_lines >= 3),
     hit AS (
-        SELECT chunk.*, type, severity, confidence, line_number, hit,
+        SELECT chunk.*, type, severity, CAST(confidence AS DOUBLE) AS confidence,
+               line_number, hit,
                start_line + line_number - 1 AS file_line,
                {_sql_text('snippet_t')} AS code_snippet
         FROM chunk JOIN hit_of USING (shape, k))"""
