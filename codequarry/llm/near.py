@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from . import text
@@ -130,7 +130,7 @@ def _slots(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data.tobytes(), np.uint16).reshape(-1, SLOTS).astype(np.uint64)
 
 
-@arrow_udf("array<long>")
+@arrow_udf(T.ArrayType(T.LongType()))
 def _keys(sigs: pa.Array) -> pa.Array:
     slots = _slots(sigs).reshape(-1, CHUNKS, CHUNK_SLOTS)
     out = np.zeros((len(slots), SLOTS), np.uint64)
@@ -145,7 +145,7 @@ def _keys(sigs: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(cuts, pa.array(out.ravel().view(np.int64)))
 
 
-@arrow_udf("int")
+@arrow_udf(T.IntegerType())
 def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((_slots(a) != _slots(b)).sum(axis=1).astype(np.int32))
 
