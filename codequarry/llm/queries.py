@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near, quality, text
+from . import near, quality, suffix
 from .text import held_out, table
 
 
@@ -52,7 +52,15 @@ select s.doc_id, s.n as n_shingles, m.low as component_id, s.doc_id = m.low as k
 from sized s join (select node, min(low) as low from reach group by node) m on m.node = s.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op9_quality, op4_near_duplicates)}
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without 50-byte strings of earlier documents."""
+    done = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return done.select(
+        "doc_id", F.col("sa_bytes").alias("n_bytes"), F.col("sa_removed").alias("n_removed"),
+        F.col("sa_spans").alias("n_spans"), F.sha2("sa_kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_near_duplicates, op9_quality)}
 ORACLES = {"op4_near_duplicates": OP4_SQL}
 
 
