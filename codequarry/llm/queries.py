@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near, quality, suffix
+from . import language, near, quality, suffix
 from .text import held_out, table
 
 
@@ -60,7 +60,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("sa_spans").alias("n_spans"), F.sha2("sa_kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_near_duplicates, op9_quality)}
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    fold = held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(docs, usable=~fold & F.col("doc_id").isNotNull())
+    found = language.with_language(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", fold.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_near_duplicates, op5_language, op9_quality)}
 ORACLES = {"op4_near_duplicates": OP4_SQL}
 
 
