@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, near, quality, suffix
+from . import language, near, quality, suffix, toxicity
 from .text import held_out, table
 
 
@@ -52,6 +52,16 @@ select s.doc_id, s.n as n_shingles, m.low as component_id, s.doc_id = m.low as k
 from sized s join (select node, min(low) as low from reach group by node) m on m.node = s.doc_id
 """
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, labels, usable=~fold)
+    scored = toxicity.with_score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", fold.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without 50-byte strings of earlier documents."""
     done = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
@@ -70,7 +80,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", fold.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_near_duplicates, op5_language, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_near_duplicates, op5_language, op9_quality)}
 ORACLES = {"op4_near_duplicates": OP4_SQL}
 
 
