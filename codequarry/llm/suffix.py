@@ -6,15 +6,18 @@ smallest hash is the anchor, equal windows have equal anchors, and the windows o
 form a run. A run with its text is an entry of the index, ordered by its anchor; all windows
 that can be equal meet under one anchor, so the sample loses nothing.
 
-1. Where the texts lie, runs are found and equal runs of a piece are counted once: the copies
-   of later documents are removed on the spot. The rest goes, packed, to hash ranges
-   ("buckets") of anchors, in batches of ascending document id.
-2. A bucket holds an index family. Each batch is ordered into a suffix array of its own and
-   merge-scanned against the levels that are there: entries of common anchors are compared
-   window by window with the smallest id that has them. What is new becomes a level, and
-   levels merge while the last is not much smaller than the one before. A bucket holds about
-   ``BUCKET_BYTES`` of text, so its family fits a task at any size of the corpus.
-3. Removed ranges go back to their documents, packed by groups of documents.
+1. Documents are dealt into groups of about ``GROUP_BYTES`` of text. A group tells the hash
+   ranges ("buckets") two short hashes for every anchor, of the bytes that its windows share on
+   either side, and hears back which of them other documents have too. All else is unique.
+2. Runs that are left go, packed with their text, to the buckets of their anchors, in batches
+   of ascending document id; equal runs of a group go once and the copies of its later
+   documents are removed on the spot. A bucket holds an index family. Each batch is ordered
+   into a suffix array of its own and merge-scanned against the levels that are there, for the
+   smallest id with the same window. What is new becomes a level, and levels merge while the
+   last is not much smaller than the one before. Buckets are as many as ``BUCKET_BYTES`` of
+   text go into the corpus, so a family fits a task at any size.
+3. Removed ranges go back, packed, to the groups of their documents. The groups themselves are
+   shuffled once; all three steps read the same exchange.
 
 A passage that stands in a large share of all documents would bring its anchors' runs to one
 bucket, with as many different surroundings as documents. Such anchors are found on a hashed
@@ -32,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -39,9 +43,8 @@ from . import text
 from ..plans.checkpoints import cut
 
 GRAM = 12
-BUCKET_BYTES = 8 << 20
-GROUP_BYTES = 4 << 20
-FLUSH_BYTES = 48 << 20
+BUCKET_BYTES = 4 << 20
+GROUP_BYTES = 12 << 20
 BATCHES = 8
 #: An anchor is common when it stands in more than this share of the documents looked at;
 #: at most 1 / COMMON times the runs of a document can be.
@@ -142,7 +145,7 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 # --- packing ---------------------------------------------------------------------------
 
 _PARTS = (("doc", np.int64), ("key", np.int64), ("group", np.int32), ("start", np.int32),
-          ("count", np.uint16), ("at", np.uint16), ("whole", np.bool_))
+          ("count", np.uint16), ("whole", np.bool_))
 
 
 def pack(fields: dict[str, np.ndarray], body: bytes) -> bytes:
@@ -160,19 +163,118 @@ def unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return fields, np.frombuffer(raw, np.uint8, offset=place)
 
 
-# --- 1: runs where the texts lie ---------------------------------------------------------
+# --- 1: which anchors other documents have -------------------------------------------------
+
+def sides(runs: Runs, eight: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many windows of each run start far before their anchor (``left``), the hash of the
+    bytes that those share, and of the bytes that the others share."""
+    far = (window - GRAM + 1) // 2
+    left = np.clip(runs.anchor_at - runs.start - far + 1, 0, runs.count)
+    before = string_hashes(eight, np.maximum(runs.anchor_at - far, 0), far + GRAM)
+    after = string_hashes(eight, np.minimum(runs.anchor_at, len(eight) - 1), window - far + 1)
+    return left, before, after ^ _B
+
+
+def _cells(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of a hash in one number."""
+    return ((hashes >> _U(34)) % _U(buckets)) << _U(32) | (hashes & _U(0xFFFFFFFF))
+
+
+def _usable(rows: pa.Table) -> pa.Table:
+    """Rows with id and text. They are taken here and not before the exchange, so that all
+    steps ask for the same exchange."""
+    return rows.filter(pc.and_(rows.column("doc_id").is_valid(), rows.column("text").is_valid()))
+
+
+def _group_pieces(rows: pa.Table, window: int):
+    """Of the texts of a group, piece by piece: bytes, offsets, row range, numbers, runs, sides."""
+    data, offsets = text.column_bytes(rows.column("text"))
+    for a, b in text.pieces(data, offsets):
+        part = offsets[a:b + 1] - offsets[a]
+        body = data[offsets[a]:offsets[b]]
+        # Eight zero bytes, so that hashes near the end of the piece have something to read.
+        eight = eights(np.append(body, np.zeros(window, np.uint8)))
+        runs = find_runs(eight[:len(body)], part, window)
+        if len(runs.start):
+            yield body, part, a, b, eight, runs, sides(runs, eight, window)
+
+
+def _announce(window: int, buckets: int):
+    """A group to its side hashes by bucket."""
+    def run(rows: pa.Table) -> pa.Table:
+        group = rows.column("__group")[0].as_py()
+        rows = _usable(rows)
+        doc = rows.column("doc_id").to_numpy()
+        seen = []
+        for _, part, a, b, _, runs, (left, before, after) in _group_pieces(rows, window):
+            own = doc[a:b][np.searchsorted(part, runs.start, side="right") - 1]
+            for some, hashes in ((left > 0, before), (left < runs.count, after)):
+                seen.append(np.unique(np.stack([_cells(hashes[some], buckets), own[some].view(_U)], 1), axis=0))
+        cells = np.concatenate(seen)[:, 0] if seen else np.zeros(0, _U)
+        if len(seen) > 1:
+            cells = np.unique(np.concatenate(seen), axis=0)[:, 0]
+        cells, docs = np.unique(cells, return_counts=True)
+        bucket = (cells >> _U(32)).astype(np.int32)
+        heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(cells) else np.zeros(0, int)
+        ends = np.append(heads[1:], len(cells))
+        blobs = [_squeeze(cells[x:y], docs[x:y] > 1) for x, y in zip(heads, ends)]
+        return pa.table([pa.array(bucket[heads]), pa.array([group] * len(heads), pa.int32()), pa.array(blobs, pa.binary())], schema=_TOLD)
+
+    return run
+
+
+def _squeeze(cells: np.ndarray, several: np.ndarray) -> bytes:
+    low = (cells & _U(0xFFFFFFFF)).astype(np.uint32)
+    step = np.diff(low, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T  # planes compress better
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(low)).tobytes() + step.tobytes() + several.tobytes())
+
+
+def _unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    planes = np.frombuffer(raw, np.uint8, 4 * n, 8).reshape(4, n)
+    low = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+    return low, np.frombuffer(raw, np.bool_, -1, 8 + 4 * n) if len(raw) > 8 + 4 * n else np.zeros(0, bool)
+
+
+_TOLD = pa.schema([("bucket", pa.int32()), ("group", pa.int32()), ("blob", pa.binary())])
+_TOLD_DDL = "bucket int, group int, blob binary"
+_HEARD_DDL = "__group int, bucket int, blob binary"
+
+
+def _answer(told: pa.Table) -> pa.Table:
+    """The hashes of a bucket that two documents have, to each group that has them."""
+    parts = [_unsqueeze(b.as_py()) for b in told.column("blob")]
+    values, which, groups = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
+    common = groups > 1
+    np.logical_or.at(common, which, np.concatenate([p[1] for p in parts]))
+    ends = np.cumsum([len(p[0]) for p in parts])
+    out = []
+    for (low, _), end in zip(parts, ends):
+        held = low[common[which[end - len(low):end]]]
+        out.append(_squeeze(held.astype(_U), np.zeros(0, bool)) if len(held) else None)
+    answer = pa.table([told.column("group"), told.column("bucket"), pa.array(out, pa.binary())], names=["__group", "bucket", "blob"])
+    return answer.filter(answer.column("blob").is_valid())
+
+
+# --- 2: runs that may repeat ----------------------------------------------------------------
 
 def _scatter(window: int, buckets: int, splits: list[int], common: np.ndarray):
-    """Rows of ``doc_id, key, group, text`` to packed runs by bucket and batch."""
+    """A group and the answers to it, to packed runs by bucket and batch."""
     edges = np.array(splits, np.int64)
 
-    def piece_entries(data, offsets, doc, key, group, held):
-        eight = eights(data)
-        runs = find_runs(eight, offsets, window)
-        if not len(runs.start):
+    def piece_entries(body, part, eight, runs, side, known, doc, key, group, held):
+        left, before, after = side
+        first = _held(known, _cells(before, buckets)) & (left > 0)
+        second = _held(known, _cells(after, buckets)) & (left < runs.count)
+        start = np.where(first, runs.start, runs.start + left)
+        stop = np.where(second, runs.start + runs.count, runs.start + left)
+        some = np.flatnonzero(stop > start)
+        if not len(some):
             return
-        hot = np.isin(runs.anchor, common)
+        runs = Runs(start[some], (stop - start)[some], runs.anchor_at[some], runs.anchor[some])
         deal = runs.anchor
+        hot = np.isin(runs.anchor, common)
         if hot.any():
             cold, sub = runs.take(~hot), split_runs(runs, hot)
             # All windows of a part share the bytes from its last start to the end of its first.
@@ -180,57 +282,59 @@ def _scatter(window: int, buckets: int, splits: list[int], common: np.ndarray):
             core = string_hashes(eight, last, window - SUB_RUN + 1)
             runs = Runs(*(np.concatenate([getattr(cold, f), getattr(sub, f)]) for f in ("start", "count", "anchor_at", "anchor")))
             deal = np.concatenate([cold.anchor, text.mixed(sub.anchor ^ core)])
-        row = np.searchsorted(offsets, runs.start, side="right") - 1
+        row = np.searchsorted(part, runs.start, side="right") - 1
         same = text.mixed(
             string_hashes(eight, runs.start, window) * _U(3)
             + string_hashes(eight, runs.start + runs.count - 1, window) * _U(5)
             + runs.count.astype(_U) * _U(7) + (runs.anchor_at - runs.start).astype(_U))
         order = np.lexsort((doc[row], same))
-        first = np.ones(len(order), bool)
-        first[1:] = same[order][1:] != same[order][:-1]
-        lowest = doc[row][order][np.flatnonzero(first)][np.cumsum(first) - 1]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = same[order][1:] != same[order][:-1]
+        lowest = doc[row][order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         whole = np.zeros(len(order), bool)
         whole[order] = doc[row][order] > lowest
         code = (deal >> _U(20)) % _U(buckets) * _U(len(edges) + 1) + np.searchsorted(edges, doc[row]).astype(_U)
-        order = np.lexsort((runs.start, code))
+        order = np.lexsort((runs.start, row, code))
         code, row, whole = code[order].astype(np.int64), row[order], whole[order]
         runs = runs.take(order)
         sent = np.where(whole, 0, runs.count + window - 1)
-        body = gather(data, runs.start, sent).tobytes()
+        strings = gather(body, runs.start, sent).tobytes()
         ends = np.cumsum(sent)
-        fields = {
-            "doc": doc[row], "key": key[row], "group": group[row], "start": runs.start - offsets[row],
-            "count": runs.count, "at": runs.anchor_at - runs.start, "whole": whole,
-        }
+        fields = {"doc": doc[row], "key": key[row], "group": np.full(len(row), group, np.int32),
+                  "start": runs.start - part[row], "count": runs.count, "whole": whole}
         heads = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         for a, b in zip(heads, np.append(heads[1:], len(code))):
             held.setdefault(int(code[a]), []).append((
-                {k: v[a:b] for k, v in fields.items()}, body[ends[a] - sent[a]:ends[b - 1]]))
-        return len(body)
-
-    def flush(held):
+                {k: v[a:b] for k, v in fields.items()}, strings[ends[a] - sent[a]:ends[b - 1]]))
+
+    def run(rows: pa.Table, heard: pa.Table) -> pa.Table:
+        answers = [(np.int64(b.as_py()) << np.int64(32)) | _unsqueeze(v.as_py())[0].astype(np.int64)
+                   for b, v in zip(heard.column("bucket"), heard.column("blob"))]
+        held: dict[int, list] = {}
+        if answers and rows.num_rows:
+            rows = _usable(rows)
+            known = np.sort(np.concatenate(answers).view(_U))
+            doc, key = rows.column("doc_id").to_numpy(), rows.column("__key").to_numpy()
+            group = heard.column("__group")[0].as_py()
+            for body, part, a, b, eight, runs, side in _group_pieces(rows, window):
+                piece_entries(body, part, eight, runs, side, known, doc[a:b], key[a:b], group, held)
+        blobs = []
         for code in sorted(held):
             parts = held[code]
             fields = {k: np.concatenate([p[0][k] for p in parts]) for k, _ in _PARTS}
-            blob = pack(fields, b"".join(p[1] for p in parts))
-            yield pa.RecordBatch.from_pylist([
-                {"bucket": code // (len(edges) + 1), "batch": code % (len(edges) + 1), "blob": blob}], schema=_BLOBS)
-
-    def run(batches):
-        held, size = {}, 0
-        for batch in batches:
-            data, offsets = text.column_bytes(batch.column(3))
-            doc, key, group = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for a, b in text.pieces(data, offsets):
-                size += piece_entries(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], doc[a:b], key[a:b], group[a:b], held) or 0
-                if size > FLUSH_BYTES:
-                    yield from flush(held)
-                    held, size = {}, 0
-        yield from flush(held)
+            blobs.append((code // (len(edges) + 1), code % (len(edges) + 1), pack(fields, b"".join(p[1] for p in parts))))
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*blobs), _BLOBS)] if blobs
+                        else [pa.array([], f.type) for f in _BLOBS], schema=_BLOBS)
 
     return run
 
 
+def _held(ordered: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(asked), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, asked), len(ordered) - 1)] == asked
+
+
 _BLOBS = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("blob", pa.binary())])
 _BLOBS_DDL = "bucket int, batch int, blob binary"
 
@@ -255,91 +359,50 @@ def _common_anchors(docs: DataFrame, window: int) -> np.ndarray:
     return np.array(sorted(r[0] for r in rows), np.int64).view(_U)
 
 
-# --- 2: the index family of a bucket ------------------------------------------------------
+# --- the index family of a bucket ----------------------------------------------------------
 
 @dataclass
 class Level:
-    """A suffix array: entries ordered by anchor, with their text."""
+    """A suffix array: the fingerprints of its suffixes' windows in order, each once, with the
+    smallest document that has it."""
 
-    anchor: np.ndarray
+    suffix: np.ndarray
     doc: np.ndarray
-    count: np.ndarray
-    place: np.ndarray
-    body: np.ndarray
-
-    def find(self, anchors: np.ndarray) -> np.ndarray:
-        """Entries that have one of the (ordered) anchors: a merge of two ordered lists."""
-        low = np.searchsorted(self.anchor, anchors, "left")
-        many = np.searchsorted(self.anchor, anchors, "right") - low
-        return np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
 
-    def windows(self, which: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every window of the entries, and the entry it is of."""
-        length = self.count[which] + window - 1
-        part = gather(self.body, self.place[which], length)
-        own = np.repeat(np.arange(len(which)), self.count[which])
-        inner = np.arange(len(own)) - np.repeat(np.cumsum(self.count[which]) - self.count[which], self.count[which])
-        return string_hashes(eights(part), (np.cumsum(length) - length)[own] + inner, window), own
 
-    def keep(self, which: np.ndarray, window: int) -> "Level":
-        length = self.count[which] + window - 1
-        return Level(self.anchor[which], self.doc[which], self.count[which], np.cumsum(length) - length, gather(self.body, self.place[which], length))
-
-
-def merge(a: Level, b: Level) -> Level:
-    """Two levels as one ordered level."""
-    anchor = np.concatenate([a.anchor, b.anchor])
-    order = np.argsort(anchor, kind="stable")
-    return Level(anchor[order], np.concatenate([a.doc, b.doc])[order], np.concatenate([a.count, b.count])[order],
-                 np.concatenate([a.place, b.place + len(a.body)])[order], np.concatenate([a.body, b.body]))
+def suffix_array(suffix: np.ndarray, doc: np.ndarray) -> Level:
+    order = np.argsort(suffix, kind="stable")
+    suffix, doc = suffix[order], doc[order]
+    heads = np.flatnonzero(np.append(True, suffix[1:] != suffix[:-1])) if len(suffix) else np.zeros(0, int)
+    return Level(suffix[heads], np.minimum.reduceat(doc, heads) if len(heads) else doc)
 
 
 class IndexFamily:
     """Levels of geometrically falling size; batches come with ascending document ids."""
 
-    def __init__(self, window: int):
-        self.window = window
+    def __init__(self):
         self.levels: list[Level] = []
 
-    def add(self, new: Level) -> tuple[np.ndarray, np.ndarray]:
-        """Which windows of the ordered batch ``new`` start in an earlier document: flags of
-        the windows of the entries returned with them. The batch is then part of the family."""
-        again = np.zeros(len(new.anchor), bool)
-        equal = new.anchor[1:] == new.anchor[:-1]
-        again[1:] |= equal
-        again[:-1] |= equal
-        anchors = np.unique(new.anchor)
-        met = [(level, level.find(anchors)) for level in self.levels]
-        for level, which in met:
-            again |= np.isin(new.anchor, level.anchor[which])
-        asked = np.flatnonzero(again)
-        flags = np.zeros(0, bool)
-        stale = np.zeros(len(new.anchor), bool)
-        if len(asked):
-            mine, own = new.windows(asked, self.window)
-            hashes, docs = [mine], [new.doc[asked][own]]
-            for level, which in met:
-                which = which[np.isin(level.anchor[which], new.anchor[asked])]
-                if len(which):
-                    h, o = level.windows(which, self.window)
-                    hashes.append(h)
-                    docs.append(level.doc[which][o])
-            h, d = np.concatenate(hashes), np.concatenate(docs)
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            flags = d[first][np.searchsorted(h[first], mine)] < docs[0]
-            kept = np.bincount(own, ~flags, len(asked))
-            stale[asked[kept == 0]] = True
-        self._insert(new.keep(np.flatnonzero(~stale), self.window))
-        return asked, flags
+    def add(self, suffix: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which windows of a batch start in an earlier document too. The batch is then part
+        of the family."""
+        new = suffix_array(suffix, doc)
+        lowest, known = new.doc.copy(), np.zeros(len(new.doc), bool)
+        for level in self.levels:
+            at = np.minimum(np.searchsorted(level.suffix, new.suffix), len(level.suffix) - 1)
+            hit = level.suffix[at] == new.suffix
+            lowest[hit] = np.minimum(lowest[hit], level.doc[at[hit]])
+            known |= hit & (level.doc[at] <= new.doc)
+        self._insert(Level(new.suffix[~known], new.doc[~known]))
+        return lowest[np.searchsorted(new.suffix, suffix)] < doc
 
     def _insert(self, level: Level) -> None:
-        if len(level.anchor):
+        if len(level.suffix):
             self.levels.append(level)
-        while len(self.levels) > 1 and len(self.levels[-2].anchor) < 2 * len(self.levels[-1].anchor):
-            last = self.levels.pop()
-            self.levels[-1] = merge(self.levels[-1], last)
+        while len(self.levels) > 1 and len(self.levels[-2].suffix) < 2 * len(self.levels[-1].suffix):
+            last, before = self.levels.pop(), self.levels.pop()
+            self.levels.append(suffix_array(
+                np.concatenate([before.suffix, last.suffix]), np.concatenate([before.doc, last.doc])))
 
 
 def _batch_ranges(family: IndexFamily, blobs: list[bytes], window: int) -> dict[str, np.ndarray]:
@@ -348,24 +411,23 @@ def _batch_ranges(family: IndexFamily, blobs: list[bytes], window: int) -> dict[
     fields = {k: np.concatenate([p[0][k] for p in parts]) for k, _ in _PARTS}
     body = np.concatenate([p[1] for p in parts])
     count, whole = fields["count"].astype(np.int64), fields["whole"]
-    sent = np.where(whole, 0, count + window - 1)
-    place = np.cumsum(sent) - sent
     start = fields["start"].astype(np.int64)
     out = [(np.flatnonzero(whole), start[whole], start[whole] + count[whole] + window - 1)]
     entry = np.flatnonzero(~whole)
     if len(entry):
-        anchor = grams(eights(np.append(body, np.zeros(8, np.uint8))))[place[entry] + fields["at"][entry]]
-        order = np.argsort(anchor, kind="stable")
-        entry = entry[order]
-        asked, flags = family.add(Level(anchor[order], fields["doc"][entry], count[entry], place[entry], body))
-        if flags.any():
-            own = np.repeat(entry[asked], count[entry[asked]])
-            inner = np.arange(len(own)) - np.repeat(np.cumsum(count[entry[asked]]) - count[entry[asked]], count[entry[asked]])
-            own, inner = own[flags], inner[flags]
+        count = count[entry]
+        length = count + window - 1
+        own = np.repeat(np.arange(len(entry)), count)
+        inner = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        at = (np.cumsum(length) - length)[own] + inner
+        again = family.add(string_hashes(eights(body), at, window), fields["doc"][entry][own])
+        if again.any():
+            own, inner = own[again], inner[again]
             fresh = np.append(True, (own[1:] != own[:-1]) | (inner[1:] != inner[:-1] + 1))
             heads = np.flatnonzero(fresh)
             tails = np.append(heads[1:], len(own)) - 1
-            out.append((own[heads], start[own[heads]] + inner[heads], start[own[heads]] + inner[tails] + window))
+            who = entry[own[heads]]
+            out.append((who, start[who] + inner[heads], start[who] + inner[tails] + window))
     which = np.concatenate([o[0] for o in out])
     return {"group": fields["group"][which], "doc": fields["doc"][which], "key": fields["key"][which],
             "start": np.concatenate([o[1] for o in out]), "end": np.concatenate([o[2] for o in out])}
@@ -402,7 +464,7 @@ def _index(window: int):
                     held = close()
                     blobs = []
                     if now is None or at[0] != now[0]:
-                        family = IndexFamily(window)
+                        family = IndexFamily()
                         if held > 500_000:
                             yield from pack_ranges(kept)
                             kept.clear()
@@ -462,12 +524,15 @@ def remove_repeats(docs: DataFrame, window: int = 50, batches: int = BATCHES) ->
     ).first()
     total = shape[0] or 0
     splits = sorted(set(shape[1] or []))
-    groups, buckets = max(1, total // GROUP_BYTES), max(1, int(3.5 * total) // BUCKET_BYTES)
-    rows = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(
-        "__group", F.pmod(F.xxhash64("doc_id", F.lit("group")), F.lit(groups)).cast("int"))
-    entries = rows.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "__key", "__group", "text")
-    blobs = entries.mapInArrow(_scatter(window, buckets, splits, _common_anchors(docs, window)), _BLOBS_DDL)
+    groups, buckets = max(1, total // GROUP_BYTES), max(1, total // BUCKET_BYTES)
+    rows = docs.withColumns({
+        "doc_id": F.col("doc_id").cast("long"), "__key": F.xxhash64(F.coalesce("text", F.lit(""))),
+        "__group": F.pmod(F.xxhash64("doc_id", F.lit("group")), F.lit(groups)).cast("int"),
+    }).repartition(groups, "__group")
+    told = rows.groupBy("__group").applyInArrow(_announce(window, buckets), _TOLD_DDL)
+    heard = told.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, _HEARD_DDL)
+    blobs = rows.groupBy("__group").cogroup(heard.repartition(groups, "__group").groupBy("__group")).applyInArrow(
+        _scatter(window, buckets, splits, _common_anchors(docs, window)), _BLOBS_DDL)
     ranges = (
         blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
         .mapInArrow(_index(window), "group int, ranges binary").toDF("__group", "__ranges")
@@ -475,8 +540,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, batches: int = BATCHES) ->
     out = T.StructType(docs.schema.fields + [
         T.StructField("sa_bytes", T.LongType()), T.StructField("sa_removed", T.LongType()),
         T.StructField("sa_spans", T.LongType()), T.StructField("sa_kept", T.BinaryType())])
-    return (
-        rows.repartition(groups, "__group").groupBy("__group")
-        .cogroup(ranges.repartition(groups, "__group").groupBy("__group"))
-        .applyInArrow(_apply(to_arrow_schema(out)), out)
-    )
+    return rows.groupBy("__group").cogroup(
+        ranges.repartition(groups, "__group").groupBy("__group")).applyInArrow(_apply(to_arrow_schema(out)), out)
