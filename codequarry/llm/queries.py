@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, near, quality, suffix, toxicity
+from . import chat, fingerprint, language, near, quality, suffix, toxicity
 from .text import held_out, table
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted conversations, read back from what was written. One more conversation says
+    the template's own control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"))
+    made = chat.format_conversations(rows.unionByName(hard))
+    back = made.withColumn("back", chat.read_back("output", "turns"))
+    return back.select("conv_id", "back.*", F.length("output").cast("long").alias("formatted_chars"))
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents, of their edited texts, and their likeness."""
+    return fingerprint.with_neighbour(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -80,7 +98,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", fold.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_near_duplicates, op5_language, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_near_duplicates, op5_language, op7_chat, op8_fingerprint, op9_quality)}
 ORACLES = {"op4_near_duplicates": OP4_SQL}
 
 
