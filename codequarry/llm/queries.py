@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprint, language, near, quality, suffix, toxicity
+from . import chat, fingerprint, html, language, near, quality, suffix, toxicity
 from .text import held_out, table
 
 
@@ -98,7 +98,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", fold.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_near_duplicates, op5_language, op7_chat, op8_fingerprint, op9_quality)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html.with_text(pages, html.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_near_duplicates, op5_language, op7_chat, op8_fingerprint, op9_quality, op10_html)}
 ORACLES = {"op4_near_duplicates": OP4_SQL}
 
 
