@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprint, html, language, near, quality, suffix, toxicity
+from . import chat, fingerprint, html, language, near, packing, quality, suffix, toxicity
 from .text import held_out, table
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), packing.tokenizer_source())
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formatted conversations, read back from what was written. One more conversation says
     the template's own control strings."""
@@ -105,7 +110,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_near_duplicates, op5_language, op7_chat, op8_fingerprint, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_near_duplicates, op5_language, op6_packing, op7_chat, op8_fingerprint, op9_quality, op10_html)}
 ORACLES = {"op4_near_duplicates": OP4_SQL}
 
 

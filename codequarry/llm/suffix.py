@@ -44,7 +44,7 @@ from ..plans.checkpoints import cut
 
 GRAM = 12
 BUCKET_BYTES = 4 << 20
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 BATCHES = 8
 #: An anchor is common when it stands in more than this share of the documents looked at;
 #: at most 1 / COMMON times the runs of a document can be.
