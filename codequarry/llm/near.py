@@ -15,10 +15,10 @@ Groups of copies never expand into all pairs:
 * A bucket (one key) of few members gives its pairs. In a larger one every member is
   compared with a pivot, the member with the fullest buckets: the text that the copies
   were made from agrees with all of them.
-* Only what a larger bucket has outside its largest component is then compared with the
-  rest of the bucket, some pivots a round. When every bucket is of one component or has
-  had all pairs across components tried, no link can be missing, since links inside a
-  component do not change it.
+* What such buckets have outside the largest component is then compared with the rest, in
+  blocks of bounded size by matrix products over their shingles, which give exact
+  intersection sizes; only similar pairs become rows. Links inside a component do not change
+  it, so no link that matters can be missing.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is
 linked with nothing. Fewer words than a shingle are one shingle. A row without id is kept
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from . import text
-from ..plans.checkpoints import cut, cut_counted
+from ..plans.checkpoints import cut
 from .components import components
 
 CHUNKS, CHUNK_SLOTS = 8, 4
@@ -43,8 +43,11 @@ SLOTS = CHUNKS * CHUNK_SLOTS
 #: beyond it once in half a million.
 FAR_SLOTS = 18
 SMALL_BUCKET = 16
-#: Rows that one round of pivots may make, over all buckets.
-ROUND_ROWS = 4_000_000
+#: Shingles in a block of sets, and how many are compared at once.
+BLOCK_SHINGLES, COLUMNS = 1 << 19, 4096
+#: Share of a block's pairs from which on a shingle is counted in the matrix product, and
+#: pairs that are counted one by one at once.
+DENSE, PAIRS = 1 / 200, 2_000_000
 
 _rng = np.random.default_rng(8)
 _SLOT_XOR = _rng.integers(0, 2**63, SLOTS, dtype=np.uint64)
@@ -183,43 +186,98 @@ def _apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
     )
 
 
-def _pivot_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame,
-                  percent: int) -> DataFrame:
-    """Links found by comparing what large buckets have outside their largest component.
-
-    Each round takes the next pivots of every open bucket. ``members`` has ``key, rep, n``
-    of the buckets that are too large for all pairs."""
-    done = None
-    while True:
-        placed = components(links)
-        held = members.join(placed.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        parts = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-        largest = parts.groupBy("key").agg(
-            F.max_by("c", F.struct("m", "c")).alias("top"), F.sum("m").alias("size"), F.count(F.lit(1)).alias("parts"))
-        open_rows = held.join(largest.where("parts > 1"), "key")
-        minor = open_rows.where("c <> top").select("key", "rep", "c", "n", "size")
-        if done is not None:
-            minor = minor.join(done, ["key", "rep"], "left_anti")
-        minor, left = cut_counted(minor)
-        if left == 0:
-            return links
-        # Of every open bucket, a share of its members that keeps the rows of a round
-        # within bounds; a hash takes them, so no bucket is ordered in one task.
-        work = minor.agg(F.sum("size")).first()[0]
-        share = min(1.0, ROUND_ROWS / work)
-        turn = 0 if done is None else done.count()
-        chosen = minor.where(F.pmod(F.xxhash64("key", "rep", F.lit(turn)), F.lit(1_000_003)) <= share * 1_000_003)
-        chosen = cut(chosen)
-        tried = (
-            chosen.select("key", F.col("rep").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"))
-            .join(open_rows.select("key", "rep", "c", "n"), "key")
-            .where((F.col("c") != F.col("pc")) & _comparable("n", "pn", percent))
-            .select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
-        )
-        found = _confirmed(_near_enough(tried, classes, percent), sets, percent)
-        links = cut(links.unionByName(found))
-        used = chosen.select("key", "rep")
-        done = cut(used if done is None else done.unionByName(used))
+def _matches(percent: int):
+    """Rows of two blocks of sets to the pairs across components that are similar enough."""
+    def counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """Sizes of all intersections: a matrix product over the shingles of both sides."""
+        ra, rb = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+        va, vb = np.concatenate(a), np.concatenate(b)
+        shared = np.intersect1d(va, vb)
+        ka, kb = np.isin(va, shared), np.isin(vb, shared)
+        ra, ca = ra[ka], np.searchsorted(shared, va[ka])
+        rb, cb = rb[kb], np.searchsorted(shared, vb[kb])
+        total = np.zeros(len(a) * len(b))
+        oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
+        ra, ca, rb, cb = ra[oa], ca[oa], rb[ob], cb[ob]
+        many_a, many_b = np.bincount(ca, minlength=len(shared)), np.bincount(cb, minlength=len(shared))
+        first_b = np.cumsum(many_b) - many_b
+        # A shingle of few sets is counted pair by pair, one of many by the matrix product.
+        dense = many_a * many_b > DENSE * len(total)
+        light = np.flatnonzero(~dense[ca])
+        each = many_b[ca[light]]
+        at = np.concatenate([[0], np.cumsum(each)])
+        while len(light):
+            k = max(1, int(np.searchsorted(at, at[0] + PAIRS, side="right")) - 1)
+            rows, reps = light[:k], each[:k]
+            own = np.repeat(first_b[ca[rows]] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
+            total += np.bincount(np.repeat(ra[rows], reps) * len(b) + rb[own], minlength=len(total))
+            light, each, at = light[k:], each[k:], at[k:]
+        total = total.reshape(len(a), len(b))
+        code = np.cumsum(dense) - 1
+        wide = int(dense.sum())
+        ka, kb = dense[ca], dense[cb]
+        ra, ca, rb, cb = ra[ka], code[ca[ka]], rb[kb], code[cb[kb]]
+        for low in range(0, wide, COLUMNS):
+            x, y = (np.zeros((len(n), min(COLUMNS, wide - low)), np.float32) for n in (a, b))
+            for m, r, c in ((x, ra, ca), (y, rb, cb)):
+                i, j = np.searchsorted(c, [low, low + COLUMNS])
+                m[r[i:j], c[i:j] - low] = 1
+            total += x @ y.T
+        return total
+
+    def unpack(block) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        items = block.values
+        cuts = items.field("set").offsets.to_numpy()
+        body = items.field("set").values.to_numpy()
+        return (items.field("rep").to_numpy(), items.field("c").to_numpy(), [body[i:j] for i, j in zip(cuts[:-1], cuts[1:])])
+
+    def run(batches):
+        for batch in batches:
+            for minor, other in zip(batch.column(0), batch.column(1)):
+                ra, ca, sa = unpack(minor)
+                rb, cb, sb = unpack(other)
+                both = counts(sa, sb)
+                na, nb = np.array([len(s) for s in sa]), np.array([len(s) for s in sb])
+                i, j = np.nonzero((100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ca[:, None] != cb[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ra[i], rb[j])), pa.array(np.minimum(ra[i], rb[j]))], names=["a", "b"])
+
+    return run
+
+
+def _across(members: DataFrame, pivots: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """All links between components of documents that meet in large buckets.
+
+    Documents whose large buckets hang together are a group. What lies outside the group's
+    largest component is compared with all of it: both sides are packed into blocks of bounded
+    size, and a pair of blocks is answered by a matrix product that gives exact intersection
+    sizes. Only similar pairs leave it."""
+    groups = components(members.join(pivots, "key").select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")))
+    placed = components(links)
+    held = cut(
+        groups.toDF("rep", "g").join(placed.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        .join(sets.select(F.col("doc_id").alias("rep"), F.size("set").alias("n")), "rep")
+    )
+    parts = held.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    opened = parts.groupBy("g").agg(
+        F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")
+    ).where("parts > 1").select("g", F.col("top.c").alias("top"), F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    rows = cut(
+        held.drop("n").join(opened, "g").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        .select("g", "c", "top", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "rep", "set")
+    )
+    item = F.struct("rep", "c", "set")
+    whole = rows.groupBy("g", "block").agg(F.collect_list(item).alias("other"))
+    minor = (
+        rows.where("c <> top").groupBy("g", F.col("block").alias("mine"), "blocks").agg(F.collect_list(item).alias("minor"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    )
+    # Blocks are large rows with much to do, so each has a task of its own if it can.
+    tasks = int(min(5000, max(1, opened.agg(F.sum("blocks")).first()[0] or 1)))
+    return (
+        minor.repartition(tasks, "g", "block").join(whole.repartition(tasks, "g", "block"), ["g", "block"])
+        .select("minor", "other")
+        .mapInArrow(_matches(percent), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    )
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -273,7 +331,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = cut(_confirmed(best, sets, percent))
     rest = _apart(near.join(best, ["a", "b"], "left_anti"), components(links))
     links = cut(links.unionByName(_confirmed(rest, sets, percent)))
-    links = _pivot_rounds(large.select("key", "rep", "n"), classes, sets, links, percent)
+    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    links = cut(links.unionByName(_across(large.select("key", "rep"), pivots, sets, links, percent).distinct()))
     named = (
         classes.drop("sig").join(components(links).toDF("rep", "c"), "rep")
         .select("n", "h1", "h2", F.col("c").alias("component"))
