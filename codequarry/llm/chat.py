@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .text import TaskCache
+
 BATCH_CHARS = 8 << 20
+_rendered = TaskCache()
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -63,8 +66,16 @@ def unescape(value: str) -> str:
 
 
 def turn_template(turns: list[Turn]) -> str:
-    """Every turn as ``### role: text </turn>`` on its own."""
-    return "".join(f"{OPEN}{escape(role)}{BETWEEN}{escape(said)}{CLOSE}" for role, said in turns)
+    """Every turn as ``### role: text </turn>`` on its own. Turns are kept as they were rendered
+    last, since prefixes of one conversation ask for them again and again."""
+    if len(_rendered) > 4096:
+        _rendered.clear()
+    held = _rendered.get
+    return "".join([held(turn) or _rendered.setdefault(turn, _one_turn(*turn)) for turn in turns])
+
+
+def _one_turn(role: str, said: str) -> str:
+    return f"{OPEN}{escape(role)}{BETWEEN}{escape(said)}{CLOSE}"
 
 
 @dataclass(frozen=True)
