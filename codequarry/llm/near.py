@@ -71,10 +71,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
         if b - a >= words:
             sets.append(np.unique(rolled[a:b - words + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for h in word[a:b]:
-                whole = text.mixed(whole * _STEP + h)
-            sets.append(np.array([whole]))
+            whole = np.full(1, b - a, np.uint64)
+            for k in range(a, b):
+                whole = text.mixed(whole * _STEP + word[k:k + 1])
+            sets.append(whole)
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets

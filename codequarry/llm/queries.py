@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprint, html, language, near, packing, quality, suffix, toxicity
+from . import chat, decontaminate, fingerprint, html, language, near, packing, quality, suffix, toxicity
 from .text import held_out, table
 
 
@@ -85,6 +85,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", fold.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item, its distance and its place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without 50-byte strings of earlier documents."""
     done = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
@@ -110,13 +117,15 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_near_duplicates, op5_language, op6_packing, op7_chat, op8_fingerprint, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_language, op6_packing, op7_chat, op8_fingerprint, op9_quality, op10_html)}
 ORACLES = {"op4_near_duplicates": OP4_SQL}
 
 
 def all_queries() -> dict:
-    """Queries of the operators."""
-    return dict(QUERIES)
+    """Queries of the operators and the pipeline over all of them that it uses."""
+    import corpus_pipeline
+
+    return dict(QUERIES) | {"pipeline": corpus_pipeline.run}
 
 
 def all_oracles() -> dict:

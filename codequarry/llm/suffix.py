@@ -37,7 +37,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import text
 from ..plans.checkpoints import cut
@@ -517,8 +519,6 @@ def _apply(schema: pa.Schema):
 def remove_repeats(docs: DataFrame, window: int = 50, batches: int = BATCHES) -> DataFrame:
     """All columns of ``docs`` and ``sa_bytes, sa_removed, sa_spans`` (counts) and ``sa_kept``
     (the bytes that stay)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     shape = docs.agg(
         F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)
     ).first()
@@ -542,3 +542,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, batches: int = BATCHES) ->
         T.StructField("sa_spans", T.LongType()), T.StructField("sa_kept", T.BinaryType())])
     return rows.groupBy("__group").cogroup(
         ranges.repartition(groups, "__group").groupBy("__group")).applyInArrow(_apply(to_arrow_schema(out)), out)
+
+
+def kept_text(kept: Column) -> Column:
+    """The kept bytes as text; what a cut has left of a character is dropped."""
+    @arrow_udf(T.StringType())
+    def decode(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else v.decode("utf-8", "ignore") for v in values.to_pylist()], pa.string())
+
+    return decode(kept)
