@@ -10,10 +10,11 @@ Features of a text, all shares or distances, so that they do not follow its leng
 * shares of capitals, capital words, exclamation and question marks, other punctuation,
   symbols inside words, digits inside words, single letters in a row, repeated letters.
 
-The lexicon, the trees and the calibration are learned from three disjoint hashed parts of a
-bounded sample of labels (``SAMPLE_ROWS`` of either label), so a word that merely occurs in
-one toxic document does not count twice. The sample meets in one task; the result, lexicon
-(``LEXICON_SIZE`` hashes at most) and trees, is of fixed size.
+Lexicon, trees and calibration are learned from a bounded sample of labels (``SAMPLE_ROWS`` of
+either label), cross-fitted over three hashed parts: a text's features use the lexicon of the
+other parts, and the calibration sees margins of trees from the other parts, so a word that
+merely occurs in one toxic document does not count for it. The sample meets in one task; the
+result, lexicon (``LEXICON_SIZE`` hashes at most) and trees, is of fixed size.
 
 Defined results: a null or empty text has zero features and gets their score. Without usable
 labels every text scores 0.5. Repeated rows get equal scores. Other columns are carried
@@ -202,23 +203,30 @@ class Model:
 
 
 def learn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, part: np.ndarray) -> Model:
-    """A model from labelled texts; ``part`` (0, 1 or 2) says what a text is used for."""
+    """A model from labelled texts, cross-fitted over their parts 0, 1 and 2."""
     insults, you = _hashes(INSULTS), _hashes(SECOND_PERSON)
 
-    def of(k):
-        rows = np.flatnonzero(part == k)
+    def of(rows):
         pieces = [data[offsets[r]:offsets[r + 1]] for r in rows]
         ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        return (np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)), ends, labels[rows].astype(float)
-
-    d, o, y = of(0)
-    lexicon = learn_lexicon(Words(d, o), y) if len(d) else np.zeros(0, np.uint64)
-    start = Model(lexicon, insults, you, None, None)
-    d, o, y = of(1)
-    forest = trees.fit(start.dense(d, o), y)
-    d, o, y = of(2)
-    calibration = trees.isotonic(forest.margin(start.dense(d, o)), y)
-    return Model(lexicon, insults, you, forest, calibration)
+        return np.concatenate([*pieces, np.zeros(0, np.uint8)]), ends
+
+    def lexicon_of(rows):
+        d, o = of(rows)
+        return learn_lexicon(Words(d, o), labels[rows].astype(float)) if len(d) else np.zeros(0, np.uint64)
+
+    y = labels.astype(float)
+    dense = np.zeros((len(y), FEATURES))
+    parts = [np.flatnonzero(part == k) for k in range(3)]
+    for own in parts:
+        others = np.setdiff1d(np.arange(len(y)), own)
+        if len(own):
+            dense[own] = Model(lexicon_of(others), insults, you, None, None).dense(*of(own))
+    margin = np.zeros(len(y))
+    for own in parts:
+        others = np.setdiff1d(np.arange(len(y)), own)
+        margin[own] = trees.fit(dense[others], y[others]).margin(dense[own])
+    return Model(lexicon_of(np.arange(len(y))), insults, you, trees.fit(dense, y), trees.isotonic(margin, y))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
