@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from . import text
-from ..plans.checkpoints import cut
+from ..plans.checkpoints import cut, cut_counted
 from .components import components
 
 CHUNKS, CHUNK_SLOTS = 8, 4
@@ -43,6 +43,8 @@ SLOTS = CHUNKS * CHUNK_SLOTS
 #: beyond it once in half a million.
 FAR_SLOTS = 18
 SMALL_BUCKET = 16
+#: Ids (of eight bytes) that may be sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Shingles in a block of sets, and how many are compared at once.
 BLOCK_SHINGLES, COLUMNS = 1 << 19, 4096
 #: Share of a block's pairs from which on a shingle is counted in the matrix product, and
@@ -314,10 +316,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .where("a <> b").distinct()
     )
     near = cut(_near_enough(pairs, classes, percent))
-    asked = (
+    asked, n_asked = cut_counted(
         near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id")))
         .unionByName(large.select(F.col("rep").alias("doc_id"))).distinct()
     )
+    # Few ids go to the texts, so that texts without a partner need not move.
+    asked = F.broadcast(asked) if n_asked <= BROADCAST_IDS else asked
     sets = cut(
         docs.select("doc_id", "text").join(asked, "doc_id").dropDuplicates(["doc_id"])
         .select("doc_id", _sets_udf(words)(F.col("text")).alias("set"))
