@@ -20,11 +20,12 @@ class AnalysisConfig:
     forest_seed: int = 42
     high_confidence: float = 0.80
     min_confidence: float = 0.0
-    archaeology_cap: int = 20
+    # Issues to investigate in each repo, in order of detection; all if None.
+    archaeology_cap: int | None = None
     neighbours: int = 3
     provider: str = "llamacpp"
-    # A source file above this size goes to the error table instead of a parser.
-    max_file_bytes: int = 16 * 1024 * 1024
+    # A source file above this size goes to the error table instead of a parser; none if None.
+    max_file_bytes: int | None = None
 
 
 DEFAULT_CONFIG = AnalysisConfig()

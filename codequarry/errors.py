@@ -1,25 +1,9 @@
-"""Typed errors. Bad rows go to error tables; these are for bad calls and bad stages."""
+"""Errors for bad calls. Bad rows go to error tables instead."""
 
 
-class QuarryError(Exception):
-    """Root of all errors raised by this library."""
+class SourceTreeError(ValueError):
+    """There is no folder to read source files from."""
 
 
-class FileScanError(QuarryError):
-    """The source tree does not exist or is not a directory."""
-
-
-class FunctionExtractionError(QuarryError):
-    """Source text could not be turned into functions."""
-
-
-class EmbeddingError(QuarryError):
-    """An encoder could not be built or returned vectors of the wrong shape."""
-
-
-class PatchError(QuarryError):
-    """A patch stage was called with tables it cannot use."""
-
-
-class CheckpointError(QuarryError):
+class CheckpointError(RuntimeError):
     """No shared checkpoint folder is set on a cluster session."""

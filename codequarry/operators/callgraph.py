@@ -23,17 +23,19 @@ def call_nodes(parsed: DataFrame) -> DataFrame:
     (``get``, ``run``) is reduced before the shuffle."""
     code = F.col("code")
     f = functions(parsed).select(
-        "repo", F.col("function_name").alias("name"), "file_path", "start_line",
-        F.left(code, F.lit(120)).alias("code"),
-        F.struct(T.path_order(F.col("file_path")), F.col("func_seq")).alias("at"),
+        "repo", F.col("function_name").alias("name"), "file_path", "start_line", "func_seq", "code",
+    )
+    # Names and places are reduced without the text, which is fetched for the last ones only.
+    marks = f.select(
+        *KEY, F.struct(T.path_order(F.col("file_path")).alias("path"), "func_seq", "file_path").alias("at"),
         T.contains_any(code, fixed.SOURCE_SUBSTRINGS).alias("src"),
         T.contains_any(code, fixed.SINK_SUBSTRINGS).alias("snk"),
-    )
-    last = F.max_by(F.struct("file_path", "start_line", "code"), F.col("at"))
-    return f.groupBy(*KEY).agg(
-        last.alias("last"), F.bool_or("src").alias("is_source"),
+    ).groupBy(*KEY).agg(
+        F.max("at").alias("last"), F.bool_or("src").alias("is_source"),
         F.bool_or("snk").alias("is_sink"),
-    ).select(*KEY, "last.file_path", "last.start_line", "last.code", "is_source", "is_sink")
+    ).select(*KEY, "last.file_path", "last.func_seq", "is_source", "is_sink")
+    place = ["repo", "name", "file_path", "func_seq"]
+    return marks.join(f, place).select(*KEY, "file_path", "start_line", "code", "is_source", "is_sink")
 
 
 def call_edges(parsed: DataFrame) -> DataFrame:
@@ -216,7 +218,7 @@ def taint_issues(paths: DataFrame, nodes: DataFrame) -> DataFrame:
         F.lit(fixed.CONFIDENCE["taint_flow"]).alias("confidence"),
         F.col("source").alias("function"), F.col("file_path").alias("file"),
         F.col("start_line").alias("line_number"), F.col("start_line").alias("file_line"),
-        F.col("code").alias("code_snippet"),
+        F.left("code", F.lit(120)).alias("code_snippet"),
         F.format_string("taint_%s_%s", "source", "sink").alias("chunk_id"),
         arrows.alias("taint_path"), F.col("sink").alias("sink_function"),
         "sink_file", "sink_line",

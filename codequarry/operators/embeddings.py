@@ -46,14 +46,14 @@ def embed_with(df: DataFrame, make_encoder: Callable[[], Encoder], text: str = "
 
 
 def embed_hashed(df: DataFrame, text: str = "code", dimensions: int = 256) -> DataFrame:
-    """Add ``embedding``: hashed token counts of unit length, all in the JVM."""
-    tokens, counts, unit = "__tokens", "__counts", "__unit"
+    """Add ``embedding``: hashed token counts of unit length, all in the JVM.
+    A null text has none."""
+    said, tokens, counts, unit = "__said", "__tokens", "__counts", "__unit"
     out = RegexTokenizer(
-        inputCol=text, outputCol=tokens, pattern=r"\w+|[^\w\s]", gaps=False,
+        inputCol=said, outputCol=tokens, pattern=r"\w+|[^\w\s]", gaps=False,
         toLowercase=False,
-    ).transform(df)
+    ).transform(df.withColumn(said, F.coalesce(text, F.lit(""))))
     out = HashingTF(inputCol=tokens, outputCol=counts, numFeatures=dimensions).transform(out)
     out = Normalizer(inputCol=counts, outputCol=unit, p=2.0).transform(out)
-    return out.withColumn("embedding", vector_to_array(unit, "float32")).drop(
-        tokens, counts, unit
-    )
+    vector = F.when(F.col(text).isNotNull(), vector_to_array(unit, "float32"))
+    return out.withColumn("embedding", vector).drop(said, tokens, counts, unit)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.ages import age_text, days_old
 from ..plans.checkpoints import cut
-from ..plans.skew import SMALL_ROWS, keep_last, spread_lookup
+from ..plans.skew import keep_last, spread_lookup
 
 SEQ_BUCKET = 4_096
 
@@ -173,22 +173,16 @@ def investigate(
     return told.select(*issues.columns, archaeology(as_of).alias("archaeology"))
 
 
-def attach(
-    issues: DataFrame, investigated: DataFrame, at_most: int | None = None
-) -> DataFrame:
+def attach(issues: DataFrame, investigated: DataFrame) -> DataFrame:
     """Copy each story to every issue of its chunk; the last one of a chunk wins.
 
-    ``investigated``: chunk_id, seq, archaeology. ``at_most`` is the cap it was limited to,
-    if any; a capped list is sent to the issues, so that they are not shuffled.
+    ``investigated``: repo where issues have one, chunk_id, seq, archaeology.
     """
+    keys = [k for k in ("repo", "chunk_id") if k in issues.columns]
     stories = keep_last(
-        investigated.select("chunk_id", "seq", "archaeology"), ["chunk_id"], F.col("seq")
+        investigated.select(*keys, "seq", "archaeology"), keys, F.col("seq")
     ).drop("seq")
-    if at_most is not None and at_most <= SMALL_ROWS:
-        return issues.join(F.broadcast(stories), "chunk_id", "left")
-    return spread_lookup(
-        issues, stories, ["chunk_id"], spread_by=["issue_id"], how="left"
-    )
+    return spread_lookup(issues, stories, keys, spread_by=["issue_id"], how="left")
 
 
 def counters(investigated: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ISSUE_SCHEMA = {
     "repo": "string", "type": "string", "severity": "string", "confidence": "double",
@@ -56,7 +56,7 @@ def union(**detected: DataFrame | None) -> DataFrame:
     if out is None:
         raise ValueError("no detector output given")
     key = F.to_json(F.struct("repo", "type", "chunk_id", "seq"))
-    return out.withColumn("issue_id", F.left(F.sha2(key, 256), F.lit(16)))
+    return out.withColumn("issue_id", F.sha2(key, 256))
 
 
 def at_least(issues: DataFrame, threshold: float) -> DataFrame:
@@ -65,7 +65,18 @@ def at_least(issues: DataFrame, threshold: float) -> DataFrame:
 
 
 def first_high_confidence(
-    issues: DataFrame, threshold: float = 0.80, cap: int = 20
+    issues: DataFrame, threshold: float = 0.80, cap: int | None = None
 ) -> DataFrame:
-    """The first few high-confidence issues in order of detection."""
-    return at_least(issues, threshold).orderBy("seq").limit(cap)
+    """High-confidence issues; with a ``cap`` the first so many in order of detection, of
+    each repo where issues have one."""
+    found = at_least(issues, threshold)
+    if cap is None:
+        return found
+    if "repo" not in issues.columns:
+        return found.orderBy("seq").limit(cap)
+    # Of each part of a repo the first few, then of what is left the first few again.
+    parts = found.withColumn("__part", F.pmod(F.xxhash64("seq"), F.lit(64)))
+    for keys in (["repo", "__part"], ["repo"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
+        parts = parts.withColumn("__n", place).where(F.col("__n") <= cap)
+    return parts.drop("__n", "__part")

@@ -23,6 +23,8 @@ from ..plans.skew import keep_last, spread_lookup
 SMALL_LIBRARY_ROWS = 16_384
 SMALL_QUERY_ROWS = 2_048
 PACK_ROWS = 2_048
+# Digits that scores are compared with, in every form of the search.
+SCORE_DIGITS = 6
 # Groups one key is spread over; without keys, as many as there are shuffle partitions.
 INDEX_SALTS = 64
 QUERY_SALTS = 8
@@ -64,7 +66,8 @@ def best_pattern(chunks: DataFrame, patterns: DataFrame, id_column: str = "chunk
     most similar to each chunk, the earliest one on ties.
 
     A pattern library is small, so after a look at its size it is sent to every task
-    as one matrix. A larger one goes through the pack join (scores to six digits).
+    as one matrix. A larger one goes through the pack join. Scores have six digits in either
+    form, so that ties are the same.
     """
     chunks = chunks.where(has_vector(F.col("embedding")))
     library = patterns.where(has_vector(F.col("embedding"))).select("ord", "embedding")
@@ -93,7 +96,7 @@ def best_pattern(chunks: DataFrame, patterns: DataFrame, id_column: str = "chunk
         m = matrix.value
         values = vectors.flatten().to_numpy(zero_copy_only=False)
         scores = _unit_rows(values.reshape(len(vectors), m.shape[1])) @ m.T
-        scores = np.round(scores, 12)
+        scores = np.round(scores, SCORE_DIGITS)
         best = scores.argmax(axis=1)
         return pa.StructArray.from_arrays(
             [pa.array(best, pa.int32()),
@@ -321,7 +324,7 @@ def _pair_products(k: int, schema):
                 a = np.frombuffer(row["query_matrix"]).reshape(len(row["query_ids"]), -1)
                 b = np.frombuffer(row["matrix"]).reshape(len(row["ids"]), -1)
                 yield _hits_batch(
-                    row["query_ids"], row["ids"], np.round(a @ b.T, 6), k, schema
+                    row["query_ids"], row["ids"], np.round(a @ b.T, SCORE_DIGITS), k, schema
                 )
 
     return run
@@ -342,7 +345,7 @@ def _scan_index(index: DataFrame, small: tuple, k: int, schema) -> DataFrame:
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            scores = np.round(q @ _unit_rows(flat.reshape(len(ids), -1)).T, 6)
+            scores = np.round(q @ _unit_rows(flat.reshape(len(ids), -1)).T, SCORE_DIGITS)
             best = _best(scores, ids, k)
             new = np.take_along_axis(scores, best, 1)
             new_ids = ids[best]

@@ -8,6 +8,7 @@ Source text is only ever parsed, never imported or run.
 from __future__ import annotations
 
 import ast
+import textwrap
 import warnings
 
 import pyarrow as pa
@@ -157,18 +158,16 @@ def _syntax_facts(code: pa.Array) -> pa.Array:
 
 @F.arrow_udf(BooleanType())
 def _parses(text: pa.Array) -> pa.Array:
-    def ok(source):
-        for attempt in (
-            source,
-            "class _Holder:\n" + "\n".join("    " + r for r in source.splitlines()),
-        ):
+    def ok(source: str) -> bool:
+        # Methods come indented or bare; as the body of a block they are valid as well.
+        for candidate in (source, "if 1:\n" + textwrap.indent(source, " ")):
             try:
-                parse_text(attempt)
-                return True
+                parse_text(candidate)
             except SyntaxError:
                 continue
             except PARSE_FAILURES:
-                return False
+                break
+            return True
         return False
 
     return pa.array([None if t is None else ok(t) for t in text.to_pylist()], pa.bool_())

@@ -210,7 +210,10 @@ def choose(
     source = F.when(template.isNotNull(), "rule_based").otherwise("none")
     if responses is not None:
         checked = check_responses(responses.select("issue_id", "response", "kind"))
-        valid = checked.where("is_valid").select("issue_id", "cleaned", "kind")
+        # Of several valid responses to an issue the first by text is taken.
+        valid = checked.where("is_valid").groupBy("issue_id").agg(
+            F.min(F.struct("cleaned", "kind")).alias("first")
+        ).select("issue_id", "first.*")
         work = work.join(valid, "issue_id", "left")
         taken = goes_to_model(F.col("type")) & F.col("cleaned").isNotNull()
         with_examples = F.col("kind") == "retrieval"

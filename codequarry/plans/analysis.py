@@ -123,18 +123,18 @@ def analyze(
             issues, config.high_confidence, config.archaeology_cap
         )
         asked_lines = first.select(
-            "issue_id", "chunk_id", "seq",
+            "issue_id", "repo", "chunk_id", "seq",
             V.relative_path(F.col("file"), inputs.root).alias("file"),
             F.col("file_line").alias("line_no"),
         )
         told = history.investigate(
             cut(asked_lines), inputs.line_history, inputs.versions, inputs.as_of
         )
-        issues = cut(history.attach(issues, told, config.archaeology_cap))
+        issues = cut(history.attach(issues, told))
 
     return {
-        "functions": functions, "function_args": parse.function_args(parsed),
-        "parse_errors": parse.parse_errors(parsed),
+        "functions": functions, "function_args": parse.function_args(parsed.where("is_strict")),
+        "parse_errors": parse.parse_errors(parsed.where("is_strict")),
         "call_nodes": nodes, "call_edges": callgraph.call_edges(parsed),
         "taint_paths": paths, "chunks": chunks, "index": rows,
         "convention_profile": conventions.profile(measured),

@@ -8,13 +8,14 @@ corpora should be compacted to Parquet once and read from there.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import DEFAULT_CONFIG, AnalysisConfig
-from ..errors import FileScanError
+from ..errors import SourceTreeError
 
 GROUP_BYTES = 64 * 1024 * 1024
 GROUP_FILES = 4_000
@@ -31,17 +32,20 @@ def _local(root: str) -> str | None:
     return None if "://" in root else os.path.abspath(root)
 
 
-def _listing(root: str, suffix: str):
-    """(path, size) of each file below the root, with any name."""
+def _listing(root: str, suffix: str, skipped: frozenset = frozenset(), prefixes: tuple = ()):
+    """(path, size) of the files below the root, with any name; ``skipped`` folders are not
+    entered, files of that name or with one of ``prefixes`` not listed."""
+    def wanted(name: str) -> bool:
+        return name.endswith(suffix) and name not in skipped and not name.startswith(prefixes)
+
     local = _local(root)
     if local is not None:
-        if not os.path.exists(local):
-            raise FileScanError(f"Repository path does not exist: {root}")
         if not os.path.isdir(local):
-            raise FileScanError(f"Expected a directory, got: {root}")
-        for folder, _, names in os.walk(local):
+            raise SourceTreeError(f"no folder of source files at {root}")
+        for folder, folders, names in os.walk(local):
+            folders[:] = [f for f in folders if f not in skipped]
             for name in names:
-                if name.endswith(suffix):
+                if wanted(name):
                     path = os.path.join(folder, name)
                     yield path, os.path.getsize(path) if os.path.isfile(path) else 0
         return
@@ -49,26 +53,33 @@ def _listing(root: str, suffix: str):
 
     filesystem, base = fs.FileSystem.from_uri(root)
     if filesystem.get_file_info(base).type != fs.FileType.Directory:
-        raise FileScanError(f"Expected a directory, got: {root}")
-    for info in filesystem.get_file_info(fs.FileSelector(base, recursive=True)):
-        if info.type == fs.FileType.File and info.path.endswith(suffix):
-            yield info.path, info.size
+        raise SourceTreeError(f"no folder of source files at {root}")
+    todo = [base]
+    while todo:
+        for info in filesystem.get_file_info(fs.FileSelector(todo.pop())):
+            if info.type == fs.FileType.Directory and info.base_name not in skipped:
+                todo.append(info.path)
+            elif info.type == fs.FileType.File and wanted(info.base_name):
+                yield info.path, info.size
 
 
 class _TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
         self.suffix = options.get("suffix", ".py")
-        self.limit = int(options.get("maxfilebytes", DEFAULT_CONFIG.max_file_bytes))
+        limit = options.get("maxfilebytes", "")
+        self.limit = int(limit) if limit else None
+        self.skipped = frozenset(json.loads(options.get("skipped", "[]")))
+        self.prefixes = tuple(json.loads(options.get("prefixes", "[]")))
 
     def partitions(self):
         groups, paths, size = [], [], 0
-        for path, length in _listing(self.root, self.suffix):
+        for path, length in _listing(self.root, self.suffix, self.skipped, self.prefixes):
             if paths and (size + length > GROUP_BYTES or len(paths) >= GROUP_FILES):
                 groups.append(_FileGroup(paths))
                 paths, size = [], 0
             paths.append((path, length))
-            size += min(length, self.limit)
+            size += length
         if paths or not groups:
             groups.append(_FileGroup(paths))
         return groups
@@ -83,7 +94,7 @@ class _TreeReader(DataSourceReader):
             base = local
         for path, length in partition.paths:
             relative = path[len(base):].lstrip("/")
-            if length > self.limit:
+            if self.limit is not None and length > self.limit:
                 yield path, relative, length, None, "file is larger than the limit"
                 continue
             try:
@@ -119,7 +130,7 @@ class SourceTree(DataSource):
 def scan_tree(
     spark: SparkSession, root: str, config: AnalysisConfig = DEFAULT_CONFIG
 ) -> DataFrame:
-    """All ``*.py`` files below a root, undecoded, exclusions applied."""
+    """All ``*.py`` files below a root, undecoded. What is excluded is never opened."""
     local = _local(root)
     if local is not None and not os.path.isdir(local):
         next(_listing(root, ".py"), None)
@@ -127,7 +138,9 @@ def scan_tree(
     tree = (
         spark.read.format("source_tree")
         .option("suffix", ".py")
-        .option("maxfilebytes", config.max_file_bytes)
+        .option("maxfilebytes", "" if config.max_file_bytes is None else config.max_file_bytes)
+        .option("skipped", json.dumps(sorted(config.excluded_dirs)))
+        .option("prefixes", json.dumps(sorted(config.excluded_prefixes)))
         .load(root)
     )
     return tree.where(~is_excluded(F.col("rel_path"), config))

@@ -318,7 +318,7 @@ def q_call_edges(spark, sf_dir):
 
 
 @query(CTES + """
-SELECT function_name AS name, file_path, start_line, left(code, 120) AS code, is_source,
+SELECT function_name AS name, file_path, start_line, code, is_source,
        is_sink FROM fn""")
 def q_call_nodes(spark, sf_dir):
     return callgraph.call_nodes(parsed(spark, sf_dir)).drop("repo")

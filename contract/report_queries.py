@@ -85,7 +85,7 @@ def q_high_confidence(spark, sf_dir):
 SELECT seq, type, confidence FROM i WHERE coalesce(confidence, 0) >= 0.8
 ORDER BY seq LIMIT 20""")
 def q_to_investigate(spark, sf_dir):
-    return I.first_high_confidence(issues_v(spark, sf_dir)).select(
+    return I.first_high_confidence(issues_v(spark, sf_dir), cap=20).select(
         "seq", "type", "confidence"
     )
 
@@ -261,17 +261,17 @@ def q_archaeology_counts(spark, sf_dir):
 
 
 @query(_I + """,
-first AS (SELECT * FROM i WHERE coalesce(confidence, 0) >= 0.8 ORDER BY seq LIMIT 20)
+first AS (SELECT * FROM i WHERE coalesce(confidence, 0) >= 0.8)
 SELECT i.seq, i.function, t.s AS story
 FROM i LEFT JOIN (SELECT function, max(seq) AS s FROM first GROUP BY 1) t USING (function)
 """)
 def q_attach_archaeology(spark, sf_dir):
-    """Stories of the first 20 issues copied to every issue of the same chunk."""
+    """Stories of high-confidence issues copied to every issue of the same chunk."""
     found = issues_v(spark, sf_dir).withColumns(
         {"chunk_id": F.col("function"), "issue_id": F.col("seq")}
     )
     first = I.first_high_confidence(found).withColumn("archaeology", F.col("seq"))
-    return history.attach(found, first, at_most=20).select(
+    return history.attach(found, first).select(
         "seq", "function", F.col("archaeology").alias("story")
     )
 

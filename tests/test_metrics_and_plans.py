@@ -86,13 +86,19 @@ def test_results_round_trip(spark, tmp_path, rows):
     save_json(df, str(tmp_path / "j"))
     save_table(df, str(tmp_path / "p"), "type")
     schema = "type string, confidence double"
-    assert rows(load_json(spark, str(tmp_path / "j"), schema)) == rows(df)
+    good, rejects = load_json(spark, str(tmp_path / "j"), schema)
+    assert rows(good) == rows(df) and rejects.count() == 0
     assert rows(spark.read.parquet(str(tmp_path / "p")), "type", "confidence") == rows(df)
-    assert load_json(spark, str(tmp_path / "none"), schema).count() == 0
+    assert load_json(spark, str(tmp_path / "none"), schema)[0].count() == 0
     (tmp_path / "array.json").write_text('[\n {"type": "x", "confidence": 0.5},\n {"type": "y"}\n]')
     (tmp_path / "broken.json").write_text("[ {")
-    assert rows(load_json(spark, str(tmp_path / "array.json"), schema, array_file=True)) == [("x", 0.5), ("y", None)]
-    assert load_json(spark, str(tmp_path / "broken.json"), schema, array_file=True).count() == 0
+    assert rows(load_json(spark, str(tmp_path / "array.json"), schema, array_file=True)[0]) == [("x", 0.5), ("y", None)]
+    good, rejects = load_json(spark, str(tmp_path / "broken.json"), schema, array_file=True)
+    assert good.count() == 0 and rejects.count() == 1
+    (tmp_path / "lines.json").write_text('{"type": "x", "confidence": 0.5}\n{"type": "y", "confidence": "high"}\n{"ty')
+    good, rejects = load_json(spark, str(tmp_path / "lines.json"), schema)
+    assert rows(good) == [("x", 0.5)]
+    assert sorted(r["_corrupt_record"] for r in rejects.collect()) == ['{"ty', '{"type": "y", "confidence": "high"}']
 
 
 def test_index_from_a_stream(spark, tmp_path, rows):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.config import AnalysisConfig
-from codequarry.errors import FileScanError
+from codequarry.errors import SourceTreeError
 from codequarry.operators import chunks as C, parse
 from codequarry.sources import files as S
 
@@ -138,10 +138,10 @@ def test_scan_tree(spark, tmp_path):
 
 
 def test_scan_of_no_folder(spark, tmp_path):
-    with pytest.raises(FileScanError):
+    with pytest.raises(SourceTreeError):
         S.scan_tree(spark, str(tmp_path / "none"))
     (tmp_path / "f.py").write_text("")
-    with pytest.raises(FileScanError):
+    with pytest.raises(SourceTreeError):
         S.scan_tree(spark, str(tmp_path / "f.py"))
 
 
