@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.ages import age_text, days_old
 from ..plans.checkpoints import cut
-from ..plans.skew import keep_last, spread_lookup
+from ..plans.skew import keep_last, shared, spread_lookup
 
 SEQ_BUCKET = 4_096
+LINE_BLOCK = 64
 
 ARCHAEOLOGY = (
     "investigated", "reason", "author", "author_email", "commit_hash", "commit_summary",
@@ -42,7 +43,7 @@ def parse_blame(porcelain: Column) -> Column:
 
 
 def line_owners(line_history: DataFrame) -> DataFrame:
-    """(file, line_no) → the last commit that touched the line.
+    """(repo if given, file, line_no) → the last commit that touched the line.
 
     ``line_history``: file, line_from, line_to, commit_id, committed_at, and any commit
     facts. The last change wins, then the greatest commit id. Each covered line is one
@@ -51,36 +52,54 @@ def line_owners(line_history: DataFrame) -> DataFrame:
     lines = line_history.withColumn(
         "line_no", F.explode(F.sequence("line_from", "line_to"))
     ).drop("line_from", "line_to")
+    keys = shared(["repo", "file"], line_history)
+    return keep_last(lines, [*keys, "line_no"], F.struct("committed_at", "commit_id"))
+
+
+def asked_owners(line_history: DataFrame, issues: DataFrame) -> DataFrame:
+    """:func:`line_owners` of the lines that issues (file, line_no) ask about.
+
+    Changes and lines meet by blocks of lines, and only changes to asked blocks are looked
+    at, so a change to a long range costs a row per block and no history is spread out line
+    by line."""
+    keys = shared(["repo", "file"], line_history, issues)
+    block = F.floor(F.col("line_no") / LINE_BLOCK).cast("long").alias("block")
+    lines = issues.where(F.col("line_no").isNotNull()).select(*keys, "line_no", block).distinct()
+    changes = line_history.join(lines.select(*keys).distinct(), keys, "left_semi").withColumn(
+        "block", F.explode(F.sequence(
+            F.floor(F.col("line_from") / LINE_BLOCK).cast("long"), F.floor(F.col("line_to") / LINE_BLOCK).cast("long")))
+    )
+    facts = changes.join(lines, [*keys, "block"]).where("line_no between line_from and line_to")
     return keep_last(
-        lines, ["file", "line_no"], F.struct("committed_at", "commit_id")
+        facts.drop("block", "line_from", "line_to"), [*keys, "line_no"], F.struct("committed_at", "commit_id")
     )
 
 
 def blame(issues: DataFrame, owners: DataFrame, *, spread_by: list[str]) -> DataFrame:
     """Issues (file, line_no) with the owner of their line; no owner leaves NULLs."""
-    return spread_lookup(
-        issues, owners, ["file", "line_no"], spread_by=spread_by, how="left"
-    )
+    keys = shared(["repo", "file", "line_no"], issues, owners)
+    return spread_lookup(issues, owners, keys, spread_by=spread_by, how="left")
 
 
 def _earlier_max(rows: DataFrame, width: int, levels: int) -> DataFrame:
-    """``rows`` (file, seq, top) plus ``before``: the greatest ``top`` at a smaller seq.
+    """``rows`` (repo if given, file, seq, top) plus ``before``: the greatest ``top`` at a smaller seq.
 
     A prefix scan over ranges: a running maximum inside each range of ``width``, and the
     maximum of all earlier ranges from one summary row per range, found the same way one
     level up. Every group is as small as its range, however many rows a file has.
     """
-    order = Window.partitionBy("file", "bucket") if levels else Window.partitionBy("file")
+    keys = shared(["repo", "file"], rows)
+    order = Window.partitionBy(*keys, "bucket") if levels else Window.partitionBy(*keys)
     inside = order.orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
     if not levels:
         return rows.withColumn("before", F.max("top").over(inside))
     split = rows.withColumn("bucket", F.floor(F.col("seq") / width).cast("long"))
     local = split.withColumn("here", F.max("top").over(inside))
-    ranges = split.groupBy("file", "bucket").agg(F.max("top").alias("top"))
+    ranges = split.groupBy(*keys, "bucket").agg(F.max("top").alias("top"))
     carried = _earlier_max(
         ranges.withColumnRenamed("bucket", "seq"), width, levels - 1
-    ).select("file", F.col("seq").alias("bucket"), "before")
-    return local.join(carried, ["file", "bucket"]).select(
+    ).select(*keys, F.col("seq").alias("bucket"), "before")
+    return local.join(carried, [*keys, "bucket"]).select(
         *rows.columns, F.coalesce("here", "before").alias("before")
     )
 
@@ -90,15 +109,16 @@ def version_before(
 ) -> DataFrame:
     """``commits`` (file, seq) plus ``before_seq``: the greatest version of the file with
     a smaller ``seq``, NULL for the first. No commit meets every version of its file."""
-    asked = commits.select("file", "seq").distinct()
-    points = versions.select("file", "seq", F.col("seq").alias("top")).unionByName(
+    keys = shared(["repo", "file"], commits, versions)
+    asked = commits.select(*keys, "seq").distinct()
+    points = versions.select(*keys, "seq", F.col("seq").alias("top")).unionByName(
         asked.withColumn("top", F.lit(None).cast("long"))
     )
-    merged = points.groupBy("file", "seq").agg(F.max("top").alias("top"))
+    merged = points.groupBy(*keys, "seq").agg(F.max("top").alias("top"))
     found = _earlier_max(merged, width, levels).select(
-        "file", "seq", F.col("before").alias("before_seq")
+        *keys, "seq", F.col("before").alias("before_seq")
     )
-    return commits.join(found, ["file", "seq"])
+    return commits.join(found, [*keys, "seq"])
 
 
 def excerpt(content: Column, line_no: Column, context: int = 10) -> Column:
@@ -156,19 +176,21 @@ def investigate(
     ``commit_seq``, the place of the commit in the file's history; ``versions``: file,
     seq, content.
     """
+    keys = shared(["repo", "file"], issues, line_history, versions)
     # Read three times below.
-    owned = cut(blame(issues, line_owners(line_history), spread_by=["issue_id"]))
+    owned = cut(blame(issues, asked_owners(line_history, issues), spread_by=["issue_id"]))
     commits = owned.where(F.col("commit_seq").isNotNull()).select(
-        "file", F.col("commit_seq").alias("seq")
+        *keys, F.col("commit_seq").alias("seq")
     ).distinct()
-    before = version_before(commits, versions.select("file", "seq"))
+    known = versions.join(commits.select(*keys).distinct(), keys, "left_semi")
+    before = version_before(commits, known.select(*keys, "seq"))
     text = before.join(
-        versions.select("file", F.col("seq").alias("before_seq"),
-                        F.col("content").alias("before_content")),
-        ["file", "before_seq"],
-    ).select("file", F.col("seq").alias("commit_seq"), "before_content")
+        known.select(*keys, F.col("seq").alias("before_seq"),
+                     F.col("content").alias("before_content")),
+        [*keys, "before_seq"],
+    ).select(*keys, F.col("seq").alias("commit_seq"), "before_content")
     told = spread_lookup(
-        owned, text, ["file", "commit_seq"], spread_by=["issue_id"], how="left"
+        owned, text, [*keys, "commit_seq"], spread_by=["issue_id"], how="left"
     )
     return told.select(*issues.columns, archaeology(as_of).alias("archaeology"))
 

@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from .. import fixed_values as fixed
 from ..functions import text as T
 from ..functions.vectors import has_vector
-from ..plans.skew import keep_last, spread_lookup
+from ..plans.checkpoints import cut
+from ..plans.skew import keep_last_wide, shared, spread_lookup
 
 # Rows of a pattern library, or of a query side, that may be sent to every task (some tens
 # of MB of 1,000 wide vectors). Queries cost k result rows each in every task.
@@ -385,25 +386,30 @@ def similar_functions(
     ``queries``: chunk_id, function_name, embedding; ``index``: chunk_id, function,
     file, code, embedding.  Code is looked up for the few results only.
     """
-    hits = nearest(
-        queries.select(F.col("chunk_id").alias("query_id"), *within, "embedding"),
-        index.select(F.col("chunk_id").alias("id"), *within, "embedding"),
+    repo = shared(["repo"], queries, index)
+
+    def identity(df: DataFrame, name: str) -> DataFrame:
+        # A chunk id is unique within a repo only.
+        return df.withColumn(name, F.concat_ws("\u0001", *repo, F.col("chunk_id")))
+
+    queries = identity(queries, "query_id")
+    index = identity(index, "id")
+    hits = cut(nearest(
+        queries.select("query_id", *within, "embedding"), index.select("id", *within, "embedding"),
         k + 1, within=within, **how,
-    )
+    ))
+    wanted = index.join(hits.select("id").distinct(), "id", "left_semi")
     named = spread_lookup(
-        hits,
-        index.select(F.col("chunk_id").alias("id"), "function", "file", "code"),
+        hits, wanted.select("id", F.col("chunk_id").alias("similar_id"), "function", "file", "code"),
         ["id"], spread_by=["query_id"],
     )
-    own = queries.select(
-        F.col("chunk_id").alias("query_id"), F.col("function_name").alias("own_name")
-    )
+    own = queries.select("query_id", *repo, "chunk_id", F.col("function_name").alias("own_name"))
     others = named.join(own, "query_id").where(F.col("function") != F.col("own_name"))
     w = Window.partitionBy("query_id").orderBy("rank")
     return (
         others.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
         .select(
-            F.col("query_id").alias("chunk_id"), "n", F.col("id").alias("similar_id"),
+            *repo, "chunk_id", "n", "similar_id",
             "function", T.base_name(F.col("file")).alias("file"), "code",
             F.bround("similarity", 3).alias("similarity"),
         )
@@ -414,24 +420,33 @@ def similar_functions(
 
 
 def index_rows(chunks: DataFrame) -> DataFrame:
-    """Chunks with a vector in the form they are indexed; the last of equal ids wins."""
+    """Chunks with a vector in the form they are indexed; the last of equal ids in a repo
+    wins."""
     order = [c for c in ("rel_path", "func_seq", "part") if c in chunks.columns]
-    key = F.struct(*order) if order else F.struct("file_path", "start_line")
-    rows = chunks.where(has_vector(F.col("embedding"))).withColumn("__order", key)
-    kept = keep_last(rows, ["chunk_id"], F.col("__order"))
+    order = order or ["file_path", "start_line"]
+    keys = shared(["repo", "chunk_id"], chunks)
+    kept = keep_last_wide(chunks.where(has_vector(F.col("embedding"))), keys, order)
     return kept.select(
-        *(["repo"] if "repo" in chunks.columns else []),
-        "chunk_id", "embedding", "code", F.col("function_name").alias("function"),
+        *keys, "embedding", "code", F.col("function_name").alias("function"),
         F.col("file_path").alias("file"),
         F.coalesce(F.col("start_line"), F.lit(0)).cast("string").alias("start"),
     )
 
 
 def new_rows(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Index rows whose id is not in the index yet.
+    """Index rows whose id is not in the index of their repo yet.
 
     The ids are looked up from the small side: only ids of the index that occur in
     ``rows`` are kept, so a large index is not shuffled when ``rows`` is small.
     """
-    known = index.select("chunk_id").join(rows.select("chunk_id"), "chunk_id", "left_semi")
-    return rows.join(known, "chunk_id", "left_anti")
+    keys = shared(["repo", "chunk_id"], rows, index)
+    known = index.select(*keys).join(rows.select(*keys), keys, "left_semi")
+    return rows.join(known, keys, "left_anti")
+
+
+def index_size(index: DataFrame) -> DataFrame:
+    """(repo, rows): how many chunks the index holds, in all (repo NULL) and by repo."""
+    repo = F.col("repo") if "repo" in index.columns else F.lit(None).cast("string")
+    return index.select(repo.alias("repo")).rollup("repo").agg(
+        F.count(F.lit(1)).alias("rows"), F.grouping("repo").alias("all")
+    ).where((F.col("all") == 1) | F.col("repo").isNotNull()).select("repo", "rows")

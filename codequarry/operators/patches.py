@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fixed
 from ..functions import text as T
-from ..plans.skew import keep_last, spread_lookup
+from ..plans.skew import keep_last_wide, shared, spread_lookup
 from .parse import parses
 
 
@@ -16,26 +16,28 @@ from .parse import parses
 def with_chunks(issues: DataFrame, chunks: DataFrame) -> DataFrame:
     """Issues with the chunk they are about, as ``chunk`` columns.
 
-    The last of several chunks with one id wins. An issue without a chunk is dropped,
+    The last of several chunks with one id in a repo wins. An issue without a chunk is dropped,
     except a taint flow: it spans functions and is its own chunk.
     """
     has_vector = (
         F.coalesce(F.size("embedding") > 0, F.lit(False))
         if "embedding" in chunks.columns else F.lit(False)
     )
-    order = [c for c in ("rel_path", "func_seq", "part") if c in chunks.columns]
-    lookup = keep_last(
-        chunks.select(
-            "chunk_id", F.col("function_name").alias("chunk_function"),
+    keys = shared(["repo", "chunk_id"], issues, chunks)
+    place = [c for c in ("rel_path", "func_seq", "part") if c in chunks.columns]
+    place = place or ["file_path", "start_line"]
+    # Only chunks with an issue are looked at, and their text is not sorted to find the last.
+    asked = chunks.join(issues.select(*keys).distinct(), keys, "left_semi")
+    lookup = keep_last_wide(
+        asked.select(
+            *keys, F.col("function_name").alias("chunk_function"),
             F.col("file_path").alias("chunk_file"), F.col("code").alias("chunk_code"),
             has_vector.alias("chunk_has_vector"),
-            F.struct(*(order or ["file_path", "start_line"])).alias("chunk_order"),
+            *(F.col(c).alias(f"__{c}") for c in place),
         ),
-        ["chunk_id"], F.col("chunk_order"),
-    ).drop("chunk_order").withColumn("found", F.lit(True))
-    joined = spread_lookup(
-        issues, lookup, ["chunk_id"], spread_by=["issue_id"], how="left"
-    )
+        keys, [f"__{c}" for c in place],
+    ).drop(*(f"__{c}" for c in place)).withColumn("found", F.lit(True))
+    joined = spread_lookup(issues, lookup, keys, spread_by=["issue_id"], how="left")
     taint = F.col("type") == "taint_flow"
     return joined.where(F.col("found").isNotNull() | taint).select(
         *issues.columns,
@@ -86,7 +88,7 @@ def retrieval_prompt(examples: Column) -> Column:
 
 
 def example_sections(similar: DataFrame) -> DataFrame:
-    """(chunk_id, examples): the few similar functions of each chunk as one section."""
+    """(repo if given, chunk_id, examples): the few similar functions of each chunk as one section."""
     one = F.struct(
         "n",
         example_text(F.col("n"), F.col("function"), F.col("file"), F.col("similarity"),
@@ -96,7 +98,8 @@ def example_sections(similar: DataFrame) -> DataFrame:
     section = F.concat(
         F.lit(fixed.RETRIEVAL_EXAMPLES_HEAD), F.array_join(parts, "\n\n"), F.lit("\n")
     )
-    return similar.groupBy("chunk_id").agg(section.alias("examples"))
+    keys = shared(["repo", "chunk_id"], similar)
+    return similar.groupBy(*keys).agg(section.alias("examples"))
 
 
 def prompts(work: DataFrame, similar: DataFrame | None = None) -> DataFrame:
@@ -111,8 +114,10 @@ def prompts(work: DataFrame, similar: DataFrame | None = None) -> DataFrame:
             "issue_id", "chunk_id", F.lit("standard").alias("kind"),
             standard_prompt().alias("prompt"),
         )
+    keys = shared(["repo", "chunk_id"], asked, similar)
     joined = spread_lookup(
-        asked, example_sections(similar), ["chunk_id"], spread_by=["issue_id"], how="left"
+        asked, example_sections(similar.select(*keys, "n", "function", "file", "similarity", "code")),
+        keys, spread_by=["issue_id"], how="left",
     )
     hit = F.col("examples").isNotNull()
     return joined.select(

@@ -18,7 +18,7 @@ from ..operators.embeddings import embed_hashed
 from ..sources import files as S
 from ..sources.results import save_table
 from .checkpoints import cut
-from .skew import keep_last
+from .skew import keep_last_wide
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Inputs:
     patterns: DataFrame | None = None
     # issue_id, response, kind
     responses: DataFrame | None = None
-    # file, line_from, line_to, commit_id, committed_at, commit_seq, author, author_mail,
+    # repo (if there are several), file, line_from, line_to, commit_id, committed_at, commit_seq, author, author_mail,
     # ts_epoch, summary / file, seq, content; files are relative to ``root``.
     line_history: DataFrame | None = None
     versions: DataFrame | None = None
@@ -65,14 +65,14 @@ def analyze(
     config: AnalysisConfig = DEFAULT_CONFIG,
     inputs: Inputs = Inputs(),
     *,
-    per_repo: bool = False,
+    per_repo: bool = True,
     index: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All result tables of one corpus.
 
     ``files``: repo, file_path, rel_path, content and optionally ``is_strict``.
-    ``per_repo`` learns conventions and looks for similar functions within each repo
-    instead of over the corpus. Tables that several stages read are stored once.
+    ``per_repo`` learns conventions and looks for similar functions within each repo;
+    without it, over the corpus. Tables that several stages read are stored once.
     """
     spark = files.sparkSession
     by = ("repo",) if per_repo else ()
@@ -105,10 +105,10 @@ def analyze(
     rows = neighbours.index_rows(chunks)
     searched = rows if index is None else rows.unionByName(index)
     asked = work.where(P.goes_to_model(F.col("type")) & F.col("chunk_has_vector"))
-    wanted = asked.select("chunk_id").distinct()
+    wanted = asked.select("repo", "chunk_id").distinct()
     similar = cut(
         neighbours.similar_functions(
-            _one_per_id(chunks).join(wanted, "chunk_id"), searched, config.neighbours,
+            _one_per_id(chunks).join(wanted, ["repo", "chunk_id"]), searched, config.neighbours,
             within=by,
         )
     )
@@ -158,7 +158,7 @@ def _one_per_id(chunks: DataFrame) -> DataFrame:
     slim = chunks.where(has_vector(F.col("embedding"))).select(
         "repo", "chunk_id", "function_name", "embedding", place.alias("place")
     )
-    return keep_last(slim, ["chunk_id"], F.col("place")).drop("place")
+    return keep_last_wide(slim, ["repo", "chunk_id"], ["place"]).drop("place")
 
 
 def save(results: dict[str, DataFrame], folder: str, *names: str) -> None:

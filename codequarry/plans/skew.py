@@ -53,6 +53,21 @@ def step_join(
     return spread_lookup(table, frontier, keys, spread_by=spread_by)
 
 
+def shared(names: list[str], *tables: DataFrame) -> list[str]:
+    """Those of the key columns that all tables have; ``repo`` may be absent from a corpus
+    of one repository."""
+    return [n for n in names if all(n in t.columns for t in tables)]
+
+
+def keep_last_wide(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """:func:`keep_last` for rows with long texts or vectors: only keys and order columns
+    are reduced, and the rows they belong to are fetched afterwards. ``df`` should be a
+    stored table, since it is read twice. Rows equal in keys and order are one."""
+    best = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("__top"))
+    slim = best.select(*keys, *(F.col(f"__top.{o}").alias(o) for o in order))
+    return df.join(slim, [*keys, *order]).select(df.columns).dropDuplicates(keys)
+
+
 def keep_last(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One row per key: the one with the greatest order.  An aggregate with map-side
     combine, not a window, so a hot key is reduced before the shuffle."""
