@@ -42,8 +42,8 @@ LENGTH = 4096
 GRAIN = 16
 END_ID = 2
 PART_ROWS = 20_000
-PIECE_BYTES = 4 << 20
-MOST_WORDS = 1_500_000
+PIECE_BYTES = 2 << 20
+MOST_WORDS, AT_ONCE = 600_000, 4096
 MOST_PATTERNS = 20_000
 
 
@@ -63,9 +63,11 @@ class WordTokens:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = []
+        for k in range(0, len(words), AT_ONCE):  # the tokenizer's own results are large
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(words[k:k + AT_ONCE], add_special_tokens=False)]
         count = np.array([len(f) for f in found], np.int64)
-        ids = np.array([i for f in found for i in f], np.uint32)
+        ids = np.fromiter((i for f in found for i in f), np.uint32, int(count.sum()))
         start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
         order = np.argsort(merged := np.concatenate([self.hash, hashes]), kind="stable")
         self.hash, self.start = merged[order], start[order]
