@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,17 +15,23 @@ from ..plans.skew import spread_lookup
 def marks() -> dict[str, Column]:
     """Style marks of one chunk; every convention is a count over these."""
     code, name = F.col("code"), F.col("function_name")
-    hints = "|".join(fixed.TYPE_HINT_NAMES)
+
+    def shape(pattern: str) -> str:
+        return pattern.format(space=T.WS, word=T.WORD, names="|".join(fixed.TYPE_HINT_NAMES))
+
+    def any_of(words: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, (code.contains(w) for w in words))
+
     return {
-        "logs": code.contains("logger.") | code.contains("logging."),
-        "prints": code.contains("print("),
-        "documented": code.contains('"""') | code.contains("'''"),
-        "hinted": code.rlike(rf"(:{T.WS}*({hints})|->{T.WS}*{T.WORD})"),
-        "raises": code.contains("raise"),
-        "raises_custom": code.rlike(rf"raise{T.WS}+[A-Z][a-zA-Z]*Error{T.WS}*\("),
-        "raises_generic": code.rlike(rf"raise{T.WS}+Exception{T.WS}*\("),
-        "snake": name.rlike("[a-z]_[a-z]"),
-        "camel": name.rlike("[a-z][A-Z]"),
+        "logs": any_of(fixed.LOGGING_WORDS),
+        "prints": code.contains(fixed.PRINT_WORD),
+        "documented": any_of(fixed.DOCSTRING_MARKS),
+        "hinted": code.rlike(shape(fixed.TYPE_HINT_PATTERN)),
+        "raises": code.contains(fixed.RAISE_WORD),
+        "raises_custom": code.rlike(shape(fixed.CUSTOM_ERROR_PATTERN)),
+        "raises_generic": code.rlike(shape(fixed.GENERIC_ERROR_PATTERN)),
+        "snake": name.rlike(fixed.SNAKE_PATTERN),
+        "camel": name.rlike(fixed.CAMEL_PATTERN),
     }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .. import fixed_values as fixed
 from ..functions import text as T
 from ..functions.ages import age_text, days_old
 from ..plans.checkpoints import cut
@@ -142,12 +143,12 @@ def archaeology(as_of: int) -> Column:
     short = F.left(F.col("commit_id").cast("string"), F.lit(8))
     missing = (asked == "") | (line_no == 0)
     found = ~missing & F.col("commit_id").isNotNull()
-    reason = F.when(missing, "Issue missing file or line_number").when(
+    reason = F.when(missing, fixed.HISTORY_NO_PLACE).when(
         ~found,
-        F.format_string("git blame returned no result for %s:%d", asked, line_no),
+        F.format_string(fixed.HISTORY_NO_OWNER, asked, line_no),
     )
     insight = F.format_string(
-        "Bug %s by %s in commit %s: '%s'", age_text(days), F.col("author"), short,
+        fixed.HISTORY_INSIGHT, age_text(days), F.col("author"), short,
         F.left(F.col("summary"), F.lit(60)),
     )
 

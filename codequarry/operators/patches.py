@@ -41,10 +41,10 @@ def with_chunks(issues: DataFrame, chunks: DataFrame) -> DataFrame:
     taint = F.col("type") == "taint_flow"
     return joined.where(F.col("found").isNotNull() | taint).select(
         *issues.columns,
-        F.coalesce("chunk_function", "function", F.lit("unknown")).alias("chunk_function"),
-        F.coalesce("chunk_file", "file", F.lit("unknown")).alias("chunk_file"),
+        F.coalesce("chunk_function", "function", F.lit(fixed.UNKNOWN)).alias("chunk_function"),
+        F.coalesce("chunk_file", "file", F.lit(fixed.UNKNOWN)).alias("chunk_file"),
         F.coalesce(
-            "chunk_code", "code_snippet", F.lit("# taint flow spans multiple functions")
+            "chunk_code", "code_snippet", F.lit(fixed.NO_CHUNK_CODE)
         ).alias("chunk_code"),
         F.coalesce("chunk_has_vector", F.lit(False)).alias("chunk_has_vector"),
     )
@@ -167,16 +167,16 @@ def template_text() -> Column:
         text = F.lit(template)
         if issue_type == "semantic_similarity_flag":
             text = T.fill(
-                template, label=F.coalesce("pattern_label", F.lit("unknown")),
-                score=F.coalesce(F.col("similarity_score").cast("string"), F.lit("N/A")),
+                template, label=F.coalesce("pattern_label", F.lit(fixed.UNKNOWN)),
+                score=F.coalesce(F.col("similarity_score").cast("string"), F.lit(fixed.NOT_AVAILABLE)),
             )
         elif issue_type == "taint_flow":
             text = T.fill(
-                template, path=F.coalesce("taint_path", F.lit("source → sink")),
-                sink=F.coalesce("sink_function", F.lit("unknown")),
+                template, path=F.coalesce("taint_path", F.lit(fixed.NO_TAINT_PATH)),
+                sink=F.coalesce("sink_function", F.lit(fixed.UNKNOWN)),
             )
         elif issue_type == "statistical_anomaly":
-            score = F.coalesce(F.col("anomaly_score").cast("string"), F.lit("N/A"))
+            score = F.coalesce(F.col("anomaly_score").cast("string"), F.lit(fixed.NOT_AVAILABLE))
             text = T.fill(template, score=score)
         out = F.when(kind == issue_type, text) if out is None else out.when(
             kind == issue_type, text

@@ -350,12 +350,14 @@ SELECT o_orderkey AS issue_id, concat('r', o_custkey % 3) AS repo,
 FROM {orders}
 """
 
-RUNS = """
+ALL_RUNS = """
 SELECT o_orderkey AS issue_id,
        concat(o_custkey % 7, ' passed, ', o_orderkey % 3, ' failed') AS stdout,
        CASE WHEN o_orderkey % 5 = 0 THEN ', 1 error' ELSE '' END AS stderr
-FROM {orders} WHERE o_orderkey % 11 <> 0
+FROM {orders}
 """
+# Patches that could not be applied have no run.
+RUNS = ALL_RUNS + "WHERE o_orderkey % 11 <> 0"
 
 RESPONSES = """
 SELECT conv_id, turn,
