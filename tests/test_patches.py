@@ -98,3 +98,23 @@ def test_union_order_and_ids(spark):
     got = found.orderBy("seq").collect()
     assert [r.type for r in got] == ["eval_usage", "eval_usage", "taint_flow"]
     assert I.at_least(found, 0.1).count() == 0 and I.at_least(found, 0.0).count() == 3
+
+
+def test_one_chunk_id_in_two_repos(spark):
+    """Every join of chunks keeps the repositories apart."""
+    from codequarry.operators import neighbours as N
+
+    schema = "repo string, chunk_id string, function_name string, file_path string, start_line int, code string, embedding array<float>"
+    both = spark.createDataFrame([
+        ("r1", "c", "f", "a.py", 1, "one", [1.0, 0.0]), ("r2", "c", "f", "a.py", 1, "two", [0.0, 1.0]),
+        ("r1", "d", "g", "a.py", 9, "near one", [0.9, 0.1]), ("r2", "d", "g", "a.py", 9, "near two", [0.1, 0.9])], schema)
+    found = spark.createDataFrame([("r1", "i1", "c", "x"), ("r2", "i2", "c", "x")], "repo string, issue_id string, chunk_id string, type string").withColumns({
+        "function": F.lit("f"), "file": F.lit("a.py"), "code_snippet": F.lit("")})
+    assert {(r.issue_id, r.chunk_code) for r in P.with_chunks(found, both).collect()} == {("i1", "one"), ("i2", "two")}
+    index = N.index_rows(both)
+    assert {(r.repo, r.chunk_id, r.code) for r in index.collect()} == {
+        ("r1", "c", "one"), ("r2", "c", "two"), ("r1", "d", "near one"), ("r2", "d", "near two")}
+    assert N.new_rows(index, index.where("repo = 'r1'")).select("repo").distinct().collect()[0].repo == "r2"
+    assert {(r.repo, r["rows"]) for r in N.index_size(index).collect()} == {(None, 4), ("r1", 2), ("r2", 2)}
+    near = N.similar_functions(both.where("chunk_id = 'c'"), index, 1, within=("repo",)).collect()
+    assert {(r.repo, r.chunk_id, r.code) for r in near} == {("r1", "c", "near one"), ("r2", "c", "near two")}
