@@ -45,8 +45,8 @@ FAR_SLOTS = 18
 SMALL_BUCKET = 16
 #: Ids (of eight bytes) that may be sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Shingles in a block of sets, and how many are compared at once.
-BLOCK_SHINGLES, COLUMNS = 1 << 19, 4096
+#: About how many shingles and sets make a block, and how many shingles are compared at once.
+BLOCK_SHINGLES, BLOCK_SETS, COLUMNS = 1 << 19, 1000, 2048
 #: Share of a block's pairs from which on a shingle is counted in the matrix product, and
 #: pairs that are counted one by one at once.
 DENSE, PAIRS = 1 / 200, 2_000_000
@@ -261,8 +261,9 @@ def _across(members: DataFrame, pivots: DataFrame, sets: DataFrame, links: DataF
     )
     parts = held.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
     opened = parts.groupBy("g").agg(
-        F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")
-    ).where("parts > 1").select("g", F.col("top.c").alias("top"), F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("m").alias("m"),
+    ).where("parts > 1").select("g", F.col("top.c").alias("top"), F.ceil(F.greatest(
+        F.col("n") / BLOCK_SHINGLES, F.col("m") / BLOCK_SETS)).cast("int").alias("blocks"))
     rows = cut(
         held.drop("n").join(opened, "g").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
         .select("g", "c", "top", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "rep", "set")

@@ -25,6 +25,7 @@ no rows. Other columns are not looked at.
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import zlib
@@ -42,7 +43,7 @@ LENGTH = 4096
 GRAIN = 16
 END_ID = 2
 PART_ROWS = 20_000
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 MOST_WORDS, AT_ONCE = 600_000, 4096
 MOST_PATTERNS = 20_000
 
@@ -58,8 +59,8 @@ class WordTokens:
 
     def forget(self) -> None:
         self.hash = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.int32)
+        self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
@@ -68,10 +69,10 @@ class WordTokens:
             found += [e.ids for e in self.tokenizer.encode_batch_fast(words[k:k + AT_ONCE], add_special_tokens=False)]
         count = np.array([len(f) for f in found], np.int64)
         ids = np.fromiter((i for f in found for i in f), np.uint32, int(count.sum()))
-        start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-        order = np.argsort(merged := np.concatenate([self.hash, hashes]), kind="stable")
-        self.hash, self.start = merged[order], start[order]
-        self.count = np.concatenate([self.count, count])[order]
+        at = np.searchsorted(self.hash, hashes)  # both are in order
+        self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(count) - count)
+        self.count = np.insert(self.count, at, count)
+        self.hash = np.insert(self.hash, at, hashes)
         self.ids = np.concatenate([self.ids, ids])
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +94,8 @@ class WordTokens:
             raw = plain.tobytes()
             self.learn(kinds[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]], ends[first[new]])])
             at = np.searchsorted(self.hash, kinds)
-        count = self.count[at][which]
-        begin = self.start[at][which]
+        count = self.count[at][which].astype(np.int64)
+        begin = self.start[at][which].astype(np.int64)
         shift = np.cumsum(count) - count
         ids = self.ids[np.repeat(begin - shift, count) + np.arange(int(count.sum()))]
         place = np.append(shift, len(ids))
@@ -126,6 +127,8 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _word_tokens(source: str) -> WordTokens:
     """The word table of this process, shared by its tasks."""
+    # Spark's tasks share the cores already; threads of the tokenizer would only hold memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     place = sys.modules.setdefault("codequarry_word_tokens", types.ModuleType("codequarry_word_tokens"))

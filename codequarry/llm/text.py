@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 # Odd 64-bit multipliers of the hashes.
 BASE = 0x9E3779B97F4A7C15
