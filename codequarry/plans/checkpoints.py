@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import weakref
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -16,6 +17,7 @@ from ..errors import CheckpointError
 
 _numbers = itertools.count()
 _local_folders: dict[str, str] = {}
+_stored_at: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -41,7 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{next(_numbers):06d}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _stored_at[stored] = path
+    return stored
+
+
+def forget(*stored: DataFrame) -> None:
+    """Remove stored steps whose last reader has finished; others are left alone."""
+    for df in stored:
+        path = _stored_at.pop(df, None)
+        if path is not None:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_counted(df: DataFrame, n: Column | None = None) -> tuple[DataFrame, int]:

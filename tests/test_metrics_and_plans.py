@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,11 @@ def test_index_from_a_stream(spark, tmp_path, rows):
            ("s", "3", "h", "b.py", 5, "last", [4.0]))
     assert rows(read_index(spark, index), "repo", "chunk_id", "code", "start") == [
         ("r", "1", "x", "1"), ("s", "3", "last", "5")]
+
+
+def test_stored_steps_can_be_removed(spark):
+    step = K.cut(spark.range(5))
+    folder = step.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    K.forget(step, spark.range(3))
+    assert not os.path.exists(folder)
+    K.forget(step)
