@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.checkpoints import cut, cut_counted
+from ..plans.checkpoints import cut, cut_counted, forget
 
 
 def _star(edges: DataFrame, upward: bool) -> DataFrame:
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     smallest node. Rounds grow with the logarithm of a component's width; each is stored.
 
     Loops, repeated and reversed edges are allowed. No edges give no rows."""
-    now = cut(
+    now = held = cut(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
@@ -39,6 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
         stored, total = cut_counted(step.withColumn("__h", F.xxhash64("a", "b")))
         sums = stored.agg(F.sum(F.col("__h").cast("decimal(38,0)"))).first()[0]
         now = stored.drop("__h")
+        forget(held)  # the round before has no reader any more
+        held = stored
         if (total, sums) == before:
             break
         before = (total, sums)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from . import text
-from ..plans.checkpoints import cut, cut_counted
+from ..plans.checkpoints import cut, cut_counted, forget
 from .components import components
 
 CHUNKS, CHUNK_SLOTS = 8, 4
@@ -338,6 +338,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = cut(links.unionByName(_confirmed(rest, sets, percent)))
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     links = cut(links.unionByName(_across(large.select("key", "rep"), pivots, sets, links, percent).distinct()))
+    forget(buckets, members, near, sets)
     named = (
         classes.drop("sig").join(components(links).toDF("rep", "c"), "rep")
         .select("n", "h1", "h2", F.col("c").alias("component"))
