@@ -37,8 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import text
@@ -488,7 +487,7 @@ def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(depth)[:n] > 0
 
 
-def _apply(schema: pa.Schema):
+def _apply(schema: pa.Schema, as_text: bool):
     def run(rows: pa.Table, ranges: pa.Table) -> pa.Table:
         marks = {}
         packed = [zstandard.ZstdDecompressor().decompress(b.as_py()) for b in ranges.column("__ranges")]
@@ -508,17 +507,19 @@ def _apply(schema: pa.Schema):
             sizes.append(len(body))
             removed.append(int(gone.sum()))
             spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
-            kept.append(body[~gone].tobytes())
+            left = body[~gone].tobytes()
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
         columns = [rows.column(f.name) for f in list(schema)[:-4]] + [
-            pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+            pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, schema.field(len(schema) - 1).type)]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, batches: int = BATCHES, as_text: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``sa_bytes, sa_removed, sa_spans`` (counts) and ``sa_kept``
-    (the bytes that stay)."""
+    (the bytes that stay; with ``as_text`` a string, without what a cut has left of a
+    character)."""
     shape = docs.agg(
         F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)
     ).first()
@@ -539,15 +540,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, batches: int = BATCHES) ->
     )
     out = T.StructType(docs.schema.fields + [
         T.StructField("sa_bytes", T.LongType()), T.StructField("sa_removed", T.LongType()),
-        T.StructField("sa_spans", T.LongType()), T.StructField("sa_kept", T.BinaryType())])
+        T.StructField("sa_spans", T.LongType()), T.StructField("sa_kept", T.StringType() if as_text else T.BinaryType())])
     return rows.groupBy("__group").cogroup(
-        ranges.repartition(groups, "__group").groupBy("__group")).applyInArrow(_apply(to_arrow_schema(out)), out)
-
-
-def kept_text(kept: Column) -> Column:
-    """The kept bytes as text; what a cut has left of a character is dropped."""
-    @arrow_udf(T.StringType())
-    def decode(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else v.decode("utf-8", "ignore") for v in values.to_pylist()], pa.string())
-
-    return decode(kept)
+        ranges.repartition(groups, "__group").groupBy("__group")).applyInArrow(_apply(to_arrow_schema(out), as_text), out)
