@@ -461,6 +461,35 @@ def q_convention_violations(spark, sf_dir):
     )
 
 
+_STYLED = """
+SELECT event_id AS chunk_id, 'handle' AS function_name, 'u' || user_id || '.py' AS file_path,
+       event_id % 10 = 0 AS odd FROM events"""
+
+
+@query(f"""
+WITH e AS ({_STYLED}),
+share AS (SELECT CAST(round_even(100.0 * count_if(NOT odd) / count(*), 0) AS INT) || '%' AS pct,
+                 count_if(NOT odd) >= 0.75 * count(*) AS holds FROM e)
+SELECT e.chunk_id, pattern, subtype, replace(message, '%s', pct) AS message
+FROM e, share, (VALUES
+    ('output_style', 'print_in_logging_codebase', {_q(fixed.CONVENTION_MESSAGES["print_in_logging_codebase"])}),
+    ('docstring_coverage', 'docstring_coverage_violation', {_q(fixed.CONVENTION_MESSAGES["docstring_coverage_violation"])}),
+    ('type_hints', 'type_hints_violation', {_q(fixed.CONVENTION_MESSAGES["type_hints_violation"])})
+) v(pattern, subtype, message)
+WHERE odd AND holds""")
+def q_style_violations(spark, sf_dir):
+    """Output, docstring and type hint conventions on functions made of events: every tenth
+    breaks all three."""
+    events = table(spark, sf_dir, "events")
+    house = "def handle(p: str) -> int:\n    \"\"\"Handle.\"\"\"\n    logger.info(p)\n"
+    corpus = cut(events.select(
+        F.col("event_id").alias("chunk_id"), F.lit("handle").alias("function_name"),
+        F.concat(F.lit("u"), "user_id", F.lit(".py")).alias("file_path"), F.lit(1).alias("start_line"),
+        F.when(F.col("event_id") % 10 == 0, "def handle(p):\n    print(p)\n").otherwise(house).alias("code")))
+    return conventions.violations(corpus, conventions.measure(corpus)).select(
+        "chunk_id", "pattern", "subtype", "message")
+
+
 # --- union -------------------------------------------------------------------------------------------
 
 

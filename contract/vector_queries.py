@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import callgraph, neighbours, outliers, patches as P
 from codequarry.functions import vectors as V
+from codequarry.plans.checkpoints import cut
 
 from . import views
 from .registry import query
@@ -36,7 +37,7 @@ WITH s AS (
                                   CAST(p.embedding AS DOUBLE[])) AS score
     FROM embeddings c, embeddings p WHERE c.vec_id >= 15 AND p.vec_id < 15),
 best AS (SELECT *, row_number() OVER (PARTITION BY chunk_id
-             ORDER BY round(score, 12) DESC, ord) AS rn FROM s)"""
+             ORDER BY round(score, 6) DESC, ord) AS rn FROM s)"""
 
 
 @query(_BEST + """
@@ -165,6 +166,39 @@ def q_outliers(spark, sf_dir):
     ).select("chunk_id", "function", "severity", "confidence", "anomaly_score", "message")
 
 
+@query("""
+SELECT count(*) AS chunks,
+       CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT) AS flagged,
+       CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT) AS most_isolated,
+       CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT) AS told_right
+FROM embeddings""")
+def q_outlier_rule(spark, sf_dir):
+    """What the flagged outliers have to be, whatever the forest: as many as lie below the
+    interpolated quantile, with lower scores than all others, and with the confidence and the
+    text that follow from their score."""
+    chunks = run_sql(spark, sf_dir, views.VECTOR_CHUNKS, "embeddings").withColumn(
+        "chunk_id", F.col("chunk_id").cast("string"))
+    flagged = cut(outliers.flag(chunks))
+    scored = cut(outliers.score(chunks, outliers.fit(chunks)).select("chunk_id", F.bround("score", 4).alias("s")))
+    low = scored.join(flagged, "chunk_id", "left_anti").agg(F.min("s").alias("low")).select("low").scalar()
+    chunks = scored.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    s = F.col("anomaly_score")
+    near = F.abs(F.col("confidence") - F.least(F.lit(1.0), -2 * s)) <= 0.0011
+    text = F.col("message").contains("'") | F.col("message").contains(F.col("function"))
+    return flagged.join(scored, "chunk_id").withColumn("low", low).agg(
+        F.count(F.lit(1)).alias("flagged"), F.count_if(s <= F.col("low")).alias("most_isolated"),
+        F.count_if(near & text & (s == F.col("s"))).alias("told_right"),
+    ).withColumn("chunks", chunks)
+
+
+@query("""
+SELECT event_id, round_even(greatest(0.0, least(1.0, 2.0 * (event_id % 997) / 996.0)), 3) AS confidence
+FROM events""")
+def q_outlier_confidence(spark, sf_dir):
+    scores = table(spark, sf_dir, "events").withColumn("score", -(F.col("event_id") % 997) / 996.0)
+    return scores.select("event_id", outliers.confidence(F.col("score")).alias("confidence"))
+
+
 # --- retrieval prompts -------------------------------------------------------------------------
 
 _RETRIEVAL = views._q(P.fixed.RETRIEVAL_PROMPT)
