@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 PIECE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 # Odd 64-bit multipliers of the hashes.
 BASE = 0x9E3779B97F4A7C15
@@ -123,5 +124,13 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def small_batches(spark) -> None:
+    """Whole texts are long rows: batches between Spark and Python are bounded by bytes, which
+    keeps the buffers of all workers of an executor small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
+    """A stored table; the session's batches become small."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

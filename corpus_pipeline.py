@@ -14,12 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codequarry.llm import decontaminate, near, packing, quality, suffix
-from codequarry.llm.text import held_out, table
+from codequarry.llm.text import held_out, small_batches, table
 from codequarry.plans.checkpoints import cut
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 REPEAT_BYTES = 50
-BATCH_ROWS = 2000
 
 #: Stages on edit distances and models are not SQL; tests compare them with plain versions.
 ORACLE_SQL = None
@@ -28,7 +27,7 @@ ORACLE_SQL = None
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labels outside
     the held-out fold. Empty texts are scored like all others."""
-    _small_batches(spark)
+    small_batches(spark)
     usable = ~held_out(F.col("doc_id"), 5, 0)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), usable=usable)
     scored = quality.with_score(docs, model, "__quality")
@@ -38,7 +37,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates. Rows
     without id are in no group and stay."""
-    _small_batches(spark)
+    small_batches(spark)
     found = near.near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -48,7 +47,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of earlier documents; those of which nothing is left go.
     ``n_chars`` follows the text."""
-    _small_batches(spark)
+    small_batches(spark)
     done = suffix.remove_repeats(docs, window=REPEAT_BYTES, as_text=True)
     changed = F.col("sa_removed") > 0
     text = F.when(changed, F.col("sa_kept")).otherwise(F.col("text"))
@@ -61,23 +60,17 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    _small_batches(spark)
+    small_batches(spark)
     found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), column="__leaks")
     return found.where(F.size("__leaks") == 0).select(*_columns(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, in sequences."""
-    _small_batches(spark)
+    small_batches(spark)
     return packing.pack(docs, packing.tokenizer_source())
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Whole texts are long rows: fewer of them at once between Spark and Python keep all
-    workers of an executor within its memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
