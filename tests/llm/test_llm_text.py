@@ -10,6 +10,8 @@ from codequarry.llm import language, quality, text, toxicity, trees
 from codequarry.llm.queries import op1_toxicity, op5_language, op9_quality
 
 SF = "/root/testdata/sf0.01"
+#: Labels are few: in smaller tables there are about ten toxic ones in a language.
+LABELLED = "/root/testdata/sf0.1"
 DOCS = "doc_id long, text string, lang string, source string, score double, language string"
 
 
@@ -53,16 +55,16 @@ def auc(scores, labels):
     return (order[labels == 1].sum() - ones * (ones + 1) / 2) / ones / zeros
 
 
-@pytest.mark.parametrize("run,label", [(op9_quality, "quality"), (op1_toxicity, "toxic")])
-def test_held_out_accuracy(spark, run, label):
-    got = run(spark, SF).toPandas()
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+@pytest.mark.parametrize("run,label,sf", [(op9_quality, "quality", LABELLED), (op1_toxicity, "toxic", LABELLED)])
+def test_held_out_accuracy(spark, run, label, sf):
+    got = run(spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert len(got) == docs.count() and got.score.between(0, 1).all()
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
-    both = got.merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
+    both = got.merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
     out = both[both.held_out]
-    assert auc(out.score, out[label]) > 0.9
-    assert (out.predicted == out[label]).mean() > 0.85
+    assert auc(out.score, out[label]) > 0.95
+    assert (out.predicted == out[label]).mean() > 0.9
 
 
 def test_language_accuracy(spark):
