@@ -433,8 +433,15 @@ def extract(pages: list[str | None], forest: trees.Forest) -> list[str]:
 
 def fit(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> trees.Forest:
     """Trees from a hashed sample of at most ``sample_rows`` pages."""
-    keys = pages.where("html is not null").select(F.xxhash64("page_id", F.length("html")).alias("o"), "page_id").orderBy("o", "page_id").limit(sample_rows)
-    sample = pages.select("page_id", "html").join(F.broadcast(keys), "page_id")
+    keys = (
+        pages.where("html is not null and page_id is not null").select("page_id").distinct()
+        .withColumn("o", F.xxhash64("page_id")).orderBy("o", "page_id").limit(sample_rows)
+    )
+    # One page for an id, however many rows have it.
+    sample = (
+        pages.select("page_id", "html").join(F.broadcast(keys), "page_id")
+        .groupBy("page_id", "o").agg(F.min("html").alias("html"))
+    )
 
     def train(batches):
         rows = sorted((o, h) for b in batches for o, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if h)

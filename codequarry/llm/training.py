@@ -15,8 +15,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """``__order`` long, ``__text`` string, ``__label`` int of at most ``rows`` documents.
 
     ``usable`` is a condition on the labels table. Several labels of one id count as 1 if
-    any of them is 1; null labels and ids are left out. With ``per_class`` the bound holds
-    for either label by itself, which keeps a rare one from vanishing.
+    any of them is 1, several texts of one id as the first of them; null labels and ids are
+    left out. With ``per_class`` the bound holds for either label by itself, which keeps a rare
+    one from vanishing.
     """
     known = (
         labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -32,7 +33,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     else:
         known = smallest(known)
     texts = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"))
+    # One text for an id, however many rows have it, so that the bound holds for rows as well.
     return (
-        texts.join(F.broadcast(known), "__id")
-        .select("__order", "__text", "__label")
+        texts.join(F.broadcast(known), "__id").groupBy("__id", "__order", "__label")
+        .agg(F.min("__text").alias("__text")).select("__order", "__text", "__label")
     )
