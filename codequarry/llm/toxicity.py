@@ -167,20 +167,31 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, insults
     return out
 
 
-def learn_lexicon(w: Words, labels: np.ndarray) -> np.ndarray:
+def learn_lexicon(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Hashes of words and word beginnings that toxic documents have and others have not."""
     toxic, clean = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    found = []
-    for hashes in (w.word, *w.stems):
-        cells = np.unique(np.stack([hashes, w.row.astype(np.uint64)], 1), axis=0)
-        values, which = np.unique(cells[:, 0], return_inverse=True)
-        bad = np.bincount(which, labels[cells[:, 1].astype(np.int64)], len(values))
+    hashes: list[list] = [[] for _ in range(1 + len(STEMS))]
+    owners: list[list] = [[] for _ in range(1 + len(STEMS))]
+    for a, b in text.pieces(data, offsets):
+        w = Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+        for k, found in enumerate((w.word, *w.stems)):
+            order = np.lexsort((found, w.row))
+            h, r = found[order], w.row[order]
+            once = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))[:len(h)]
+            hashes[k].append(h[once])
+            owners[k].append(labels[a + r[once]])
+    entries = []
+    for found, toxicity in zip(hashes, owners):
+        if not found:
+            continue
+        values, which = np.unique(np.concatenate(found), return_inverse=True)
+        bad = np.bincount(which, np.concatenate(toxicity), len(values))
         good = np.bincount(which, minlength=len(values)) - bad
         odds = np.log((bad + 0.5) / toxic) - np.log((good + 0.5) / clean)
-        good_enough = np.flatnonzero((bad >= LEXICON_DOCS) & (odds >= LEXICON_ODDS))
-        found += [(-odds[i] * np.sqrt(bad[i]), values[i]) for i in good_enough]
-    found.sort()
-    return np.unique(np.array([v for _, v in found[:LEXICON_SIZE]], np.uint64))
+        telling = np.flatnonzero((bad >= LEXICON_DOCS) & (odds >= LEXICON_ODDS))
+        entries += [(-odds[i] * np.sqrt(bad[i]), values[i]) for i in telling]
+    entries.sort()
+    return np.unique(np.array([v for _, v in entries[:LEXICON_SIZE]], np.uint64))
 
 
 @dataclass(frozen=True)
@@ -213,7 +224,7 @@ def learn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, part: np.nd
 
     def lexicon_of(rows):
         d, o = of(rows)
-        return learn_lexicon(Words(d, o), labels[rows].astype(float)) if len(d) else np.zeros(0, np.uint64)
+        return learn_lexicon(d, o, labels[rows].astype(float))
 
     y = labels.astype(float)
     dense = np.zeros((len(y), FEATURES))
