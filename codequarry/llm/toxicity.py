@@ -13,8 +13,10 @@ Features of a text, all shares or distances, so that they do not follow its leng
 Lexicon, trees and calibration are learned from a bounded sample of labels (``SAMPLE_ROWS`` of
 either label), cross-fitted over three hashed parts: a text's features use the lexicon of the
 other parts, and the calibration sees margins of trees from the other parts, so a word that
-merely occurs in one toxic document does not count for it. The sample meets in one task; the
-result, lexicon (``LEXICON_SIZE`` hashes at most) and trees, is of fixed size.
+merely occurs in one toxic document does not count for it. Where the bound cuts a label, its
+rows weigh as many labels as they stand for, so that scores are chances in the whole table
+however large it is. The sample meets in one task; the result, lexicon (``LEXICON_SIZE`` hashes
+at most) and trees, is of fixed size.
 
 Defined results: a null or empty text has zero features and gets their score. Without usable
 labels every text scores 0.5. Repeated rows get equal scores. Other columns are carried
@@ -213,8 +215,9 @@ class Model:
         return np.clip(self.calibration(self.forest.margin(self.dense(data, offsets))), 0, 1)
 
 
-def learn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, part: np.ndarray) -> Model:
-    """A model from labelled texts, cross-fitted over their parts 0, 1 and 2."""
+def learn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, part: np.ndarray, weight: np.ndarray) -> Model:
+    """A model from labelled texts, cross-fitted over their parts 0, 1 and 2. Of the weights
+    only the proportions count: what ridge and pseudo-counts are held against is the sample."""
     insults, you = _hashes(INSULTS), _hashes(SECOND_PERSON)
 
     def of(rows):
@@ -227,6 +230,7 @@ def learn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, part: np.nd
         return learn_lexicon(d, o, labels[rows].astype(float))
 
     y = labels.astype(float)
+    weight = weight / weight.mean()
     dense = np.zeros((len(y), FEATURES))
     parts = [np.flatnonzero(part == k) for k in range(3)]
     for own in parts:
@@ -236,8 +240,8 @@ def learn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, part: np.nd
     margin = np.zeros(len(y))
     for own in parts:
         others = np.setdiff1d(np.arange(len(y)), own)
-        margin[own] = trees.fit(dense[others], y[others]).margin(dense[own])
-    return Model(lexicon_of(np.arange(len(y))), insults, you, trees.fit(dense, y), trees.isotonic(margin, y))
+        margin[own] = trees.fit(dense[others], y[others], weight=weight[others]).margin(dense[own])
+    return Model(lexicon_of(np.arange(len(y))), insults, you, trees.fit(dense, y, weight=weight), trees.isotonic(margin, y, weight))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -245,12 +249,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     sample = labelled_sample(docs, labels, "toxic", F.lit(True) if usable is None else usable, sample_rows, per_class=True)
 
     def train(batches):
-        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         if not rows:
             return
         rows.sort()
         data, offsets = text.column_bytes(pa.array([r[1] for r in rows], pa.string()))
-        model = learn(data, offsets, np.array([r[2] for r in rows]), np.array([r[0] % 3 for r in rows]))
+        model = learn(data, offsets, np.array([r[2] for r in rows]), np.array([r[0] % 3 for r in rows]),
+                      np.array([r[3] for r in rows]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(
             (model.lexicon, model.forest.__dict__, model.calibration.__dict__))], pa.binary())], names=["model"])
 

@@ -36,17 +36,19 @@ class Forest:
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.2,
-        bins: int = 32, ridge: float = 1.0, least: float = 1.0) -> Forest:
+        bins: int = 32, ridge: float = 1.0, least: float = 1.0, weight: np.ndarray | None = None) -> Forest:
     """Boost ``trees`` trees on the logistic loss. Ties between splits go to the first feature
-    and the lowest bound. A constant label gives trees that change nothing."""
+    and the lowest bound. A constant label gives trees that change nothing. ``weight`` is how
+    many rows each row counts as, one by default."""
     n, width = rows.shape
+    weight = np.ones(n) if weight is None else weight
     edges = []
     binned = np.zeros((n, width), np.int64)
     for f in range(width):
         cuts = np.unique(np.quantile(rows[:, f], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.zeros(0)
         edges.append(cuts)
         binned[:, f] = np.searchsorted(cuts, rows[:, f], side="left")
-    rate_of_ones = np.clip(labels.mean() if n else 0.5, 1e-4, 1 - 1e-4)
+    rate_of_ones = np.clip(np.average(labels, weights=weight) if n else 0.5, 1e-4, 1 - 1e-4)
     base = float(np.log(rate_of_ones / (1 - rate_of_ones)))
     margin = np.full(n, base)
     inner, leaves = 2 ** depth - 1, 2 ** depth
@@ -55,7 +57,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int = 4, r
     values = np.zeros((trees, leaves))
     for t in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        gradient, curve = p - labels, p * (1 - p)
+        gradient, curve = weight * (p - labels), weight * p * (1 - p)
         node = np.zeros(n, np.int64)
         for level in range(depth):
             first, count = 2 ** level - 1, 2 ** level
@@ -99,14 +101,16 @@ class Isotonic:
         return np.interp(margin, self.at, self.value)
 
 
-def isotonic(margin: np.ndarray, labels: np.ndarray) -> Isotonic:
-    """Pool adjacent violators: the best rising fit of ``labels`` over ``margin``.
+def isotonic(margin: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
+    """Pool adjacent violators: the best rising fit of ``labels`` over ``margin``, rows counted
+    ``weight`` times.
 
     Equal margins are one point. Chances stay inside (0, 1) by one half of a pseudo-count."""
     if not len(margin):
         return Isotonic(np.zeros(0), np.zeros(0))
     at, which = np.unique(margin, return_inverse=True)
-    ones, many = np.bincount(which, labels), np.bincount(which)
+    weight = np.ones(len(margin)) if weight is None else weight
+    ones, many = np.bincount(which, weight * labels), np.bincount(which, weight)
     blocks: list[list[float]] = []  # ones, rows, first and last point
     for i in range(len(at)):
         blocks.append([ones[i], many[i], i, i])

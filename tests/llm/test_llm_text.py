@@ -92,6 +92,22 @@ def test_scores_of_odd_rows(spark):
         assert module.with_score(empty_docs(spark), model, "out").count() == 0
 
 
+def test_toxicity_scores_do_not_follow_the_sample(spark):
+    # Half of the documents with an insult are labelled toxic, and one label in eleven.
+    def said(i):
+        return f"the report number {i} of the {('north', 'south', 'west')[i % 3]} is " + ("idiot work" if i % 11 < 2 else "good work")
+
+    rows = [(i, said(i), int(i % 11 == 0)) for i in range(3300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    means = []
+    for most in (4000, 1000, 200):
+        scored = toxicity.with_score(docs, toxicity.fit(docs, labels, sample_rows=most))
+        means.append([r[0] for r in scored.groupBy((F.col("doc_id") % 11 < 2).alias("k")).agg(F.avg("score").alias("s")).orderBy("k").select("s").collect()])
+    assert abs(means[0][1] - 0.5) < 0.05 and means[0][0] < 0.02
+    assert np.abs(np.array(means[1:]) - means[0]).max() < 0.1
+
+
 def test_languages_of_odd_rows(spark):
     docs = odd_docs(spark)
     got = language.with_language(docs, language.fit(docs), "out").select("doc_id", "text", "out.lang", "out.score").collect()
