@@ -30,6 +30,7 @@ from __future__ import annotations
 import html as references
 import pickle
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -183,6 +184,11 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
         elements[i] += 1
         for sums in (chars, links, marks, sentences, paragraphs, elements):
             sums[parent] += sums[i]
+    place, same = np.zeros(n), np.zeros(n)
+    for node in nodes:
+        tags = Counter(nodes[c].tag for c in node.children)
+        for k, c in enumerate(node.children):
+            place[c], same[c] = k, tags[nodes[c].tag] - 1
     total = max(1.0, chars[0])
     good_above, bad_above = np.zeros(n), np.zeros(n)
     out = np.zeros((n, FEATURES))
@@ -191,12 +197,10 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
         if p >= 0:
             good_above[i] = good_above[p] + good[p]
             bad_above[i] = bad_above[p] + bad[p]
-            family = nodes[p].children
-            k = family.index(i) if len(family) < 64 else 32
-            rest = max(1, len(family) - 1)
-            same = sum(1 for c in family if nodes[c].tag == node.tag) - 1 if len(family) < 64 else rest
-            out[i, 20], out[i, 21] = len(family), k / rest
-            out[i, 22] = same / rest
+            family = len(nodes[p].children)
+            rest = max(1, family - 1)
+            out[i, 20], out[i, 21] = family, place[i] / rest
+            out[i, 22] = same[i] / rest
             out[i, 23] = (chars[p] - chars[i]) / max(1.0, chars[p])
             out[i, 24] = (links[p] - links[i]) / max(1.0, chars[p] - chars[i])
             out[i, 25] = chars[p] / total

@@ -196,6 +196,21 @@ def test_pages_without_an_article_tag(forest):
         "Second paragraph, of which there is more to say. Indeed."]
 
 
+@pytest.mark.parametrize("many", [62, 63, 64, 500])
+@pytest.mark.parametrize("early", [True, False])
+def test_a_lone_element_among_many_siblings(many, early):
+    said = [f"<p>Paragraph {i} says a little, and then more of it.</p>" for i in range(many)]
+    at = 3 if early else many - 3
+    said.insert(at, "<div>Buy one now</div>")
+    nodes = html.parse("<section>" + "".join(said) + "</section>")
+    rows, _ = html.features(nodes)
+    below = rows[[i for i, n in enumerate(nodes) if n.parent == 1]]
+    assert (below[:, 20] == many + 1).all()
+    assert below[:, 21] == pytest.approx(np.arange(many + 1) / many)
+    lone = np.arange(many + 1) == at
+    assert below[:, 22] == pytest.approx(np.where(lone, 0, (many - 1) / many))
+
+
 def test_decoding_never_contradicts(forest):
     rng = np.random.default_rng(4)
     for _ in range(50):
