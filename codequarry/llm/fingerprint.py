@@ -11,8 +11,8 @@ sample the same steps. A sampled step gives one byte, a hash of the ``LOOK`` cha
 the pointer on, or zero past the end. Likeness is the share of equal slots, those of two
 ended walks left out.
 
-:func:`near_pairs` bands the sampled slots, links each document of a band to one of its
-members and verifies the links on the full fingerprints, or on the edit distance of the texts.
+:func:`near_pairs` bands the sampled slots, compares the documents that share a band, and
+verifies the links on the full fingerprints and, where asked, on the edit distance of the texts.
 
 Defined results: a null text is empty; an empty text has a fingerprint of its own, all zeros.
 Equal texts have equal fingerprints. Whole texts are walked. Repeated rows are rows of their
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
+from ..plans.checkpoints import cut
+from .components import components
 from .text import TaskCache, mixed
 
 SLOTS = 128
@@ -39,6 +41,8 @@ TOGETHER = 48
 CHUNK = 3 << 20
 #: Characters that a sampled step looks at.
 LOOK = 5
+#: Texts of a bucket that are all compared with each other, and of a block of a larger one.
+SMALL_BUCKET, BLOCK = 16, 1000
 RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
 _NEIGHBOUR = "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next"
 
@@ -202,27 +206,134 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8, bands: int = 32) -> DataFrame:
-    """``doc_id, other_id, likeness``: documents and a representative that they are like.
-
-    Sampled slots are split into ``bands``; in each band's bucket the smallest id represents
-    the bucket, every other member is compared with it, and pairs of a likeness of at least
-    ``least`` stay. Equal texts are represented once. No bucket expands into all its pairs."""
-    width = SLOTS // bands
-    marked = with_fingerprint(docs.select("doc_id", "text").where("doc_id is not null"), "fp").select("doc_id", "fp")
-    alike = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    keys = alike.select("rep", "fp", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("fp", i * width + 1, width))).alias("band", "bits"))
-    heads = keys.groupBy("band", "bits").agg(F.min("rep").alias("head"))
-    asked = keys.join(heads, ["band", "bits"]).where("rep <> head").select("rep", "head").distinct()
-    compare = arrow_udf(likenesses, T.DoubleType())
-    linked = (
-        asked.join(alike, "rep").join(alike.select(F.col("rep").alias("head"), F.col("fp").alias("hp")), "head")
-        .select(F.col("rep").alias("doc_id"), F.col("head").alias("other_id"), compare("fp", "hp").alias("likeness"))
+def _band_keys(bands: int):
+    """Keys of the bands of a fingerprint. Slots of ended walks are equal between all texts, so a
+    band with less than three others takes the next band with it, and has no key if that
+    does not help."""
+    @arrow_udf(T.ArrayType(T.LongType()))
+    def keys(marks: pa.Array) -> pa.Array:
+        width = SLOTS // bands
+        slots = _slots(marks)[:, :bands * width].reshape(-1, bands, width).astype(np.uint64)
+        said = (slots > 0).sum(axis=2)
+        least = min(3, width)
+        own = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(slots), 1))
+        for k in range(width):
+            own = mixed(own) + slots[:, :, k]
+        both = mixed(own)
+        for k in range(width):
+            both = mixed(both) + np.roll(slots, -1, axis=1)[:, :, k]
+        key = mixed(np.where(said >= least, own, both)).view(np.int64)
+        use = said + np.where(said >= least, 0, np.roll(said, -1, axis=1)) >= least
+        cuts = np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(cuts, pa.array(key[use]))
+
+    return keys
+
+
+def _slots(marks: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, SLOTS)
+
+
+def _all_likenesses(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """:func:`likeness` of every row of ``x`` with every row of ``y``."""
+    equal, ended = (np.zeros((len(x), len(y)), np.int16) for _ in range(2))
+    for k in range(SLOTS):
+        same = x[:, k, None] == y[None, :, k]
+        none = x[:, k] == 0
+        equal += same
+        equal[none] -= same[none]
+        ended[none] += same[none]
+    inside = SLOTS - ended
+    share = equal / np.maximum(inside, 1)
+    return np.where(inside > 0, np.maximum(0.0, (share - 1 / 255) / (1 - 1 / 255)), 1.0)
+
+
+def _alike_across(least: float):
+    """Rows of two blocks of fingerprints to the pairs across components that are alike."""
+    def run(batches):
+        for batch in batches:
+            for minor, other in zip(batch.column(0), batch.column(1)):
+                (na, ca, fa), (nb, cb, fb) = (
+                    (v.field("node").to_numpy(), v.field("c").to_numpy(), _slots(v.field("fp"))) for v in (minor.values, other.values))
+                i, j = np.nonzero((_all_likenesses(fa, fb) >= least) & (ca[:, None] != cb[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(na[i], nb[j])), pa.array(np.minimum(na[i], nb[j]))], names=["a", "b"])
+
+    return run
+
+
+def _across(large: DataFrame, pivots: DataFrame, alike: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """All alike pairs ``a, b`` across components of texts whose large buckets hang together: what
+    such a group has outside its largest component is compared with all of it, block by block."""
+    groups = components(large.join(pivots, "key").select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")))
+    held = cut(
+        groups.toDF("node", "g").join(components(links).toDF("node", "c"), "node", "left")
+        .withColumn("c", F.coalesce("c", "node"))
+    )
+    parts = held.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
+    opened = parts.groupBy("g").agg(
+        F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"),
+    ).where("parts > 1").select("g", F.col("top.c").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = cut(
+        held.join(opened, "g").join(alike.select("node", "fp"), "node")
+        .select("g", "c", "top", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "fp")
     )
-    copies = marked.join(alike, "fp").where("doc_id <> rep").select(
+    item = F.struct("node", "c", "fp")
+    whole = rows.groupBy("g", "block").agg(F.collect_list(item).alias("other"))
+    minor = (
+        rows.where("c <> top").groupBy("g", F.col("block").alias("mine"), "blocks").agg(F.collect_list(item).alias("minor"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    return minor.join(whole, ["g", "block"]).select("minor", "other").mapInArrow(_alike_across(least), "a long, b long")
+
+
+def near_pairs(docs: DataFrame, least: float = 0.8, bands: int = 32, most_edits: float | None = None) -> DataFrame:
+    """``doc_id, other_id, likeness``: pairs of documents that are alike, the larger id first.
+
+    Sampled slots are split into ``bands``; texts with an equal band share its bucket. A bucket of
+    at most ``SMALL_BUCKET`` texts gives all its pairs. In a larger one every text is compared
+    with a pivot, the one with the fullest buckets, and what this leaves outside the largest
+    component is compared with all of them. Pairs of a likeness of at least ``least`` stay; with
+    ``most_edits`` also their edit distance must be at most that share of the longer text.
+
+    So documents that share a bucket and are alike are always in one component of the pairs, and
+    are a pair themselves unless all their buckets are large. Equal texts are represented by
+    their smallest id, and the others are paired with that alone."""
+    said = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    named = said.withColumn("node", F.xxhash64("text"))
+    texts = named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("text").alias("text"))
+    alike = cut(with_fingerprint(texts, "fp").select("node", "rep", "fp"))
+    keyed = alike.select("node", F.explode(_band_keys(bands)("fp")).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = cut(keyed.join(sizes, "key"))
+    small, large = members.where(F.col("size") <= SMALL_BUCKET), members.where(F.col("size") > SMALL_BUCKET)
+    popular = members.groupBy("node").agg(F.sum("size").alias("pop"))
+    pivots = cut(large.join(popular, "node").groupBy("key").agg(F.max(F.struct("pop", "node")).alias("s")).select("key", F.col("s.node").alias("p")))
+    asked = (
+        small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a > b").select("a", "b")
+        .unionByName(large.join(pivots, "key").select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).where("a <> b"))
+        .distinct()
+    )
+    compare = arrow_udf(likenesses, T.DoubleType())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = (
+            pairs.join(alike.toDF("a", "ra", "fa"), "a").join(alike.toDF("b", "rb", "fb"), "b")
+            .withColumn("likeness", compare("fa", "fb")).where(F.col("likeness") >= least).drop("fa", "fb")
+        )
+        if most_edits is None:
+            return both
+        few = arrow_udf(lambda x, y: pa.array(
+            [edit_distance(s, t) <= most_edits * max(len(s), len(t)) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.bool_()), T.BooleanType())
+        side = texts.select("node", "text")
+        return both.join(side.toDF("a", "ta"), "a").join(side.toDF("b", "tb"), "b").where(few("ta", "tb")).drop("ta", "tb")
+
+    links = cut(verified(asked))
+    rest = verified(_across(large.select("key", "node"), pivots, alike, links.select("a", "b"), least).distinct())
+    linked = links.unionByName(rest, allowMissingColumns=False).where("ra <> rb").select(
+        F.greatest("ra", "rb").alias("doc_id"), F.least("ra", "rb").alias("other_id"), "likeness").distinct()
+    copies = named.join(alike, "node").where("doc_id <> rep").select(
         "doc_id", F.col("rep").alias("other_id"), F.lit(1.0).alias("likeness"))
-    return linked.where(F.col("likeness") >= least).unionByName(copies)
+    return linked.unionByName(copies)
 
 
 def with_neighbour(docs: DataFrame) -> DataFrame:

@@ -246,3 +246,44 @@ def test_near_pairs(spark):
     rows = [(1, base), (2, base), (3, base[:1900] + "zz" + base[1900:]), (4, other), (5, None)]
     got = {(r["doc_id"], r["other_id"]) for r in fingerprint.near_pairs(frame(spark, rows), least=0.7).collect()}
     assert got == {(2, 1), (3, 1)}
+
+
+@pytest.mark.parametrize("small", [16, 100])
+def test_near_pairs_of_a_large_group(spark, monkeypatch, small):
+    # Copies are like their original, which has the largest id, but not like each other.
+    monkeypatch.setattr(fingerprint, "SMALL_BUCKET", small)
+    monkeypatch.setattr(fingerprint, "BLOCK", 7)
+    rng = random.Random(11)
+
+    def text(n=1500):
+        return "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+
+    def edited(said, n=14):
+        for _ in range(n):
+            at = rng.randrange(len(said))
+            said = said[:at] + rng.choice("qrstuv") + said[at + 1:]
+        return said
+
+    first, second = text(), text()
+    rows = [(i, edited(first)) for i in range(60)] + [(i, edited(second, 8)) for i in range(60, 70)]
+    rows += [(70 + i, text()) for i in range(10)] + [(1000, first), (1001, second), (1002, second), (1003, None), (1004, "")]
+    marks = fingerprint.fingerprints([t or "" for _, t in rows])
+    alike = {(a[0], b[0]): fingerprint.likeness(x, y) for b, y in zip(rows, marks) for a, x in zip(rows, marks) if a[0] > b[0]}
+    alike = {p: s for p, s in alike.items() if s >= 0.8}
+    assert sum(a == 1000 for a, _ in alike) > 20
+    said = dict(rows)
+    few = {p for p in alike if fingerprint.edit_distance(said[p[0]] or "", said[p[1]] or "") <= 0.008 * 1500}
+
+    def groups(pairs):
+        low = {i: i for i, _ in rows}
+        for _ in rows:
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    got = {(r["doc_id"], r["other_id"]): r["likeness"] for r in fingerprint.near_pairs(frame(spark, rows)).collect()}
+    assert got.items() <= alike.items() and groups(got) == groups(alike)
+    if small == 100:
+        assert {p for p in alike if 1002 not in p} == {p for p in got if 1002 not in p}
+    got = {(r["doc_id"], r["other_id"]) for r in fingerprint.near_pairs(frame(spark, rows), most_edits=0.008).collect()}
+    assert got <= few and len(few) < len(alike) and groups(got) == groups(few)
