@@ -436,14 +436,28 @@ def extract(pages: list[str | None], forest: trees.Forest) -> list[str]:
 
 
 def fit(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> trees.Forest:
-    """Trees from a hashed sample of at most ``sample_rows`` pages."""
-    keys = (
-        pages.where("html is not null and page_id is not null").select("page_id").distinct()
-        .withColumn("o", F.xxhash64("page_id")).orderBy("o", "page_id").limit(sample_rows)
+    """Trees from a hashed sample of at most ``sample_rows`` of the pages that tell their article.
+
+    Pages are asked in the order of their hash: first a share of the table that should do, then
+    larger ones up to the whole of it until enough of them tell."""
+    tells = arrow_udf(lambda values: pa.array([_pieces(v) is not None for v in values.to_pylist()], pa.bool_()), T.BooleanType())
+    named = (
+        # Whatever tells has one of these words.
+        pages.where(F.col("page_id").isNotNull() & F.col("html").rlike("(?i)article|<main"))
+        .select("page_id", "html", F.xxhash64("page_id").alias("o"))
     )
+    telling = tells.asNondeterministic()("html")
+    share = 4 * sample_rows / max(1, pages.count())
+    while True:
+        asked = named.where(F.col("o") < int(share * 2**64) - 2**63) if share < 1 else named
+        keys = asked.where(telling).select("page_id", "o").distinct().orderBy("o", "page_id").limit(sample_rows).collect()
+        if len(keys) >= sample_rows or share >= 1:
+            break
+        share *= 8
+    keys = pages.sparkSession.createDataFrame(keys, named.select("page_id", "o").schema)
     # One page for an id, however many rows have it.
     sample = (
-        pages.select("page_id", "html").join(F.broadcast(keys), "page_id")
+        named.join(F.broadcast(keys), ["page_id", "o"]).where(telling)
         .groupBy("page_id", "o").agg(F.min("html").alias("html"))
     )
 

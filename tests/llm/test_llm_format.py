@@ -236,6 +236,16 @@ def test_odd_pages(spark, forest):
     assert html.with_text(frame.where("false"), html.fit(frame.where("false"))).count() == 0
 
 
+def test_rare_pages_that_tell_are_found(spark):
+    told = "<article><h1>Title {0}</h1><p>Paragraph {0}, with a few words of it. And more.</p></article><nav>Home</nav>"
+    rows = [(i, told.format(i) if i % 100 == 7 else f"<p>only an article of {i} words</p>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    order = [r["page_id"] for r in pages.where("page_id % 100 = 7").orderBy(F.xxhash64("page_id")).collect()]
+    for most in (2, 4):
+        got, want = html.fit(pages, sample_rows=most), html.learn([rows[i][1] for i in order[:most]])
+        assert (got.feature == want.feature).all() and (got.leaf == want.leaf).all()
+
+
 # --- pipeline ---------------------------------------------------------------------------
 
 def test_pipeline_against_plain_versions(spark, tokenizer):
