@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed_values as fixed
 from ..functions import text as T
 from ..plans.checkpoints import cut, cut_counted
-from ..plans.skew import spread_lookup, step_join
+from ..plans.skew import join_null_safe, spread_lookup, step_join
 from .parse import call_sites, functions
 
 KEY = ["repo", "name"]
@@ -35,7 +35,7 @@ def call_nodes(parsed: DataFrame) -> DataFrame:
         F.bool_or("snk").alias("is_sink"),
     ).select(*KEY, "last.file_path", "last.func_seq", "is_source", "is_sink")
     place = ["repo", "name", "file_path", "func_seq"]
-    return marks.join(f, place).select(*KEY, "file_path", "start_line", "code", "is_source", "is_sink")
+    return join_null_safe(marks, f, place).select(*KEY, "file_path", "start_line", "code", "is_source", "is_sink")
 
 
 def call_edges(parsed: DataFrame) -> DataFrame:

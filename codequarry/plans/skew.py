@@ -62,10 +62,21 @@ def shared(names: list[str], *tables: DataFrame) -> list[str]:
 def keep_last_wide(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """:func:`keep_last` for rows with long texts or vectors: only keys and order columns
     are reduced, and the rows they belong to are fetched afterwards. ``df`` should be a
-    stored table, since it is read twice. Rows equal in keys and order are one."""
+    stored table, since it is read twice. Rows equal in keys and order are one; null is a
+    value like others, in keys and, as the least, in order columns."""
     best = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("__top"))
     slim = best.select(*keys, *(F.col(f"__top.{o}").alias(o) for o in order))
-    return df.join(slim, [*keys, *order]).select(df.columns).dropDuplicates(keys)
+    return join_null_safe(df, slim, [*keys, *order]).select(df.columns).dropDuplicates(keys)
+
+
+def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, where null equals null; each key is in the result once."""
+    names = [f"__right_{k}" for k in range(len(keys))]
+    other = other.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *(c for c in other.columns if c not in keys))
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(other, same).drop(*names)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -127,3 +127,26 @@ def test_stored_steps_can_be_removed(spark):
     K.forget(step, spark.range(3))
     assert not os.path.exists(folder)
     K.forget(step)
+
+
+def test_keep_last_wide_keeps_nulls(spark, rows):
+    df = spark.createDataFrame(
+        [("r", "a", None, None, "one"), ("r", "b", "f", None, "old"), ("r", "b", "f", 3, "last"), (None, "c", "f", 1, "no repo"),
+         (None, "c", "e", 9, "earlier"), ("r", "c", "f", 1, "repo")],
+        "repo string, chunk_id string, file_path string, start_line int, code string")
+    got = skew.keep_last_wide(df, ["repo", "chunk_id"], ["file_path", "start_line"])
+    assert rows(got, "repo", "chunk_id", "code") == sorted(
+        [("r", "a", "one"), ("r", "b", "last"), (None, "c", "no repo"), ("r", "c", "repo")], key=repr)
+
+
+def test_index_and_graph_keep_rows_with_nulls(spark, rows):
+    from codequarry.operators import callgraph, neighbours, parse
+
+    from .test_parse_and_chunks import as_files
+
+    chunks = spark.createDataFrame(
+        [("r", "a", "f", None, "g", "code", [1.0]), (None, "b", "f", 1, "g", "code", [1.0])],
+        "repo string, chunk_id string, file_path string, start_line int, function_name string, code string, embedding array<double>")
+    assert rows(neighbours.index_rows(chunks), "chunk_id", "start") == [("a", "0"), ("b", "1")]
+    parsed = parse.parse_files(as_files(spark, {"/x/a.py": "def f():\n    return 1\n"})).withColumn("repo", F.lit(None).cast("string"))
+    assert rows(callgraph.call_nodes(parsed), "repo", "name") == [(None, "f")]
