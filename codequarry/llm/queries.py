@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, fingerprint, html, language, near, packing, quality, suffix, toxicity
+from . import chat, decontaminate, fingerprint, html, language, near, packing, quality, suffix, toxicity, whitening
 from .text import held_out, table
 
 
@@ -117,7 +117,19 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_language, op6_packing, op7_chat, op8_fingerprint, op9_quality, op10_html)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the leading components of the distinct vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    share = F.array(*(F.lit(float(v / model.trace)) for v in model.values)).cast("array<double>")
+    return whitening.whitened(rows, model).select(
+        "vec_id", "wh_deviation", F.posexplode("wh_values").alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"),
+        F.col("wh_deviation").try_cast("long").alias("deviation"), "whitened",
+        F.get(share, F.col("place")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_language, op6_packing, op7_chat, op8_fingerprint, op9_quality, op10_html, op11_whitening)}
 ORACLES = {"op4_near_duplicates": OP4_SQL}
 
 
