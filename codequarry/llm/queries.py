@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, fingerprint, html, language, near, packing, quality, suffix, toxicity, whitening
+from . import chat, decontaminate, fingerprint, html, language, licenses, near, packing, quality, suffix, toxicity, whitening
 from .text import held_out, table
 
 
@@ -129,7 +129,19 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(share, F.col("place")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_language, op6_packing, op7_chat, op8_fingerprint, op9_quality, op10_html, op11_whitening)}
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements of every document."""
+    done = licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col("licenses.found")
+    starts = F.transform(F.filter(found, lambda d: d["kind"] == "base"), lambda d: d["first"])
+    return done.select(
+        "doc_id", F.col("licenses.words").alias("n_words"), F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licenses.label_list(found, F.lit("base")).alias("base_labels"), licenses.label_list(found).alias("labels"),
+        F.col("licenses.score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_language, op6_packing, op7_chat, op8_fingerprint, op9_quality, op10_html, op11_whitening, op12_licenses)}
 ORACLES = {"op4_near_duplicates": OP4_SQL}
 
 
