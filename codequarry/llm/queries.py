@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, fingerprint, html, language, licenses, near, packing, quality, suffix, toxicity, whitening
+from . import chat, decontaminate, fingerprint, html, language, licenses, near, packing, quality, repair, suffix, toxicity, whitening
 from .text import held_out, table
 
 
@@ -141,7 +141,14 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("licenses.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_language, op6_packing, op7_chat, op8_fingerprint, op9_quality, op10_html, op11_whitening, op12_licenses)}
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with planted faults, repaired."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair.Repair(repair.damaged(rows), rows.select("conv_id")).summaries()
+    return done.withColumnRenamed("sha256", "repaired_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_language, op6_packing, op7_chat, op8_fingerprint, op9_quality, op10_html, op11_whitening, op12_licenses, op13_repair)}
 ORACLES = {"op4_near_duplicates": OP4_SQL}
 
 
