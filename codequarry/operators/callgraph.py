@@ -48,88 +48,102 @@ def call_edges(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _union_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _compact(parts: list[DataFrame]) -> list[DataFrame]:
-    """Keep the number of stored pieces of a growing set small."""
-    return [cut(_union_all(parts))] if len(parts) >= 8 else parts
+#: Hops of the first stored steps of the backward search, and of any.
+FIRST_HOPS, MOST_HOPS = 4, 16
 
 
 def reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Names from which a sink can be reached, sinks included: a frontier that walks the
-    edges backwards, one join per step."""
-    frontier, n = cut_counted(nodes.where("is_sink").select(*KEY))
-    parts = [frontier]
+    """Names from which a sink can be reached, sinks included.
+
+    A frontier walks the edges backwards. A stored step is a chain of hops in one plan, and
+    steps become longer, so their number grows with the logarithm of the depth as long as
+    MOST_HOPS allows. Every name also calls itself in the walked table: a hop hands on what it
+    has, with the hop it was found at, and goes on from the latest finds only. What earlier steps
+    know is taken out once a step; a step whose last hop finds nothing is the end."""
+    back = cut(
+        edges.select("repo", "callee", "caller")
+        .unionByName(edges.select("repo", F.col("callee").alias("caller"), "callee"))
+        .unionByName(edges.select("repo", "caller", F.col("caller").alias("callee")))
+        .unionByName(nodes.where("is_sink").select("repo", F.col("name").alias("caller"), F.col("name").alias("callee")))
+        .distinct()
+    )
+    known = frontier = cut(nodes.where("is_sink").select(*KEY).distinct())
+    step, n = 0, 1
     while n:
-        callers = step_join(
-            frontier.withColumnRenamed("name", "callee"), n,
-            edges.select("repo", "caller", "callee"), ["repo", "callee"],
-            spread_by=["caller"], frontier_is_hot=False,
-        ).select("repo", F.col("caller").alias("name")).distinct()
-        frontier, n = cut_counted(callers.join(_union_all(parts), KEY, "left_anti"))
-        parts = _compact([*parts, frontier])
-    return _union_all(parts)
+        hops = min(FIRST_HOPS << step // 2, MOST_HOPS)
+        walked = frontier.select("repo", F.col("name").alias("callee"), F.lit(0).alias("hop"))
+        for hop in range(1, hops + 1):
+            itself = F.col("caller") == F.col("callee")
+            walked = (
+                walked.join(back, ["repo", "callee"]).where(itself | (F.col("hop") == hop - 1))
+                .groupBy("repo", F.col("caller").alias("name")).agg(F.min(F.when(itself, F.col("hop")).otherwise(hop)).alias("hop"))
+                .withColumnRenamed("name", "callee")
+            )
+        new, n = cut_counted(
+            walked.withColumnRenamed("callee", "name").join(known, KEY, "left_anti"), F.col("hop") == hops)
+        known = known.unionByName(new.select(*KEY))
+        frontier = new.where(F.col("hop") == hops).select(*KEY)
+        step += 1
+        known = known if step % 8 else cut(known)
+    return known
 
 
 def _live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges into names that reach a sink, with the callee's sink mark."""
-    live, n = cut_counted(
-        reaching(edges, nodes).join(nodes.select(*KEY, "is_sink"), KEY)
-        .withColumnRenamed("name", "callee")
-    )
-    found = step_join(
-        live, n, edges, ["repo", "callee"], spread_by=["caller"],
-        frontier_is_hot=False,
-    )
-    return cut(found.select("repo", "caller", "callee", "ordinal", "is_sink"))
-
-
-def _follow_first(live: DataFrame, sources: DataFrame):
-    """(paths, unresolved sources) of always taking the first live call.
+    live = reaching(edges, nodes).join(nodes.select(*KEY, "is_sink"), KEY).withColumnRenamed("name", "callee")
+    return cut(edges.join(live, ["repo", "callee"]).select("repo", "caller", "callee", "ordinal", "is_sink"))
+
+
+def _jumps(live: DataFrame) -> list[DataFrame]:
+    """Jump tables over the first live call of every name: table t has ``name, at, hops, ended``, the
+    name that is reached after 2**t calls, or the first sink before.
+
+    A name that ends later than a table tells is followed by one that ends just beyond it, so
+    each doubling ends some name as long as any can end. When none is left, or a doubling
+    ends none, all others run into cycles."""
+    first = live.groupBy("repo", "caller").agg(
+        F.min_by(F.struct("callee", "is_sink"), F.col("ordinal")).alias("step"))
+    table, left = cut_counted(first.select(
+        "repo", F.col("caller").alias("name"), F.col("step.callee").alias("at"), F.lit(1).cast("long").alias("hops"),
+        F.col("step.is_sink").alias("ended")), ~F.col("ended"))
+    tables, before = [table], None
+    while left and left != before:
+        then = table.select(
+            "repo", F.col("name").alias("at"), F.col("at").alias("then"), F.col("hops").alias("more"), F.col("ended").alias("end"))
+        # Many names may meet at one; such a key is split by adaptive execution, as this is an inner join.
+        on = table.where("not ended").join(then, ["repo", "at"])
+        doubled = on.select("repo", "name", F.col("then").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), F.col("end").alias("ended"))
+        before = left
+        table, left = cut_counted(table.where("ended").unionByName(doubled), ~F.col("ended"))
+        tables.append(table)
+    return tables
+
+
+def _follow_first(live: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paths, sources whose walk comes back to a name) of always taking the first live call.
 
     Calls that cannot reach a sink fail in any walk, so as long as no name comes up
-    twice this *is* the depth-first walk. It carries one row per source.
-    """
-    first = cut(
-        live.groupBy("repo", "caller").agg(
-            F.min_by(F.struct("callee", "is_sink"), F.col("ordinal")).alias("step")
-        )
-    )
-    state, n = cut_counted(
-        sources.select(
-            "repo", F.col("name").alias("source"), F.col("name").alias("caller"),
-            F.array("name").alias("path"),
-        )
-    )
-    open_end = F.expr("not is_sink and not again")
-    done, stuck = [], []
-    while n:
-        steps = step_join(
-            state, n, first, ["repo", "caller"], spread_by=["source"],
-            frontier_is_hot=True,
-        )
-        moved, n = cut_counted(
-            steps.select(
-                "repo", "source", "path", F.col("step.callee").alias("at"),
-                F.col("step.is_sink").alias("is_sink"),
-                F.array_contains("path", F.col("step.callee")).alias("again"),
-            ),
-            open_end,
-        )
-        grown = F.concat("path", F.array("at"))
-        done = _compact([*done, moved.where("is_sink and not again").select(
-            "repo", "source", grown.alias("path"))])
-        stuck = _compact([*stuck, moved.where("again").select(
-            "repo", F.col("source").alias("name"))])
-        state = moved.where(open_end).select(
-            "repo", "source", F.col("at").alias("caller"), grown.alias("path")
-        )
-    return done, stuck
+    twice this *is* the depth-first walk. Paths are found by doubling and rebuilt from the jump
+    tables, largest jump first: a row is one place of one path, and each table puts a place halfway
+    between those there are."""
+    tables = _jumps(live)
+    ends = sources.select("repo", F.col("name").alias("source")).join(
+        tables[-1].withColumnRenamed("name", "source"), ["repo", "source"])
+    # A source that is a sink may be the end of its own walk: then the walk is a cycle.
+    straight = F.col("ended") & (F.col("at") != F.col("source"))
+    ends = cut(ends.withColumn("straight", straight))
+    places = ends.where("straight").select(
+        "repo", "source", F.col("hops").alias("length"), F.lit(0).cast("long").alias("place"), F.col("source").alias("name"))
+    for t in reversed(range(len(tables))):
+        far = F.col("place") + (1 << t)
+        jump = tables[t].select("repo", "name", F.col("at").alias("then"))
+        on = places.join(jump, ["repo", "name"], "left")
+        both = F.array(F.struct("place", "name"), F.struct(far.alias("place"), F.col("then").alias("name")))
+        here = F.slice(both, 1, F.when(far <= F.col("length"), 2).otherwise(1))
+        places = on.select("repo", "source", "length", F.explode(here).alias("p")).select("repo", "source", "length", "p.*")
+    paths = places.groupBy("repo", "source").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda p: p["name"]).alias("path"))
+    return paths, ends.where("not straight").select("repo", F.col("source").alias("name"))
 
 
 def _search(live: DataFrame, sources: DataFrame) -> DataFrame:
@@ -187,16 +201,9 @@ def sink_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     first = edges.groupBy("repo", "caller", "callee").agg(F.min("ordinal").alias("ordinal"))
     edges, nodes = cut(first), cut(nodes.select(*KEY, "is_source", "is_sink"))
     live = _live_edges(edges, nodes)
-    sources = nodes.where("is_source").select(*KEY)
-    done, stuck = _follow_first(live, sources)
-    if not done:
-        done = [sources.where(F.lit(False)).select(
-            "repo", F.col("name").alias("source"), F.array("name").alias("path"))]
-    if stuck:
-        rest, n = cut_counted(_union_all(stuck))
-        if n:
-            done.append(_search(live, rest))
-    return _union_all(done)
+    paths, around = _follow_first(live, nodes.where("is_source").select(*KEY))
+    around, n = cut_counted(around)
+    return paths.unionByName(_search(live, around)) if n else paths
 
 
 def taint_issues(paths: DataFrame, nodes: DataFrame) -> DataFrame:

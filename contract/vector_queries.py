@@ -239,8 +239,8 @@ def q_retrieval_prompts(spark, sf_dir):
 # --- source-to-sink paths -------------------------------------------------------------------------
 
 
-def graph(spark, sf_dir):
-    edges = run_sql(spark, sf_dir, views.EDGES, "events")
+def graph(spark, sf_dir, view=views.EDGES):
+    edges = cut(run_sql(spark, sf_dir, view, "events"))
     names = edges.select("repo", F.col("caller").alias("name")).union(
         edges.select("repo", "callee")
     ).distinct()
@@ -256,8 +256,9 @@ def graph(spark, sf_dir):
     return edges, nodes
 
 
-_PATHS = f"""
-WITH RECURSIVE edge AS ({oracle_view(views.EDGES)}),
+def _paths(view):
+    return f"""
+WITH RECURSIVE edge AS ({oracle_view(view)}),
 node AS (
     SELECT name, CAST(string_split(name, '_')[1][2:] AS BIGINT) AS u,
            CAST(string_split(name, '_')[-1] AS INT) AS layer
@@ -275,6 +276,9 @@ first AS (SELECT source, arg_min(path, ords) AS path FROM walk WHERE ended GROUP
 """
 
 
+_PATHS = _paths(views.EDGES)
+
+
 @query(_PATHS + "SELECT source, array_to_string(path, ' > ') AS path FROM first")
 def q_taint_paths(spark, sf_dir):
     edges, nodes = graph(spark, sf_dir)
@@ -283,6 +287,15 @@ def q_taint_paths(spark, sf_dir):
     )
 
 
+@query(_paths(views.EDGES_CYCLIC) + "SELECT source, array_to_string(path, ' > ') AS path FROM first")
+def q_taint_cycles(spark, sf_dir):
+    """Paths in a graph with cycles, where the first live call often leads back."""
+    edges, nodes = graph(spark, sf_dir, views.EDGES_CYCLIC)
+    return callgraph.sink_paths(edges, nodes).select(
+        "source", F.array_join("path", " > ").alias("path")
+    )
+
+
 @query(_PATHS + """
 SELECT 'taint_flow' AS type, source AS function, 'src/' || source || '.py' AS file,
        'taint_' || source || '_' || path[-1] AS chunk_id,

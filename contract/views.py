@@ -274,6 +274,13 @@ JOIN (SELECT event_id, user_id, event_type FROM {events}) b
 GROUP BY 1, 2, 3
 """
 
+# The same calls, some of them answered by a call back that comes first in its caller.
+EDGES_CYCLIC = f"""
+SELECT repo, caller, callee, ordinal FROM ({EDGES}) e
+UNION ALL
+SELECT repo, callee, caller, -ordinal FROM ({EDGES}) f WHERE ordinal % 17 = 0
+"""
+
 ISSUES = """
 SELECT event_id AS seq, event_type AS type,
        CASE event_type WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'medium'
