@@ -2,7 +2,7 @@
 
 The covariance V of d dimensions is never formed. A block of m vectors goes through passes
 ``V Q = sum of c (cᵀ Q) / n`` over the centred rows c, each a Spark job whose tasks hand on one
-d x m matrix, summed after the shuffle. A Chebyshev polynomial of V, applied by its three-term
+d x m matrix, added in a few lanes after the shuffle. A Chebyshev polynomial of V, applied by its three-term
 recurrence, damps the unwanted part of the spectrum; QR and Rayleigh-Ritz follow on the driver,
 on d x m numbers. This is repeated until the residuals ``|V q - e q|`` of the wanted pairs
 are at the level of rounding. Where the spectrum is so flat that the filter hardly helps, the
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as t
 from pyspark.sql.functions import arrow_udf
 
@@ -46,6 +47,8 @@ MOST_DEGREE, LANCZOS_STEPS = 24, 8
 BLOCK_NUMBERS = 1 << 19
 #: Eigenvalues below this share of the trace are zero up to rounding.
 ZERO_SHARE = 1e-12
+#: Partial sums of one pass that reach the driver, at most.
+LANES = 16
 _SAFE = 1 << 62
 
 
@@ -151,8 +154,8 @@ def _sums(fit_list: DataFrame, width: int) -> tuple[int, np.ndarray]:
 
 
 def _summed(fit_list: DataFrame, rows: int, columns: int, part) -> np.ndarray:
-    """Sum of the ``rows x columns`` matrices that ``part`` makes of all blocks of the fit list:
-    each task hands on one, and their cells are added after the shuffle."""
+    """Sum of the ``rows x columns`` matrices that ``part`` makes of all blocks of the fit list.
+    Each task hands on one matrix as one row; these are added in lanes, which are few."""
 
     def run(batches):
         total = None
@@ -161,13 +164,22 @@ def _summed(fit_list: DataFrame, rows: int, columns: int, part) -> np.ndarray:
             if made is not None:
                 total = made if total is None else total + made
         if total is not None:
-            cells = np.arange(total.size, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel())], names=["cell", "v"])
+            yield packed(TaskContext.get().partitionId() % LANES, total)
 
-    got = fit_list.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(rows * columns)
-    out[got.column("cell").to_numpy()] = got.column("v").to_numpy()
-    return out.reshape(rows, columns)
+    def add(batches):
+        total = np.zeros((rows, columns))
+        for batch in batches:
+            for made in batch.column(1):
+                total += np.frombuffer(made.as_buffer(), np.float64).reshape(rows, columns)
+        yield packed(0, total)
+
+    def packed(lane: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["lane", "part"])
+
+    schema = "lane int, part binary"
+    got = fit_list.mapInArrow(run, schema).repartition("lane").mapInArrow(add, schema).toArrow()
+    return sum((np.frombuffer(made.as_buffer(), np.float64) for made in got.column("part")),
+               start=np.zeros(rows * columns)).reshape(rows, columns)
 
 
 class Operator:
