@@ -150,7 +150,9 @@ def _search(live: DataFrame, sources: DataFrame) -> DataFrame:
     """Paths where cycles matter.
 
     For each (source, name) only the path that comes first in call order can be part of
-    the answer, so that one is kept and improved round by round until nothing changes.
+    the answer, so that one is kept and improved round by round until nothing changes. A path
+    behind the first one to a sink that its source has so far can only lead to later ones,
+    and goes no further.
     """
     key = ["repo", "source", "at"]
     no_calls = live.schema["ordinal"].dataType.simpleString()
@@ -176,9 +178,11 @@ def _search(live: DataFrame, sources: DataFrame) -> DataFrame:
             ).alias("new"),
         ).groupBy(*key).agg(F.min_by("new", F.col("new.calls")).alias("new"))
         old = best.select(*key, F.col("calls").alias("old_calls"))
+        goal = best.where(F.col("is_sink") & (F.size("path") > 1)).groupBy("repo", "source").agg(F.min("calls").alias("goal"))
         frontier, n = cut_counted(
-            found.join(old, key, "left")
+            found.join(old, key, "left").join(goal, ["repo", "source"], "left")
             .where(F.col("old_calls").isNull() | (F.col("new.calls") < F.col("old_calls")))
+            .where(F.col("goal").isNull() | (F.col("new.calls") < F.col("goal")))
             .select(*key, "new.*")
         )
         merged = best.unionByName(frontier).groupBy(*key).agg(
