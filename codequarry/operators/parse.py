@@ -102,7 +102,7 @@ def _functions_of(source: str) -> dict:
             })
         return {"error": None, "functions": found}
     except PARSE_FAILURES as exc:
-        return {"error": f"{type(exc).__name__}: {exc}"[:300], "functions": []}
+        return {"error": f"{type(exc).__name__}: {exc}", "functions": []}
 
 
 def _facts_of(code: str) -> list[dict]:

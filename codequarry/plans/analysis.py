@@ -71,8 +71,8 @@ def analyze(
     """All result tables of one corpus.
 
     ``files``: repo, file_path, rel_path, content and optionally ``is_strict``.
-    ``per_repo`` learns conventions and looks for similar functions within each repo;
-    without it, over the corpus. Tables that several stages read are stored once.
+    ``per_repo`` learns conventions, looks for similar functions and grows outlier forests
+    within each repo; without it, over the corpus. Tables that several stages read are stored once.
     """
     spark = files.sparkSession
     by = ("repo",) if per_repo else ()
@@ -95,7 +95,7 @@ def analyze(
     found = I.union(
         rules=rules.scan(chunks),
         semantic=neighbours.semantic_flags(chunks, patterns, config.similarity_threshold),
-        anomaly=outliers.flag(chunks, config),
+        anomaly=outliers.flag(chunks, config, per_repo),
         convention=conventions.violations(chunks, measured, by),
         taint=taint,
     )
@@ -108,7 +108,7 @@ def analyze(
     wanted = asked.select("repo", "chunk_id").distinct()
     similar = cut(
         neighbours.similar_functions(
-            _one_per_id(chunks).join(wanted, ["repo", "chunk_id"]), searched, config.neighbours,
+            _one_per_id(chunks.join(wanted, ["repo", "chunk_id"], "left_semi")), searched, config.neighbours,
             within=by,
         )
     )
@@ -117,6 +117,9 @@ def analyze(
     if inputs.baselines is not None and inputs.test_runs is not None:
         patches = V.verify(patches, inputs.baselines, inputs.test_runs)
     patches = cut(patches)
+    told_of = {"taint_counters": callgraph.counters(nodes, paths)}
+    if inputs.baselines is not None and inputs.test_runs is not None:
+        told_of["verification_counters"] = V.counters(patches)
 
     if inputs.line_history is not None and inputs.versions is not None:
         first = I.first_high_confidence(
@@ -127,10 +130,11 @@ def analyze(
             V.relative_path(F.col("file"), inputs.root).alias("file"),
             F.col("file_line").alias("line_no"),
         )
-        told = history.investigate(
+        told = cut(history.investigate(
             cut(asked_lines), inputs.line_history, inputs.versions, inputs.as_of
-        )
+        ))
         issues = cut(history.attach(issues, told))
+        told_of["history_counters"] = history.counters(told)
 
     return {
         "functions": functions, "function_args": parse.function_args(parsed.where("is_strict")),
@@ -138,17 +142,20 @@ def analyze(
         "call_nodes": nodes, "call_edges": callgraph.call_edges(parsed),
         "taint_paths": paths, "chunks": chunks, "index": rows,
         "convention_profile": conventions.profile(measured),
+        "convention_text": conventions.profile_text(measured),
         "issues": I.at_least(issues, config.min_confidence),
         "issues_high_confidence": I.at_least(issues, config.high_confidence),
         "prompts": prompts, "patches": patches,
         "summary": metrics.summary(chunks, issues),
         "breakdown": metrics.breakdown(issues),
         "patch_metrics": metrics.patch_metrics(issues, patches),
+        "patch_sources": metrics.patch_sources(patches),
         "top_files": metrics.top_files(issues),
         "dashboard": metrics.dashboard(
             chunks, issues, patches, None if per_repo else measured,
             config.high_confidence,
         ),
+        **told_of,
     }
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from codequarry.operators import callgraph, neighbours, outliers, patches as P
+from codequarry.operators import callgraph, ivf, neighbours, outliers, patches as P
 from codequarry.functions import vectors as V
-from codequarry.plans.checkpoints import cut
+from codequarry.plans.checkpoints import cut, work_folder
+from codequarry.streaming import changing_index
 
 from . import views
 from .registry import query
@@ -146,6 +149,51 @@ def q_nearest_hashed(spark, sf_dir):
     )
 
 
+_ASKED = """
+WITH s AS (
+    SELECT q.vec_id AS query_id, i.vec_id AS id,
+           round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),
+                                        CAST(i.embedding AS DOUBLE[])), 6) AS similarity
+    FROM embeddings q, embeddings i WHERE q.vec_id % 50 = 0),
+near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+             ORDER BY similarity DESC, id) AS INT) AS rank FROM s)"""
+
+
+def _stored_index(spark, sf_dir):
+    """(index over all vectors, the queries)."""
+    v = table(spark, sf_dir, "embeddings")
+    path = f"{work_folder(spark)}/ivf-{uuid.uuid4().hex}"
+    index = ivf.build(v.select(F.col("vec_id").alias("id"), "embedding"), path)
+    return index, v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(_ASKED + " SELECT * FROM near WHERE rank <= 10")
+def q_nearest_ivf(spark, sf_dir):
+    """Ten nearest rows by the inverted-file index: nearest cells first, then all that may hold better."""
+    index, queries = _stored_index(spark, sf_dir)
+    return index.search(queries, 10, exact=True)
+
+
+@query(_ASKED + """
+SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS reached,
+       count(*) AS scored_right FROM near WHERE rank <= 10""")
+def q_ivf_recall(spark, sf_dir):
+    """Probing as many cells as the sample asks for: recall of at least 0.9 against brute force, and
+    every score that of the pair."""
+    index, queries = _stored_index(spark, sf_dir)
+    found = cut(index.search(queries, 10, probes=index.probes_for(0.95, 10)))
+    rows = index.rows().select("id", "embedding")
+    true = cut(neighbours.nearest(queries, rows, 10, packed=True))
+    score = F.abs(F.round(V.cosine(F.col("embedding"), F.col("own")), 6) - F.col("similarity")) <= 1.5e-6
+    checked = (
+        found.join(rows, "id").join(queries.withColumnRenamed("embedding", "own"), "query_id")
+        .agg(F.count_if(score).alias("scored_right"))
+    )
+    return ivf.recall(found, true).select(
+        "queries", "neighbours", (F.col("found") >= 0.9 * F.col("neighbours")).alias("reached"),
+        checked.scalar().alias("scored_right"))
+
+
 @query("""
 SELECT vec_id AS chunk_id, 'f' || label AS function, 'src/v' || vec_id || '.py' AS file,
        '1' AS start
@@ -158,6 +206,64 @@ def q_index_new(spark, sf_dir):
     return neighbours.new_rows(rows, index).select("chunk_id", "function", "file", "start")
 
 
+# Two batches: the labels below seven, then all of two of three repositories, with some chunks
+# changed, some new and some gone.
+_SECOND = "label % 3 < 2 AND vec_id % 4 <> 3"
+_CODE = "'def f' || label || '():' || chr(10) || '    return ' || vec_id"
+
+
+def _changed_index(spark, sf_dir):
+    """(path, counts of the second batch) of an index after both batches, the second one twice."""
+    chunks = run_sql(spark, sf_dir, views.VECTOR_CHUNKS, "embeddings")
+    label = F.substring("function_name", 2, 9).cast("int")
+    chunks = chunks.withColumn("repo", F.concat(F.lit("r"), label % 3))
+    number = F.col("chunk_id")
+    path = f"{work_folder(spark)}/changing-{uuid.uuid4().hex}"
+
+    def batch(of):
+        return of.withColumn("chunk_id", number.cast("string"))
+
+    second = chunks.where((label % 3 < 2) & (number % 4 != 3)).withColumn(
+        "code", F.when(number % 5 == 0, F.concat("code", F.lit(" + 1"))).otherwise(F.col("code")))
+    changing_index.apply(batch(chunks.where(label < 7)), path, 1)
+    counts = cut(changing_index.apply(batch(second), path, 2, whole=True))
+    changing_index.apply(batch(second), path, 2, whole=True)
+    return path, counts
+
+
+@query(f"""
+SELECT 'r' || label % 3 AS repo, CAST(vec_id AS VARCHAR) AS chunk_id, 'f' || label AS function,
+       'src/v' || vec_id || '.py' AS file, '1' AS start,
+       CASE WHEN {_SECOND} AND vec_id % 5 = 0 THEN {_CODE} || ' + 1' ELSE {_CODE} END AS code,
+       CAST(embedding[1] AS DOUBLE) AS first
+FROM embeddings WHERE {_SECOND} OR (label % 3 = 2 AND label < 7)""")
+def q_index_changes(spark, sf_dir):
+    """The index after changed, new, unchanged and vanished chunks, and a replay."""
+    path, _ = _changed_index(spark, sf_dir)
+    changing_index.compact(spark, path)
+    return changing_index.read(spark, path).select(
+        "repo", "chunk_id", "function", "file", "start", "code", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
+@query(f"""
+SELECT 'r' || label % 3 AS repo,
+       CASE WHEN NOT ({_SECOND}) THEN 'gone' WHEN label >= 7 THEN 'new'
+            WHEN vec_id % 5 = 0 THEN 'changed' ELSE 'same' END AS change, count(*) AS rows
+FROM embeddings WHERE {_SECOND} OR (label % 3 < 2 AND label < 7) GROUP BY ALL""")
+def q_index_change_counts(spark, sf_dir):
+    """What the second batch did to each of its repositories."""
+    return _changed_index(spark, sf_dir)[1]
+
+
+@query("""
+SELECT 'f' || label AS repo, count(*) AS rows FROM embeddings GROUP BY 1
+UNION ALL SELECT NULL, count(*) FROM embeddings""")
+def q_index_size(spark, sf_dir):
+    """How many chunks the index holds, by repository and in all."""
+    chunks, _ = _vector_tables(spark, sf_dir)
+    return neighbours.index_size(neighbours.index_rows(chunks.withColumn("repo", F.col("function_name"))))
+
+
 @query()
 def q_outliers(spark, sf_dir):
     chunks = run_sql(spark, sf_dir, views.VECTOR_CHUNKS, "embeddings")
@@ -191,6 +297,28 @@ def q_outlier_rule(spark, sf_dir):
     ).withColumn("chunks", chunks)
 
 
+@query("""
+SELECT 'r' || label % 3 AS repo, count(*) AS chunks,
+       CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT) AS flagged,
+       CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT) AS most_isolated
+FROM embeddings GROUP BY 1""")
+def q_outlier_rule_by_repo(spark, sf_dir):
+    """The same of every repository by itself, with a forest and a cut of its own."""
+    chunks = run_sql(spark, sf_dir, views.VECTOR_CHUNKS, "embeddings").withColumn(
+        "chunk_id", F.col("chunk_id").cast("string"))
+    label = F.substring("function_name", 2, 9).cast("int")
+    chunks = cut(chunks.withColumn("repo", F.concat(F.lit("r"), label % 3)))
+    flagged = cut(outliers.flag(chunks))
+    forests = outliers.grow_forests(chunks, outliers.DEFAULT_CONFIG, "repo")
+    scored = cut(outliers.score_by_group(chunks, forests, "repo").select("repo", "chunk_id", F.bround("score", 4).alias("s")))
+    low = scored.join(flagged, ["repo", "chunk_id"], "left_anti").groupBy("repo").agg(F.min("s").alias("low"))
+    n = scored.groupBy("repo").agg(F.count(F.lit(1)).alias("chunks"))
+    told = flagged.join(scored, ["repo", "chunk_id"]).join(low, "repo").groupBy("repo").agg(
+        F.count(F.lit(1)).alias("flagged"),
+        F.count_if((F.col("anomaly_score") <= F.col("low")) & (F.col("anomaly_score") == F.col("s"))).alias("most_isolated"))
+    return n.join(told, "repo")
+
+
 @query("""
 SELECT event_id, round_even(greatest(0.0, least(1.0, 2.0 * (event_id % 997) / 996.0)), 3) AS confidence
 FROM events""")

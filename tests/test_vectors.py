@@ -189,6 +189,52 @@ def test_sampled_pool(spark):
     assert forest.feature.shape == (5, 63) and forest.sample == 32
 
 
+def test_draws_are_the_smallest_of_all_rows(spark):
+    """Each tree grows from the rows with the smallest draws, however they are partitioned."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "=hot").otherwise(F.concat(F.lit("=r"), F.col("id") % 40)).alias("g"),
+        F.col("id").cast("string").alias("id"), F.xxhash64("id", F.lit(1)).alias("h"))
+    kept = []
+    for n in (1, 9):
+        drawn = O._smallest_draws(rows.repartition(n, "id"), 4, 16).toPandas()
+        best = drawn.sort_values(["draw", "id"]).groupby(["g", "tree"]).head(16)
+        kept.append(sorted(map(tuple, best.to_numpy().tolist())))
+    assert kept[0] == kept[1]
+    assert {len(part) for _, part in best.groupby(["g", "tree"])} == {16}
+
+
+def test_every_repository_has_its_own_forest(spark, monkeypatch):
+    """The rows of a repository get the scores they get alone; small ones get none; forests may travel."""
+    chunks = outlier_chunks(spark, n=300)
+    number = F.substring("chunk_id", 2, 9).cast("int")
+    chunks = chunks.withColumn("repo", F.when(number < 5, "tiny").when(number % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("r"), number % 3)))
+    config = AnalysisConfig(forest_trees=12, forest_sample=32)
+
+    def flagged(df, **how):
+        got = O.flag(df, config, **how)
+        return sorted(((r.repo, r.chunk_id, r.anomaly_score) for r in got.collect()), key=repr)
+
+    all_at_once = flagged(chunks)
+    alone = flagged(chunks.where("repo = 'r1'")) + flagged(chunks.where("repo = 'r2'")) + flagged(chunks.where("repo is null"))
+    assert all_at_once == sorted(alone, key=repr) and "tiny" not in {r[0] for r in all_at_once}
+    monkeypatch.setattr(O, "MOST_FOREST_BYTES", 0)
+    monkeypatch.setattr(O, "SCORE_ROWS", 20)
+    assert flagged(chunks) == all_at_once
+    assert len(flagged(chunks, per_repo=False)) == 15
+
+
+def test_quantile_by_group(spark):
+    from codequarry.plans.quantile import quantile_by
+
+    rng = np.random.default_rng(8)
+    x = {"a": rng.standard_normal(500), "b": rng.choice([-3.0, 0.5, 2.0], 77), "c": np.array([1.25]), "d": rng.standard_normal(2) * 9}
+    df = spark.createDataFrame([(k, float(v)) for k, some in x.items() for v in some] + [("e", None)], "k string, x double").cache()
+    for share in (0.0, 0.05, 0.37, 1.0):
+        got = {r["k"]: r["quantile"] for r in quantile_by(df, "k", "x", share, -2.0, 2.0, bins=7).collect()}
+        assert set(got) == set(x)
+        assert all(got[k] == pytest.approx(np.percentile(some, share * 100), rel=1e-12) for k, some in x.items())
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_exact_quantile(spark, seed, monkeypatch):
     from codequarry.plans import quantile
