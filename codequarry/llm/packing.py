@@ -5,7 +5,8 @@ rest; rests are counted by length class (``GRAIN`` tokens, rounded up), which le
 histogram of at most ``length / GRAIN`` numbers whatever the corpus. On it a linear program over
 patterns (how many pieces of each class share a sequence) is solved by revised simplex: the
 dual prices go into a knapsack dynamic program, whose best filling is the next pattern, until
-none pays. Pattern counts are rounded down and what is left, a few pieces a class, is packed
+none pays. Short pieces, of which rounding up would waste much, are first laid together in
+bundles that count as one piece. Pattern counts are rounded down and what is left, a few pieces a class, is packed
 first-fit decreasing.
 
 Pieces of a class are ranked, and each pattern takes a range of ranks of its classes, so a
@@ -37,10 +38,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from . import text
-from ..plans.checkpoints import cut
+from ..plans.checkpoints import cut, cut_counted
 
 LENGTH = 4096
 GRAIN = 16
+#: Pieces of up to SHORT tokens are laid together in bundles, of 5 * SHORT tokens at most.
+SHORT = 160
 END_ID = 2
 PART_ROWS = 20_000
 PIECE_BYTES = 512 << 10
@@ -291,31 +294,71 @@ def seats(patterns: list[tuple[dict[int, int], int]]) -> Seats:
     return Seats({s: tuple(np.array(c, np.int64) for c in zip(*r)) for s, r in rows.items()})
 
 
+def _bundled(pieces: DataFrame, parts: int, short: int, length: int) -> DataFrame:
+    """``pieces`` with the item each belongs to: ``part``, ``bundle`` and the place ``inside`` it.
+
+    Rounding up to the grain would cost short pieces more than they are long. They are dealt
+    into parts of bounded size by hash and laid end to end there; what begins in the same stretch
+    is one item. Stretches are a few times as long as the longest short piece of the part, so
+    that items are large against the grain and small against a sequence. A longer piece is
+    an item of its own (``bundle`` null)."""
+    brief = F.col("length") <= short
+    order = ["doc_id", "start", "length", "ids_crc32"]
+    whole = Window.partitionBy("part")
+    earlier = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    laid = (
+        pieces.where(brief).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length"), F.lit(parts)))
+        .withColumn("before", F.coalesce(F.sum("length").over(earlier), F.lit(0)))
+        .withColumn("longest", F.max("length").over(whole))
+        .withColumn("bundle", F.floor(F.col("before") / (F.greatest(F.lit(length // 16), 5 * F.col("longest")) + 1 - F.col("longest"))))
+        .drop("longest")
+    )
+    first = F.min("before").over(Window.partitionBy("part", "bundle"))
+    laid = laid.withColumn("inside", F.col("before") - first).drop("before")
+    none = F.lit(None).cast("long")
+    return laid.unionByName(pieces.where(~brief).withColumns({"part": none, "bundle": none, "inside": F.lit(0).cast("long")}))
+
+
 def pack(docs: DataFrame, source: str, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` tokens: ``doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset``. ``source`` is the text of a tokenizer file."""
     spark = docs.sparkSession
-    pieces = cut(pieces_of(docs, source, length).withColumn("size", F.ceil(F.col("length") / grain).cast("long")))
-    histogram = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}
+    short = min(SHORT, length // 16)
+    pieces, brief = cut_counted(pieces_of(docs, source, length), F.col("length") <= short)
+    held = cut(_bundled(pieces, max(1, brief // PART_ROWS), short, length))
+    # Items: long pieces, with their rows, and bundles, whose rows follow them to their seats.
+    single = F.col("bundle").isNull()
+    bundles = held.where(~single).groupBy("part", "bundle").agg(F.sum("length").alias("length"))
+    items = held.where(single).drop("inside").unionByName(bundles, allowMissingColumns=True)
+    items = cut(items.withColumn("size", F.ceil(F.col("length") / grain).cast("long")))
+    histogram = {r["size"]: r["count"] for r in items.groupBy("size").count().collect()}
     table = spark.sparkContext.broadcast(seats(plan(histogram, length // grain)))
     parts = max(1, sum(histogram.values()) // PART_ROWS)
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
-    counts = dealt.groupBy("size", "part").count()
+    key = ["doc_id", "start", "ids_crc32", "part", "bundle"]
+    dealt = items.withColumn("lot", F.pmod(F.xxhash64(*key), F.lit(parts)))
+    counts = dealt.groupBy("size", "lot").count()
     before = counts.select(
-        "size", "part", (F.sum("count").over(Window.partitionBy("size").orderBy("part")) - F.col("count")).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("size", "part").orderBy("doc_id", "start", "length", "ids_crc32"))
-    ranked = dealt.withColumn("inner", inner).join(before, ["size", "part"]).withColumn("rank", F.col("before") + F.col("inner") - 1)
+        "size", "lot", (F.sum("count").over(Window.partitionBy("size").orderBy("lot")) - F.col("count")).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("size", "lot").orderBy(*key, "length"))
+    ranked = dealt.withColumn("inner", inner).join(before, ["size", "lot"]).withColumn("rank", F.col("before") + F.col("inner") - 1)
 
     @arrow_udf(T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("seat", T.LongType())]))
     def seated(size: pa.Array, rank: pa.Array) -> pa.Array:
         found = table.value(size.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False))
         return pa.StructArray.from_arrays([pa.array(f) for f in found], names=["sequence_id", "seat"])
 
-    placed = ranked.withColumn("s", seated("size", "rank")).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "s.sequence_id", "s.seat")
-    # A sequence has at most length / grain pieces.
+    placed = ranked.withColumn("s", seated("size", "rank")).select(*key, "doc_tokens", "length", "s.sequence_id", "s.seat")
+    # A sequence has at most length / grain items.
     earlier = Window.partitionBy("sequence_id").orderBy("seat").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("seat")
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("seat")
+    if not brief:
+        return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    placed = cut(placed)
+    followed = held.where(~single).join(
+        placed.where(~single).select("part", "bundle", "sequence_id", F.col("offset").alias("begin")), ["part", "bundle"],
+    ).withColumn("offset", F.col("begin") + F.col("inside"))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return placed.where(single).select(columns).unionByName(followed.select(columns))
 
 
 def tokenizer_source(path: str | None = None) -> str:
