@@ -22,8 +22,8 @@ Groups of copies never expand into all pairs:
 
 Defined results: a null or empty text, or one of white space, has an empty set and is
 linked with nothing. Fewer words than a shingle are one shingle. A row without id is kept
-and linked with nothing (component null). Rows of one id are one document for linking,
-repeated rows get equal results. Other columns are not looked at.
+and linked with nothing (component null). Rows of one id are one document, linked by
+each of its texts; repeated rows get equal results. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -39,9 +39,6 @@ from .components import components
 
 CHUNKS, CHUNK_SLOTS = 8, 4
 SLOTS = CHUNKS * CHUNK_SLOTS
-#: Pairs beyond this signature distance are not confirmed; at a similarity of 0.8 a pair is
-#: beyond it once in half a million.
-FAR_SLOTS = 18
 SMALL_BUCKET = 16
 #: Ids (of eight bytes) that may be sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -161,12 +158,12 @@ def _comparable(na: str, nb: str, percent: int):
 
 
 def _near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` with their signature distance, the far ones left out."""
+    """Pairs ``a, b`` whose sizes allow a link, with their signature distance."""
     side = classes.select("rep", "n", "sig")
     return (
         pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
         .where(_comparable("na", "nb", percent))
-        .select("a", "b", _distance("sa", "sb").alias("d")).where(F.col("d") <= FAR_SLOTS)
+        .select("a", "b", _distance("sa", "sb").alias("d"))
     )
 
 
@@ -177,7 +174,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"),
                 F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
     )
-    return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
+    # An id with several texts has several sets; any two that are alike link the ids.
+    return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
 
 def _apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
@@ -283,6 +281,19 @@ def _across(members: DataFrame, pivots: DataFrame, sets: DataFrame, links: DataF
     )
 
 
+def _of_one_id(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows of one id, which are one document."""
+    several = (
+        base.where("n > 0 and doc_id is not null").groupBy("doc_id")
+        .agg(F.min(F.struct("n", "h1", "h2")).alias("low"), F.max(F.struct("n", "h1", "h2")).alias("high"))
+        .where("low <> high").select("doc_id")
+    )
+    kinds = ["n", "h1", "h2"]
+    own = base.join(several, "doc_id", "left_semi").join(classes.select(*kinds, "rep"), kinds).select("doc_id", "rep").distinct()
+    return own.where(F.col("rep") != F.col("doc_id")).select(
+        F.col("doc_id").cast("long").alias("a"), F.col("rep").cast("long").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``.
 
@@ -324,7 +335,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Few ids go to the texts, so that texts without a partner need not move.
     asked = F.broadcast(asked) if n_asked <= BROADCAST_IDS else asked
     sets = cut(
-        docs.select("doc_id", "text").join(asked, "doc_id").dropDuplicates(["doc_id"])
+        docs.select("doc_id", "text").join(asked, "doc_id").distinct()
         .select("doc_id", _sets_udf(words)(F.col("text")).alias("set"))
     )
     # First the nearest partner of each; a pair that this already joins needs no check.
@@ -336,7 +347,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = cut(_confirmed(best, sets, percent))
     rest = _apart(near.join(best, ["a", "b"], "left_anti"), components(links))
     links = cut(links.unionByName(_confirmed(rest, sets, percent)))
-    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).unionByName(
+        _of_one_id(base, classes))
     links = cut(links.unionByName(_across(large.select("key", "rep"), pivots, sets, links, percent).distinct()))
     forget(buckets, members, near, sets)
     named = (

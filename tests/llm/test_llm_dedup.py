@@ -77,6 +77,46 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sum("component_id=None, kept=True" in g for g in got) == 2
 
 
+def test_rows_of_one_id_link_by_each_of_their_texts(spark):
+    """Copies of either text of an id belong to its group, and neither text is lost."""
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (5, "c d e f g h"), (4, "c d e f g h"), (5, a + " z z2"), (9, "alone in here it is now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near.near_duplicates(docs).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (1, False), 5: (1, False), 9: (9, True)}
+    assert near.near_duplicates(docs).count() == len(rows)
+
+
+def test_all_links_of_similar_sets_are_found(spark):
+    """Edited copies around the threshold, with repeated ids: recall against all pairs is whole."""
+    random.seed(12)
+    rows = []
+    for g in range(40):
+        words = [f"g{g}w{i}" for i in range(random.randrange(30, 120))]
+        for _ in range(5):
+            copy = list(words)
+            for _ in range(random.randrange(0, max(2, len(words) // 40))):
+                copy[random.randrange(len(copy))] = f"n{random.random()}"
+            rows.append((random.randrange(150), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [(d, {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)}) for d, t in rows]
+    low = {d: d for d, _ in rows}
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for i, (d, s) in enumerate(sets):
+        for e, r in sets[:i]:
+            if 100 * len(s & r) >= 80 * len(s | r):
+                x, y = sorted((find(d), find(e)))
+                low[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(docs).collect()}
+    assert got == {d: find(d) for d, _ in rows}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (9, 8), (8, 7), (5, 5)] + [(i, i + 1) for i in range(20, 60)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -175,6 +215,16 @@ def decontaminate_distance(a, b):
     return fingerprint.edit_distance(a, b)
 
 
+def test_places_follow_what_is_compared():
+    """Letters whose lower case is longer, or depends on the end of the word."""
+    from codequarry.llm import decontaminate
+
+    for said in ("Aİ b the quick", "ΑΣ ΑΣΑ x", "İİ_İ 1", "", "ß ẞ ŉ"):
+        assert len(decontaminate.folded(said)) == len(decontaminate.places(said))
+    spots = decontaminate.places("Aİ b")
+    assert [spots[decontaminate.folded("Aİ b").index("b")]] == [(3, 4)]
+
+
 def test_decontamination_query_finds_planted_items(spark):
     items = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     docs = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
