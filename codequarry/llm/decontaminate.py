@@ -35,7 +35,7 @@ _WORDS = re.compile(r"[^\W_]+")
 
 def folded(value: str) -> str:
     """What is compared: lower-case words with one space between them."""
-    return " ".join(_WORDS.findall(value.lower()))
+    return " ".join(w.lower() for w in _WORDS.findall(value))
 
 
 def places(value: str) -> list[tuple[int, int]]:
