@@ -149,7 +149,6 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, insults
     nearest = np.full(n, 1e3)
     np.minimum.at(nearest, w.row[bad], np.minimum(gap[bad], 1e3))
     out[:, 9] = 1 / (1 + nearest)
-    heads = np.minimum(offsets[:-1], len(data) - 1)
     empty = np.diff(offsets) == 0
     for k, kind in enumerate(_CLASSES):
         sums = np.concatenate([[0], np.cumsum(kind[data], dtype=np.float64)])
@@ -163,7 +162,11 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, insults
     triple = np.zeros(len(data))
     if len(data) > 2:
         triple[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (_LETTER[data[2:]] > 0)
-    out[:, 19] = np.add.reduceat(triple, heads) / size
+        # The first two bytes of a text have no two before them in it.
+        for k in (0, 1):
+            triple[np.minimum(offsets[:-1] + k, len(data) - 1)[offsets[:-1] + k < len(data)]] = 0
+    repeated = np.concatenate([[0], np.cumsum(triple)])
+    out[:, 19] = (repeated[offsets[1:]] - repeated[offsets[:-1]]) / size
     out[:, 20] = np.log1p(words)
     out[empty] = 0
     return out

@@ -150,3 +150,21 @@ def test_ftrl_separates():
 def test_held_out_is_false_without_id(spark):
     got = spark.createDataFrame([(None,), (0,)], "doc_id long").select(text.held_out(F.col("doc_id"), 5, 0)).collect()
     assert [r[0] for r in got] == [False, zlib.crc32(b"0") % 5 == 0]
+
+
+def test_toxicity_does_not_depend_on_neighbours():
+    """Every text has the features it has alone, beside any other: the empty ones, and ones that repeat a letter."""
+    said = ["sooo", "", "oo", "o", "", "YOU idiot!!", "", "aaa bbb", "é", "soooo you", "n@sty 1d10t", "", "x"]
+    hashes = toxicity._hashes(["idiot", "nasty"]), toxicity._hashes(["idiot"]), toxicity._hashes(["you"])
+
+    def of(some):
+        raw = [x.encode() for x in some]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        return toxicity.features(np.frombuffer(b"".join(raw), np.uint8), offsets, *hashes)
+
+    alone = np.concatenate([of([x]) for x in said])
+    assert np.array_equal(of(said), alone)
+    for i, a in enumerate(said):
+        for j, b in enumerate(said):
+            assert np.array_equal(of([a, b]), alone[[i, j]])
+    assert alone[0, 19] == 0.25 and alone[7, 19] == 2 / 7
