@@ -67,8 +67,11 @@ BAD_TOKENS = frozenset(
     "sharing social follow tags tag meta pagination pager skip hidden legal disclaimer contentinfo complementary search".split())
 TAG_KINDS = ("p", "div", "section", "li", "ul", "a", "h1", "h2", "table", "td", "blockquote", "pre", "span")
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<[!?/][^>]*>", re.S)
+_NAMED = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
+#: The same where quotation marks do not pair: a tag ends at the first ``>``.
+_CARELESS = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>", re.S)
+_STARTS_NAME = re.compile(r"</?[a-zA-Z]")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTR = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
@@ -86,47 +89,78 @@ class Node:
     body: list = field(default_factory=list)
 
 
+def _tags(page: str):
+    """(place, end, match or None for what is no element) of all tags, in one walk over the page: a
+    tag that no ``>`` ends is text from there on, and where quotation marks hide every ``>`` they
+    are not looked at any more, so nothing is read twice."""
+    at, named = 0, _NAMED
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, None
+        elif _STARTS_NAME.match(page, at):
+            m = named.match(page, at)
+            if m is None and named is _NAMED and page.find(">", at) >= 0:
+                named = _CARELESS
+                m = named.match(page, at)
+            if m is None:
+                return
+            end = m.end()
+            end = (yield at, end, m) or end
+        elif page[at + 1:at + 2] in ("!", "?", "/"):
+            end = page.find(">", at)
+            if end < 0:
+                return
+            end += 1
+            yield at, end, None
+        else:
+            end = at + 1  # a lone sign
+        at = end
+
+
 def parse(page: str) -> list[Node]:
-    """Elements of a page in page order; the first is the document itself."""
+    """Elements of a page in page order; the first is the document itself. Linear in the page:
+    places of open elements are kept by tag, so no tag searches the stack."""
     nodes = [Node("#document", -1, 0, frozenset())]
     stack = [0]
+    #: Places in the stack by tag, and of those that end the search for an open paragraph.
+    open_at: dict[str, list[int]] = {}
+    solid: list[int] = []
     at = 0
 
-    def close(k: int) -> None:
-        del stack[k:]
+    def last(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            nodes[stack[-1]].body.append(page[at:m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
+    def close(k: int) -> None:
+        while len(stack) > k:
+            tag = nodes[stack.pop()].tag
+            open_at[tag].pop()
+            if solid and solid[-1] == len(stack):
+                solid.pop()
+
+    tags = _tags(page)
+    skip = None
+    while True:
+        try:
+            start, after, m = tags.send(skip)
+        except StopIteration:
+            break
+        skip = None
+        if start > at:
+            nodes[stack[-1]].body.append(page[at:start])
+        at = after
+        if m is None:
             continue
-        name = name.lower()
+        name = m["name"].lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == name:
-                    close(k)
-                    break
+            if k := last((name,)):
+                close(k)
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[k]].tag
-                if tag == "p":
-                    close(k)
-                    break
-                if tag not in INLINE:
-                    break
-        if name in CLOSED_BY_SIBLING:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[k]].tag
-                if tag in CLOSED_BY_SIBLING[name]:
-                    close(k)
-                    break
-                if tag in FENCES[name]:
-                    break
+        if name in CLOSES_P and (k := last(("p",))) > (solid[-1] if solid else 0):
+            close(k)
+        if name in CLOSED_BY_SIBLING and (k := last(CLOSED_BY_SIBLING[name])) > last(FENCES[name] - CLOSED_BY_SIBLING[name]):
+            close(k)
         parent = stack[-1]
         tokens = set()
         attrs = m["attrs"]
@@ -140,12 +174,15 @@ def parse(page: str) -> list[Node]:
         nodes[parent].body.append(node)
         if name in VOID or attrs.endswith("/") and name in ("path", "rect"):
             continue
-        stack.append(node)
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = _RAW_END[name].search(page, at)
             nodes[node].body.append(page[at:end.start() if end else len(page)])
-            at = end.end() if end else len(page)
-            stack.pop()
+            at = skip = end.end() if end else len(page)
+            continue
+        open_at.setdefault(name, []).append(len(stack))
+        if name not in INLINE and name != "p":
+            solid.append(len(stack))
+        stack.append(node)
     if at < len(page):
         nodes[stack[-1]].body.append(page[at:])
     return nodes
@@ -236,11 +273,25 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
 DROPPED, KEPT, MIXED = 0, 1, 2
 
 
+def followers(nodes: list[Node], own: np.ndarray) -> np.ndarray:
+    """Inline elements without blocks or hidden elements in a block that has text of its own: parts of
+    its sentences, which stay or go with it."""
+    plain = [node.tag in INLINE and node.tag not in SILENT for node in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        plain[nodes[i].parent] &= plain[i]
+    out = np.zeros(len(nodes), bool)
+    for i in range(1, len(nodes)):
+        p = nodes[i].parent
+        out[i] = plain[i] and (out[p] or (own[p] > 0 and p > 0))
+    return out
+
+
 def decode(nodes: list[Node], margin: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The best state of every element such that nothing below a dropped one is kept and
     frames stand only inside frames."""
     n = len(nodes)
-    weight = np.log1p(own) + 0.3
+    follows = followers(nodes, own)
+    weight = np.where(follows, 0, np.log1p(own) + 0.3)  # what follows its block has no say in it
     margin = np.clip(margin, -6, 6)
     best = np.zeros((n, 3))
     best[:, KEPT] = weight * margin
@@ -250,7 +301,7 @@ def decode(nodes: list[Node], margin: np.ndarray, own: np.ndarray) -> np.ndarray
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
         best[p, DROPPED] += best[i, DROPPED]
-        best[p, KEPT] += max(best[i, DROPPED], best[i, KEPT])
+        best[p, KEPT] += best[i, KEPT] if follows[i] else max(best[i, DROPPED], best[i, KEPT])
         best[p, MIXED] += best[i].max()
     state = np.zeros(n, np.int8)
     state[0] = int(np.argmax(best[0]))
@@ -259,7 +310,7 @@ def decode(nodes: list[Node], margin: np.ndarray, own: np.ndarray) -> np.ndarray
         if above == DROPPED:
             state[i] = DROPPED
         elif above == KEPT:
-            state[i] = KEPT if best[i, KEPT] >= best[i, DROPPED] else DROPPED
+            state[i] = KEPT if follows[i] or best[i, KEPT] >= best[i, DROPPED] else DROPPED
         else:
             state[i] = int(np.argmax(best[i]))
     return state
@@ -271,7 +322,7 @@ def blocks(nodes: list[Node], state: np.ndarray) -> list[str]:
     run: list[str] = []
 
     def end() -> None:
-        said = " ".join(references.unescape("".join(run)).split())
+        said = " ".join("".join(run).split())
         if said:
             out.append(said)
         run.clear()
@@ -281,7 +332,7 @@ def blocks(nodes: list[Node], state: np.ndarray) -> list[str]:
     while work:
         step = work.pop()
         if isinstance(step, str):
-            run.append(step)
+            run.append(references.unescape(step))  # a reference does not go on behind a tag
         elif step < 0:
             end()
         else:

@@ -5,6 +5,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,23 @@ def least_sequences(histogram, capacity):
     return best
 
 
+@pytest.mark.parametrize("lengths", ["empty", "short", "mixed"])
+def test_little_padding_of_short_texts(spark, tokenizer, lengths):
+    """Only empty texts; one third empty and the rest of 5 to 60 tokens; those and some long ones."""
+    n = {"empty": F.lit(0), "short": F.when(F.col("id") % 3 == 0, 0).otherwise(5 + F.col("id") % 56),
+         "mixed": F.when(F.col("id") % 50 == 0, 2000 + F.col("id") % 900).otherwise(F.col("id") % 90)}[lengths]
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), n.cast("int")).alias("text"))
+    got = packing.pack(docs, packing.tokenizer_source()).toPandas()
+    used = got.groupby("sequence_id").length.sum()
+    assert set(got.doc_id) == set(range(40_000)) and got.length.sum() == got.drop_duplicates("doc_id").doc_tokens.sum()
+    assert used.max() <= 4096 and (got.groupby("sequence_id").offset.min() == 0).all()
+    ordered = got.sort_values(["sequence_id", "offset"])
+    end = (ordered.offset + ordered.length).shift(1)
+    same = ordered.sequence_id == ordered.sequence_id.shift(1)
+    assert (ordered.offset[same] == end[same]).all()
+    assert 1 - got.length.sum() / (4096 * len(used)) < 0.05
+
+
 def test_best_filling_is_best():
     rng = np.random.default_rng(1)
     size = np.array([3, 5, 7])
@@ -211,6 +230,49 @@ def test_a_lone_element_among_many_siblings(many, early):
     assert below[:, 22] == pytest.approx(np.where(lone, 0, (many - 1) / many))
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 330_000, "<!" * 500_000, "<p>" * 150_000 + "</div>" * 100_000, "<div>" * 60_000 + "</span>" * 100_000, "<a \">\" " * 120_000,
+    "<b>" * 60_000 + "<hr>" * 60_000, "<ul><li>" + "<div>" * 60_000 + "<li></li>" * 60_000, "<!-- " * 200_000, "<p><button>" + "<b>" * 50_000 + "<hr>" * 50_000,
+])
+def test_hostile_pages_are_parsed_in_one_walk(page):
+    began = time.perf_counter()
+    nodes = html.parse(page)
+    assert time.perf_counter() - began < 20 and len(nodes) >= 1
+
+
+def test_unfinished_and_careless_tags():
+    def said(page):
+        nodes = html.parse(page)
+        return [n.tag for n in nodes[1:]], html.blocks(nodes, np.full(len(nodes), html.KEPT))
+
+    assert said("<p>one <b two") == (["p"], ["one <b two"])
+    assert said("<p title='a>b'>x</p>") == (["p"], ["x"])
+    assert said("<p title=\"it's > 1\">x</p><i>y</i>") == (["p", "i"], ["x", "y"])
+    assert said("<p a=\">\" <i b=\"x\">y") == (["p"], ["y"])
+    assert said("<ul><li>a<li>b</ul><p>c<p>d<hr>e") == (["ul", "li", "li", "p", "p", "hr"], ["a", "b", "c", "d", "e"])
+    assert said("1 < 2 </nothing> 3<br>4 <!doctype x> 5") == (["br"], ["1 < 2 3 4 5"])
+
+
+def test_references_end_at_tags():
+    def said(page):
+        nodes = html.parse(page)
+        return html.blocks(nodes, np.full(len(nodes), html.KEPT))
+
+    assert said("<p>AT&<b>amp;</b> x &am<i>p;</i> &amp;lt; &#65;&nbsp;b</p>") == ["AT&amp; x &amp; &lt; A b"]
+
+
+def test_inline_parts_of_a_kept_block_stay(forest):
+    """A class alone takes no words out of a sentence; a script in it goes."""
+    long = "It was a long day, and they went on with the work until the evening came. " * 6
+    page = (f"<html><body><nav class='menu'><a href='/'>Home</a></nav><article><h1>Work</h1><p>{long}</p>"
+            f"<p>End of it, really. <span class='tag'>note</span> done. <b class='ad'>So <i class='menu'>it</i></b> is.<script>x()</script></p>"
+            f"<p>{long}</p></article><footer class='footer'>Imprint</footer></body></html>")
+    nodes = html.parse(page)
+    values, own = html.features(nodes)
+    out = html.blocks(nodes, html.decode(nodes, forest.margin(values), own))
+    assert "End of it, really. note done. So it is." in out and "Home" not in out and "Imprint" not in out
+
+
 def test_decoding_never_contradicts(forest):
     rng = np.random.default_rng(4)
     for _ in range(50):
