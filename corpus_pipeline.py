@@ -6,7 +6,7 @@ one stage at most. All but the last return the columns of ``documents``.
 
 Every stage takes nulls in any column, empty and very long texts, repeated rows, an empty table
 and further columns, which are carried through up to the last stage. Repeated rows of one id
-count as copies: the second stage keeps one of them.
+and text count as copies: the second stage keeps one of them.
 """
 
 from __future__ import annotations
@@ -35,12 +35,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates. Rows
-    without id are in no group and stay."""
+    """One document, the one with the smallest id, of each group of near duplicates, with all
+    texts that it has; of rows equal in id and text one stays. Rows without id are in no
+    group and stay."""
     small_batches(spark)
     found = near.near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*_columns(docs)).unionByName(docs.where("doc_id is null"))
 
 
