@@ -43,12 +43,71 @@ def parse_blame(porcelain: Column) -> Column:
     return F.when((T.strip(porcelain) != "") & (F.length(commit) >= 7), record)
 
 
+def _tree_nodes(first: Column, stop: Column) -> Column:
+    """The fewest aligned ranges that make up the lines ``first`` (included) to ``stop`` (not),
+    as (level, node): node n of level k is the lines from n * 2**k on. At most two of a level."""
+    def of(level: Column) -> Column:
+        low = F.negate(F.call_function("shiftright", F.negate(first), level))
+        high = F.call_function("shiftright", stop, level)
+
+        def node(which: Column, wanted: Column) -> Column:
+            return F.when((low < high) & wanted, F.struct(level.alias("level"), which.alias("node")))
+
+        return F.array(
+            node(low, low.bitwiseAND(F.lit(1)) == 1), node(high - 1, high.bitwiseAND(F.lit(1)) == 1))
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(stop - first)).cast("int"))
+    return F.filter(F.flatten(F.transform(levels, of)), lambda n: n.isNotNull())
+
+
+def owned_ranges(line_history: DataFrame) -> DataFrame:
+    """(repo if given, file, line_from, line_to) → the last commit that touched these lines.
+
+    ``line_history``: file, line_from, line_to, commit_id, committed_at, and any commit facts that
+    can be ordered. The last change wins, then the greatest commit id, then the greatest facts.
+    Ranges of a file do not overlap and are as long as they can be; lines that no change covers
+    are in none. A change without a first or a last line covers nothing, one whose ends are the
+    wrong way round covers what lies between. Null is a file and a repo like others.
+
+    Rows follow changes, never lines. A change is a few aligned ranges of a binary tree over the
+    lines, of which one row each is kept (map-side combine). Ownership can only change where a
+    change starts or ends; such a line looks up the tree nodes above it by an equality join, and
+    neighbouring ones of one owner are joined by prefix scans over bounded ranges."""
+    keys = shared(["repo", "file"], line_history)
+    facts = [c for c in line_history.columns if c not in (*keys, "line_from", "line_to", "committed_at", "commit_id")]
+    ends = [F.col(c).cast("long") for c in ("line_from", "line_to")]
+    known = line_history.where(F.col("line_from").isNotNull() & F.col("line_to").isNotNull())
+    changes = known.select(
+        F.struct(*keys).alias("file"), F.least(*ends).alias("first"), (F.greatest(*ends) + 1).alias("stop"),
+        F.struct("committed_at", "commit_id", *facts).alias("owner"))
+    nodes = changes.select("file", F.explode(_tree_nodes(F.col("first"), F.col("stop"))).alias("n"), "owner").groupBy(
+        "file", "n.level", "n.node").agg(F.max("owner").alias("owner"))
+    longest = changes.agg(F.max(F.col("stop") - F.col("first"))).first()[0] or 1
+    points = changes.select("file", F.explode(F.array("first", "stop")).alias("at")).distinct()
+    # A node may be above many points of a file; such a key is split by adaptive execution.
+    above = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(int(longest).bit_length())))).withColumn(
+        "node", F.call_function("shiftright", "at", "level"))
+    state = above.join(nodes, ["file", "level", "node"]).select("file", "at", "owner").unionByName(
+        points.withColumn("owner", F.lit(None).cast(changes.schema["owner"].dataType))
+    ).groupBy("file", "at").agg(F.max("owner").alias("owner"))
+    scanned = _earlier_max(
+        state.select("file", F.col("at").alias("seq"), F.struct("at", "owner").alias("top")), SEQ_BUCKET, 2)
+    heads = scanned.where(~F.col("top.owner").eqNullSafe(F.col("before.owner"))).select(
+        "file", F.negate("seq").alias("seq"), "top.owner")
+    ahead = _earlier_max(heads.select("file", "seq", F.struct("seq", "owner").alias("top")), SEQ_BUCKET, 2)
+    types = dict(line_history.dtypes)
+    return ahead.where(F.col("top.owner").isNotNull()).select(
+        "file.*", F.negate("seq").cast(types["line_from"]).alias("line_from"),
+        (F.negate("before.seq") - 1).cast(types["line_to"]).alias("line_to"), "top.owner.*")
+
+
 def line_owners(line_history: DataFrame) -> DataFrame:
     """(repo if given, file, line_no) → the last commit that touched the line.
 
     ``line_history``: file, line_from, line_to, commit_id, committed_at, and any commit
     facts. The last change wins, then the greatest commit id. Each covered line is one
-    row and is reduced before the shuffle, so a much-changed line costs nothing.
+    row and is reduced before the shuffle, so a much-changed line costs nothing. This is the
+    quicker form for changes of a few lines; long ones belong to :func:`owned_ranges`.
     """
     lines = line_history.withColumn(
         "line_no", F.explode(F.sequence("line_from", "line_to"))
@@ -83,7 +142,8 @@ def blame(issues: DataFrame, owners: DataFrame, *, spread_by: list[str]) -> Data
 
 
 def _earlier_max(rows: DataFrame, width: int, levels: int) -> DataFrame:
-    """``rows`` (repo if given, file, seq, top) plus ``before``: the greatest ``top`` at a smaller seq.
+    """``rows`` (repo if given, file, seq, top) plus ``before``: the greatest ``top`` at a smaller seq
+    (a ``top`` that starts with the seq is the row before).
 
     A prefix scan over ranges: a running maximum inside each range of ``width``, and the
     maximum of all earlier ranges from one summary row per range, found the same way one

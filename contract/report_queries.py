@@ -189,6 +189,46 @@ def q_line_owner(spark, sf_dir):
     )
 
 
+_OWNED_LINES = "WITH h AS (" + oracle_view(views.LINE_HISTORY) + """),
+l AS (SELECT file, unnest(range(line_from, line_to + 1)) AS line_no, commit_id, committed_at
+      FROM h),
+o AS (SELECT file, line_no, max((committed_at, commit_id)) AS owner FROM l GROUP BY ALL)"""
+
+
+@query(_OWNED_LINES + """,
+m AS (SELECT *, line_no - row_number() OVER (PARTITION BY file, owner ORDER BY line_no) AS island
+      FROM o)
+SELECT file, CAST(min(line_no) AS INT) AS line_from, CAST(max(line_no) AS INT) AS line_to,
+       owner[2] AS commit_id, owner[1] AS committed_at
+FROM m GROUP BY file, owner, island""")
+def q_owned_ranges(spark, sf_dir):
+    """Every file as ranges of lines with one owner."""
+    lines = run_sql(spark, sf_dir, views.LINE_HISTORY, "lineitem", "supplier")
+    return history.owned_ranges(lines).select(
+        "file", "line_from", "line_to", "commit_id", "committed_at"
+    )
+
+
+# Every order is a change of 1,000 to 400,000 lines of one of 50 files.
+@query("WITH c AS (" + oracle_view(views.LONG_CHANGES) + """),
+p AS (SELECT file, line_from AS x FROM c UNION SELECT file, line_to + 1 FROM c),
+s AS (SELECT file, x, lead(x) OVER (PARTITION BY file ORDER BY x) - 1 AS upto FROM p),
+o AS (SELECT s.file, s.x, s.upto, max((committed_at, commit_id)) AS owner
+      FROM s JOIN c ON c.file = s.file AND s.x BETWEEN c.line_from AND c.line_to
+      GROUP BY ALL),
+h AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY x) AS island
+      FROM (SELECT *, coalesce(lag(owner) OVER w <> owner OR lag(upto) OVER w <> x - 1, true) AS fresh
+            FROM o WINDOW w AS (PARTITION BY file ORDER BY x)))
+SELECT file, min(x) AS line_from, max(upto) AS line_to, owner[2] AS commit_id,
+       owner[1] AS committed_at
+FROM h GROUP BY file, island, owner""")
+def q_owned_long_ranges(spark, sf_dir):
+    """The same where changes are long: no line is a row."""
+    return history.owned_ranges(run_sql(spark, sf_dir, views.LONG_CHANGES, "orders")).select(
+        "file", "line_from", "line_to", "commit_id", "committed_at"
+    )
+
+
 @query("""
 SELECT CAST(o_custkey AS VARCHAR) AS file, o_orderkey AS seq,
        lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before_seq

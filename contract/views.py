@@ -308,6 +308,14 @@ SELECT CAST(l_orderkey AS STRING) AS file, l_linenumber AS line_from,
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey
 """
 
+# Orders as long changes of a few files.
+LONG_CHANGES = """
+SELECT concat('f', o_custkey % 50) AS file, o_orderkey * 7919 % 10000000 AS line_from,
+       o_orderkey * 7919 % 10000000 + 1000 + o_orderkey % 400 * 1000 AS line_to,
+       o_orderkey AS commit_id, o_orderdate AS committed_at
+FROM {orders}
+"""
+
 # Orders as commits to one file per customer.
 COMMITS = """
 SELECT CAST(o_custkey AS STRING) AS file, o_orderkey AS commit_seq,

@@ -46,6 +46,51 @@ def test_line_owner_last_change_wins(spark):
     assert got == {1: ("c1", "x"), 2: ("c3", "z"), 3: ("c3", "z"), 4: ("c3", "z"), 5: ("c3", "z")}
 
 
+_CHANGE = "repo string, file string, line_from int, line_to int, commit_id string, committed_at int, author string"
+
+
+def test_owned_ranges_equal_line_by_line(spark):
+    """Against a plain loop over all lines: overlaps, ties, gaps, null keys and reversed or
+    missing ends, with ranges split small and with one file that has most changes."""
+    rng = random.Random(5)
+    rows = []
+    for n in range(400):
+        first = rng.randrange(-3, 300)
+        repo, file = rng.choice([("r", "hot"), ("r", "hot"), ("r", "b"), (None, "hot"), ("r", None)])
+        rows.append((repo, file, first, first + rng.choice([0, 0, 1, 2, 7, 64, 200]), f"c{n % 90}", rng.randrange(40), rng.choice("xy")))
+    rows += [("r", "b", 900, 890, "back", 1, "x"), ("r", "b", None, 5, "none", 99, "x"), ("r", "b", 5, None, "none", 99, "x")]
+    want = {}
+    for repo, file, first, last, commit, at, author in rows:
+        if first is not None and last is not None:
+            for line in range(min(first, last), max(first, last) + 1):
+                key = (repo, file, line)
+                want[key] = max(want.get(key, (at, commit, author)), (at, commit, author))
+    df = spark.createDataFrame(rows, _CHANGE)
+    ranges = H.owned_ranges(df).collect()
+    got = {}
+    for r in ranges:
+        for line in range(r.line_from, r.line_to + 1):
+            assert (r.repo, r.file, line) not in got
+            got[(r.repo, r.file, line)] = (r.committed_at, r.commit_id, r.author)
+    assert got == want
+    ends = {(r.repo, r.file, r.line_to): (r.committed_at, r.commit_id, r.author) for r in ranges}
+    for r in ranges:  # as long as they can be
+        assert ends.get((r.repo, r.file, r.line_from - 1)) != (r.committed_at, r.commit_id, r.author)
+    lines = {(r.repo, r.file, r.line_no): (r.committed_at, r.commit_id, r.author) for r in H.line_owners(df).collect()}
+    assert lines == want
+    assert H.owned_ranges(df.where("false")).count() == 0
+
+
+def test_long_changes_are_few_rows(spark):
+    """A change of a billion lines costs some tens of rows."""
+    df = spark.createDataFrame(
+        [("r", "a", 1, 2_000_000_000, "c1", 1, "x"), ("r", "a", 7, 1_000_000_007, "c2", 2, "y")], _CHANGE)
+    got = sorted((r.line_from, r.line_to, r.commit_id) for r in H.owned_ranges(df).collect())
+    assert got == [(1, 6, "c1"), (7, 1_000_000_007, "c2"), (1_000_000_008, 2_000_000_000, "c1")]
+    nodes = df.select(F.size(H._tree_nodes(F.col("line_from").cast("long"), F.col("line_to").cast("long") + 1)).alias("n"))
+    assert max(r.n for r in nodes.collect()) <= 62
+
+
 def test_story_of_an_issue(spark):
     lines = spark.createDataFrame(
         [("a.py", 1, 9, "0123456789", 5, 7, "Ann", "a@b", 86_400 * 3, "s" * 70)],
