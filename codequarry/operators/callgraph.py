@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as fixed
 from ..functions import text as T
-from ..plans.checkpoints import cut, cut_counted
+from ..plans.checkpoints import cut, cut_counted, stored
 from ..plans.skew import join_null_safe, spread_lookup, step_join
 from .parse import call_sites, functions
 
@@ -20,7 +20,9 @@ KEY = ["repo", "name"]
 def call_nodes(parsed: DataFrame) -> DataFrame:
     """One row per name: place and text of its last definition; source and sink marks of
     any definition. An aggregate with map-side combine, so a name defined everywhere
-    (``get``, ``run``) is reduced before the shuffle."""
+    (``get``, ``run``) is reduced before the shuffle. ``parsed`` is read twice and stored unless
+    it is a stored table already."""
+    parsed = stored(parsed)
     code = F.col("code")
     f = functions(parsed).select(
         "repo", F.col("function_name").alias("name"), "file_path", "start_line", "func_seq", "code",
@@ -35,7 +37,7 @@ def call_nodes(parsed: DataFrame) -> DataFrame:
         F.bool_or("snk").alias("is_sink"),
     ).select(*KEY, "last.file_path", "last.func_seq", "is_source", "is_sink")
     place = ["repo", "name", "file_path", "func_seq"]
-    return join_null_safe(marks, f, place).select(*KEY, "file_path", "start_line", "code", "is_source", "is_sink")
+    return join_null_safe(f, marks.hint("shuffle_hash"), place).select(*KEY, "file_path", "start_line", "code", "is_source", "is_sink")
 
 
 def call_edges(parsed: DataFrame) -> DataFrame:

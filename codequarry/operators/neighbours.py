@@ -425,7 +425,7 @@ def index_rows(chunks: DataFrame) -> DataFrame:
     order = [c for c in ("rel_path", "func_seq", "part") if c in chunks.columns]
     order = order or ["file_path", "start_line"]
     keys = shared(["repo", "chunk_id"], chunks)
-    kept = keep_last_wide(chunks.where(has_vector(F.col("embedding"))), keys, order)
+    kept = keep_last_wide(chunks, keys, order, has_vector(F.col("embedding")))
     return kept.select(
         *keys, "embedding", "code", F.col("function_name").alias("function"),
         F.col("file_path").alias("file"),

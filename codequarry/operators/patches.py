@@ -26,7 +26,7 @@ def with_chunks(issues: DataFrame, chunks: DataFrame) -> DataFrame:
     keys = shared(["repo", "chunk_id"], issues, chunks)
     place = [c for c in ("rel_path", "func_seq", "part") if c in chunks.columns]
     place = place or ["file_path", "start_line"]
-    # Only chunks with an issue are looked at, and their text is not sorted to find the last.
+    # Only chunks with an issue are stored, and their text is not sorted to find the last.
     asked = chunks.join(issues.select(*keys).distinct(), keys, "left_semi")
     lookup = keep_last_wide(
         asked.select(

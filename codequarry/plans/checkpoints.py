@@ -43,14 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{next(_numbers):06d}"
     df.write.mode("error").parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    _stored_at[stored] = path
-    return stored
+    kept = spark.read.schema(df.schema).parquet(path)
+    _stored_at[kept] = path
+    return kept
 
 
-def forget(*stored: DataFrame) -> None:
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is what :func:`cut` returned, else cut now."""
+    return df if df in _stored_at else cut(df)
+
+
+def forget(*steps: DataFrame) -> None:
     """Remove stored steps whose last reader has finished; others are left alone."""
-    for df in stored:
+    for df in steps:
         path = _stored_at.pop(df, None)
         if path is not None:
             context = df.sparkSession.sparkContext
@@ -63,5 +68,5 @@ def cut_counted(df: DataFrame, n: Column | None = None) -> tuple[DataFrame, int]
     ``n`` holds), so that a loop can decide without another job."""
     watch = Observation()
     counted = F.count(F.lit(1)) if n is None else F.count_if(n)
-    stored = cut(df.observe(watch, counted.alias("n")))
-    return stored, watch.get.get("n", 0)
+    kept = cut(df.observe(watch, counted.alias("n")))
+    return kept, watch.get.get("n", 0)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_SALT = "__salt"
+from .checkpoints import stored
+
+_SALT, _FILE, _ROW = "__salt", "__file_name", "__row_index"
 
 
 def spread_lookup(
@@ -59,14 +61,22 @@ def shared(names: list[str], *tables: DataFrame) -> list[str]:
     return [n for n in names if all(n in t.columns for t in tables)]
 
 
-def keep_last_wide(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """:func:`keep_last` for rows with long texts or vectors: only keys and order columns
-    are reduced, and the rows they belong to are fetched afterwards. ``df`` should be a
-    stored table, since it is read twice. Rows equal in keys and order are one; null is a
+def keep_last_wide(
+    df: DataFrame, keys: list[str], order: list[str], where: Column | None = None
+) -> DataFrame:
+    """:func:`keep_last` for rows with long texts or vectors, of the rows ``where`` holds.
+
+    ``df`` is stored unless it is a stored table already. Keys, order columns and the place of a
+    row in the stored files are reduced, with map-side combine and without reading the rest; the
+    rows at the places that are left are then fetched by one hash join, so no wide row is sorted or
+    aggregated. Of rows equal in keys and order the one that was stored last is kept. Null is a
     value like others, in keys and, as the least, in order columns."""
-    best = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("__top"))
-    slim = best.select(*keys, *(F.col(f"__top.{o}").alias(o) for o in order))
-    return join_null_safe(df, slim, [*keys, *order]).select(df.columns).dropDuplicates(keys)
+    kept = stored(df)
+    kept = kept if where is None else kept.where(where)
+    placed = kept.select("*", F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
+    last = placed.groupBy(*keys).agg(F.max(F.struct(*order, _FILE, _ROW)).alias("__top"))
+    places = last.select(f"__top.{_FILE}", f"__top.{_ROW}").hint("shuffle_hash")
+    return placed.join(places, [_FILE, _ROW]).select(df.columns)
 
 
 def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

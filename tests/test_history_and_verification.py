@@ -76,8 +76,8 @@ def test_owned_ranges_equal_line_by_line(spark):
     ends = {(r.repo, r.file, r.line_to): (r.committed_at, r.commit_id, r.author) for r in ranges}
     for r in ranges:  # as long as they can be
         assert ends.get((r.repo, r.file, r.line_from - 1)) != (r.committed_at, r.commit_id, r.author)
-    lines = {(r.repo, r.file, r.line_no): (r.committed_at, r.commit_id, r.author) for r in H.line_owners(df).collect()}
-    assert lines == want
+    lines = {(r.repo, r.file, r.line_no): (r.committed_at, r.commit_id) for r in H.line_owners(df).collect()}
+    assert lines == {k: v[:2] for k, v in want.items()}
     assert H.owned_ranges(df.where("false")).count() == 0
 
 

@@ -150,3 +150,20 @@ def test_index_and_graph_keep_rows_with_nulls(spark, rows):
     assert rows(neighbours.index_rows(chunks), "chunk_id", "start") == [("a", "0"), ("b", "1")]
     parsed = parse.parse_files(as_files(spark, {"/x/a.py": "def f():\n    return 1\n"})).withColumn("repo", F.lit(None).cast("string"))
     assert rows(callgraph.call_nodes(parsed), "repo", "name") == [(None, "f")]
+
+
+def test_keep_last_wide_does_not_sort_wide_rows(spark, rows):
+    """Equal orders are one row, a stored table is not stored again, and the text is in no
+    aggregate and no sort."""
+    df = spark.createDataFrame(
+        [(k % 7, None if k % 11 == 0 else k % 5, f"text {k}") for k in range(500)], "k int, n int, code string")
+    got = {r.k: r for r in skew.keep_last_wide(df, ["k"], ["n"]).collect()}
+    assert len(got) == 7 and all(r.n == 4 and int(r.code[5:]) % 7 == k and int(r.code[5:]) % 5 == 4 for k, r in got.items())
+    kept = K.cut(df)
+    assert K.stored(kept) is kept and K.stored(df) is not df
+    last = skew.keep_last_wide(kept, ["k"], ["n"], F.col("k") < 3)
+    assert sorted(r.k for r in last.collect()) == [0, 1, 2]
+    plan = last._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "first(" not in plan
+    assert not [line for line in plan.splitlines() if ("Aggregate" in line or "Sort " in line) and "code" in line]
+    assert skew.keep_last_wide(df.where("false"), ["k"], ["n"]).count() == 0
