@@ -26,7 +26,8 @@ cut at fixed distances from the anchor and dealt by the bytes that all their win
 
 Defined results: a null text is empty. Texts below ``window`` bytes are kept whole. Rows of
 one id are one document: they never remove each other's bytes. A row without id keeps its
-bytes and removes none. Repeated rows get equal results. Other columns are carried through.
+bytes and removes none, so such rows, however many, are in no group and are never shuffled.
+Repeated rows get equal results. Other columns are carried through.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -182,9 +182,9 @@ def _cells(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _usable(rows: pa.Table) -> pa.Table:
-    """Rows with id and text. They are taken here and not before the exchange, so that all
-    steps ask for the same exchange."""
-    return rows.filter(pc.and_(rows.column("doc_id").is_valid(), rows.column("text").is_valid()))
+    """Rows with text. They are taken here and not before the exchange, so that all steps ask
+    for the same exchange."""
+    return rows.filter(rows.column("text").is_valid())
 
 
 def _group_pieces(rows: pa.Table, window: int):
@@ -520,6 +520,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, batches: int = BATCHES, as
     """All columns of ``docs`` and ``sa_bytes, sa_removed, sa_spans`` (counts) and ``sa_kept``
     (the bytes that stay; with ``as_text`` a string, without what a cut has left of a
     character)."""
+    nameless, docs = docs.where(F.col("doc_id").isNull()), docs.where(F.col("doc_id").isNotNull())
     shape = docs.agg(
         F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)
     ).first()
@@ -541,5 +542,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, batches: int = BATCHES, as
     out = T.StructType(docs.schema.fields + [
         T.StructField("sa_bytes", T.LongType()), T.StructField("sa_removed", T.LongType()),
         T.StructField("sa_spans", T.LongType()), T.StructField("sa_kept", T.StringType() if as_text else T.BinaryType())])
-    return rows.groupBy("__group").cogroup(
+    done = rows.groupBy("__group").cogroup(
         ranges.repartition(groups, "__group").groupBy("__group")).applyInArrow(_apply(to_arrow_schema(out), as_text), out)
+    whole = F.coalesce("text", F.lit(""))
+    return done.unionByName(nameless.withColumns({
+        "sa_bytes": F.octet_length(whole).cast("long"), "sa_removed": F.lit(0).cast("long"),
+        "sa_spans": F.lit(0).cast("long"), "sa_kept": whole if as_text else whole.cast("binary")}))

@@ -148,6 +148,22 @@ def test_suffix_dedup_of_odd_tables(spark):
     assert sorted(got, key=str) == sorted([(None, 0), (4, 0), (4, 0), (4, 0), (6, 300), (5, 0)], key=str)
 
 
+@pytest.mark.parametrize("as_text", [False, True])
+def test_suffix_dedup_leaves_rows_without_id_alone(spark, as_text):
+    """Many rows without id: whole, in no group, and without effect on others."""
+    long = "Zeile für Zeile " * 12
+    rows = [(None, long, "x")] * 300 + [(None, None, "x"), (None, "", "x"), (8, long, "x"), (9, long, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sa string")
+    got = suffix.remove_repeats(docs, as_text=as_text)
+    whole = long if as_text else long.encode()
+    empty = whole[:0]
+    n = len(long.encode())
+    want = [(None, n, 0, 0, whole)] * 300 + [(None, 0, 0, 0, empty)] * 2 + [(8, n, 0, 0, whole), (9, n, n, 1, empty)]
+    found = [(r["doc_id"], r["sa_bytes"], r["sa_removed"], r["sa_spans"], r["sa_kept"] if as_text else bytes(r["sa_kept"])) for r in got.collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert suffix.remove_repeats(docs.where("doc_id is null"), as_text=as_text).count() == 302
+
+
 def test_suffix_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["kept_sha256"], r["n_removed"], r["n_spans"]) for r in op3_suffix_dedup(spark, SF).collect()}
