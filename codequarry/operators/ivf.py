@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as t
 
 from ..functions.vectors import has_vector
 from ..plans.checkpoints import cut
-from .neighbours import PACK_ROWS, SCORE_DIGITS, _hit_schema, _pack, _pair_products, _scan_index, _small_side, _top_per_query, _unit_rows
+from .neighbours import PACK_ROWS, SCORE_DIGITS, _hit_schema, _pack, _products, _scan_index, _small_side, _top_per_query, _unit_rows
 
 TRAIN_PER_CELL, ROUNDS = 256, 6
 #: The centroids are sent to every task: no more of them than this many bytes hold.
@@ -179,8 +179,7 @@ class Index:
         left = _pack(probed.join(parts, "cell"), ["cell", "part"], "query_id", 1).drop("salt").select(
             "cell", "part", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
         right = _pack(rows, ["cell", "part"], "id", 1)
-        pairs = left.join(right, ["cell", "part"]).select("query_ids", "query_matrix", "ids", "matrix")
-        return pairs.mapInArrow(_pair_products(k, schema), schema)
+        return _products(left, right, ["cell", "part"], k, schema)
 
     def search(self, queries: DataFrame, k: int, probes: int = 8, exact: bool = False) -> DataFrame:
         """(query_id, id, similarity, rank): the k nearest rows in the ``probes`` nearest cells, or of

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as t
+from pyspark.sql import Column, DataFrame, functions as F, types as t
 from pyspark.sql.window import Window
 
 from .. import fixed_values as fixed
@@ -26,9 +26,10 @@ SMALL_QUERY_ROWS = 2_048
 PACK_ROWS = 2_048
 # Digits that scores are compared with, in every form of the search.
 SCORE_DIGITS = 6
-# Groups one key is spread over; without keys, as many as there are shuffle partitions.
-INDEX_SALTS = 64
-QUERY_SALTS = 8
+# Rows of a key that stay together: larger groups are cut into blocks of about as many, by a
+# hash of the id. The index rows of a block (128 MB of 1,000 wide vectors) are buffered by the join.
+BLOCK_ROWS = 8 * PACK_ROWS
+_BLOCKS = "__blocks"
 
 
 def _unit_rows(vectors) -> np.ndarray:
@@ -53,10 +54,34 @@ def _small_side(df: DataFrame, key: str, limit: int):
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int):
-    """Columns of the k best scores per row, ties by smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ranked = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]
-    return order[ranked]
+    """Columns of the k best scores per row, ties by smaller id. Scores have ``SCORE_DIGITS``
+    digits, so score and place among the ids make one integer, and k are selected, not all sorted."""
+    n = len(ids)
+    place = np.empty(n, np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(n)
+    steps = np.rint(np.nan_to_num(scores, nan=-2.0) * 10.0 ** SCORE_DIGITS).astype(np.int64)
+    key = place - steps * n
+    if k < n:
+        best = np.argpartition(key, k - 1, axis=1)[:, :k]
+    else:
+        best = np.broadcast_to(np.arange(n), key.shape)
+    return np.take_along_axis(best, np.argsort(np.take_along_axis(key, best, 1), axis=1), 1)
+
+
+def _running(kept, scores: np.ndarray, ids: np.ndarray, k: int):
+    """(scores, ids) of the k best per row, of those ``kept`` so far (None at first) and new columns."""
+    best = _best(scores, ids, k)
+    new, new_ids = np.take_along_axis(scores, best, 1), ids[best]
+    if kept is None:
+        return new, new_ids
+    new = np.concatenate([kept[0], new], 1)
+    new_ids = np.concatenate([kept[1], new_ids], 1)
+    # Ties go to the smaller id: first by id, then, stably, by score.
+    by_id = np.argsort(new_ids, axis=1, kind="stable")
+    new, new_ids = np.take_along_axis(new, by_id, 1), np.take_along_axis(new_ids, by_id, 1)
+    top = np.argsort(-new, axis=1, kind="stable")[:, :k]
+    new, new_ids = np.take_along_axis(new, top, 1), np.take_along_axis(new_ids, top, 1)
+    return new, new_ids
 
 
 # --- best pattern per chunk ------------------------------------------------------
@@ -187,7 +212,18 @@ def _with_buckets(df: DataFrame, tables: int, bits: int, seed: int) -> DataFrame
     )
 
 
-def _pack(df: DataFrame, keys: list[str], id_column: str, salts: int) -> DataFrame:
+def _block_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of more than ``BLOCK_ROWS`` rows and the blocks they go into: at most one row here
+    for ``BLOCK_ROWS`` rows there. Stored, so that a join knows its size."""
+    blocks = F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias(_BLOCKS)
+    return cut(df.groupBy(*keys).count().where(F.col("count") > BLOCK_ROWS).select(*keys, blocks))
+
+
+def _with_blocks(df: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    return df.join(counts, keys, "left").withColumn(_BLOCKS, F.coalesce(_BLOCKS, F.lit(1)))
+
+
+def _pack(df: DataFrame, keys: list[str], id_column: str, salts: int | Column) -> DataFrame:
     """Rows of one (keys, salt) as packs of at most ``PACK_ROWS`` rows."""
     salted = df.withColumn(
         "salt", F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
@@ -276,57 +312,87 @@ def nearest(
         if small is not None:
             return _top_per_query(_scan_index(index, small, k, schema), k)
 
-    keys = list(within)
+    hits = _packed_hits(queries, index, k, list(within), tables, bits, seed)
+    if tables:
+        hits = hits.distinct()
+    return _top_per_query(hits, k)
+
+
+def _packed_hits(queries, index, k: int, keys: list[str], tables: int = 0, bits: int = 12, seed: int = 7) -> DataFrame:
+    """The k best of each query in each block of the index that shares its keys; a row whose key
+    is null shares it with none.
+
+    Blocks follow measured sizes: a group of up to ``BLOCK_ROWS`` rows is one. Without keys there
+    are as many as shuffle partitions at least."""
+    schema = _hit_schema(queries, index)
     if tables:
         queries = _with_buckets(queries, tables, bits, seed)
         index = _with_buckets(index, tables, bits, seed)
-        keys += ["table", "bucket"]
-    salts = INDEX_SALTS
-    if not within:
-        salts = max(salts, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if not keys:
-        queries = queries.withColumn("all", F.lit(0))
-        index = index.withColumn("all", F.lit(0))
+        keys = [*keys, "table", "bucket"]
+    if keys:
+        known = F.lit(True)
+        for key in keys:
+            known = known & F.col(key).isNotNull()
+        queries, index = queries.where(known), index.where(known)
+        index_blocks = _block_counts(index, keys)
+        queries = _with_blocks(queries, keys, _block_counts(queries, keys))
+        index = _with_blocks(index, keys, index_blocks)
+    else:
         keys = ["all"]
-    left = _pack(queries, keys, "query_id", QUERY_SALTS).drop("salt").select(
+        partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = max(partitions, -(-index.count() // BLOCK_ROWS))
+        index = index.withColumn("all", F.lit(0)).withColumn(_BLOCKS, F.lit(n))
+        queries = queries.withColumn("all", F.lit(0)).withColumn(
+            _BLOCKS, F.lit(max(1, -(-queries.count() // BLOCK_ROWS))))
+    left = _pack(queries, keys, "query_id", F.col(_BLOCKS)).drop("salt")
+    left = left.withColumn(_BLOCKS, F.lit(n)) if keys == ["all"] else _with_blocks(left, keys, index_blocks)
+    left = left.select(
         *keys, F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    right = _pack(index, keys, "id", salts)
-    pairs = left.join(right, [*keys, "salt"]).select(
-        "query_ids", "query_matrix", "ids", "matrix"
+        F.explode(F.sequence(F.lit(0), F.col(_BLOCKS) - 1)).alias("salt"),
     )
-    hits = pairs.mapInArrow(_pair_products(k, schema), schema)
-    if tables:
-        hits = hits.distinct()
-    return _top_per_query(hits, k)
+    right = _pack(index, keys, "id", F.col(_BLOCKS))
+    return _products(left, right, [*keys, "salt"], k, schema)
+
+
+def _products(left: DataFrame, right: DataFrame, on: list[str], k: int, schema) -> DataFrame:
+    """Hits of query packs in the index packs they meet. A merge join streams its left side, so a
+    task sees all index packs of one query pack in a row and hands on k rows per query for them."""
+    pairs = left.join(right.hint("merge"), on).select("query_ids", "query_matrix", "ids", "matrix")
+    return pairs.mapInArrow(_pair_products(k, schema), schema)
 
 
-def _hits_batch(query_ids, ids, scores, k, schema):
+def _hits_batch(query_ids, kept, schema):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     wanted = to_arrow_schema(schema)
-    ids = np.asarray(ids)
-    best = _best(scores, ids, k)
-    rows = np.repeat(np.arange(len(query_ids)), best.shape[1])
-    cols = best.ravel()
+    scores, ids = kept
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(query_ids)[rows]).cast(wanted[0].type),
-         pa.array(ids[cols]).cast(wanted[1].type),
-         pa.array(scores[rows, cols], pa.float64())],
+        [pa.array(np.repeat(np.asarray(query_ids), scores.shape[1])).cast(wanted[0].type),
+         pa.array(ids.ravel()).cast(wanted[1].type), pa.array(scores.ravel(), pa.float64())],
         schema=wanted,
     )
 
 
 def _pair_products(k: int, schema):
+    """Running top-k over the pairs of a task. Only the best of the query pack at hand are held;
+    if its pairs do not come in a row, more rows leave the task and the top-k is the same."""
+
     def run(batches):
+        units = query_ids = kept = None
         for batch in batches:
-            for row in batch.to_pylist():
-                a = np.frombuffer(row["query_matrix"]).reshape(len(row["query_ids"]), -1)
-                b = np.frombuffer(row["matrix"]).reshape(len(row["ids"]), -1)
-                yield _hits_batch(
-                    row["query_ids"], row["ids"], np.round(a @ b.T, SCORE_DIGITS), k, schema
-                )
+            columns = [batch.column(c) for c in ("query_ids", "query_matrix", "ids", "matrix")]
+            for at in range(batch.num_rows):
+                asked, matrix, ids, rows = (c[at] for c in columns)
+                ids = ids.values.to_numpy(zero_copy_only=False)
+                if units is None or not (matrix.as_buffer().equals(units) and asked.values.equals(query_ids)):
+                    if units is not None:
+                        yield _hits_batch(query_ids.to_numpy(zero_copy_only=False), kept, schema)
+                    units, query_ids, kept = matrix.as_buffer(), asked.values, None
+                a = np.frombuffer(units).reshape(len(query_ids), -1)
+                b = np.frombuffer(rows.as_buffer()).reshape(len(ids), -1)
+                kept = _running(kept, np.round(a @ b.T, SCORE_DIGITS), ids, k)
+        if units is not None:
+            yield _hits_batch(query_ids.to_numpy(zero_copy_only=False), kept, schema)
 
     return run
 
@@ -340,38 +406,16 @@ def _scan_index(index: DataFrame, small: tuple, k: int, schema) -> DataFrame:
         query_ids, q = held.value
         if q is None:
             return
-        kept_ids = kept = None
+        kept = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             scores = np.round(q @ _unit_rows(flat.reshape(len(ids), -1)).T, SCORE_DIGITS)
-            best = _best(scores, ids, k)
-            new = np.take_along_axis(scores, best, 1)
-            new_ids = ids[best]
-            if kept is not None:
-                new = np.concatenate([kept, new], 1)
-                new_ids = np.concatenate([kept_ids, new_ids], 1)
-                by_id = np.argsort(new_ids, axis=1, kind="stable")
-                new = np.take_along_axis(new, by_id, 1)
-                new_ids = np.take_along_axis(new_ids, by_id, 1)
-                top = np.argsort(-new, axis=1, kind="stable")[:, :k]
-                new = np.take_along_axis(new, top, 1)
-                new_ids = np.take_along_axis(new_ids, top, 1)
-            kept, kept_ids = new, new_ids
-        if kept is None:
-            return
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        wanted = to_arrow_schema(schema)
-        width = kept.shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.asarray(query_ids), width)).cast(wanted[0].type),
-             pa.array(kept_ids.ravel()).cast(wanted[1].type),
-             pa.array(kept.ravel(), pa.float64())],
-            schema=wanted,
-        )
+            kept = _running(kept, scores, ids, k)
+        if kept is not None:
+            yield _hits_batch(query_ids, kept, schema)
 
     return index.select("id", "embedding").mapInArrow(run, schema)
 

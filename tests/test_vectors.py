@@ -69,6 +69,39 @@ def test_nearest_within_groups_with_a_hot_group(spark, monkeypatch):
     same_hits(out, brute(x, x, 4, lambda i, j: group[i] == group[j]))
 
 
+def test_few_rows_leave_the_tasks(spark, monkeypatch):
+    """k rows per query and block of the index, however many packs there are."""
+    monkeypatch.setattr(N, "PACK_ROWS", 5)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 60)
+    x = vectors(240, 6, 5)
+    group = ["hot" if i % 4 else f"g{i % 20}" for i in range(240)]
+    df = table(spark, x, repo=group)
+    queries = df.withColumnRenamed("id", "query_id")
+    # 180 rows in 3 blocks; five groups of 12 rows in one each.
+    assert N._packed_hits(queries, df, 2, ["repo"]).count() == 180 * 3 * 2 + 60 * 2
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
+    assert N._packed_hits(queries, df, 2, []).count() <= 240 * blocks * 2
+    out = N.nearest(queries, df, 2, within=("repo",))
+    same_hits(out, brute(x, x, 2, lambda i, j: group[i] == group[j]))
+
+
+def test_rows_of_no_group_match_none(spark):
+    x = vectors(30, 4, 11)
+    group = [None if i % 3 == 0 else "a" for i in range(30)]
+    df = table(spark, x, repo=group)
+    out = N.nearest(df.withColumnRenamed("id", "query_id"), df, 3, within=("repo",))
+    same_hits(out, [h for h in brute(x, x, 3, lambda i, j: group[i] == group[j] == "a")])
+
+
+def test_best_columns_are_those_of_a_full_sort():
+    rng = np.random.default_rng(12)
+    for n, k in ((1, 3), (7, 7), (50, 4)):
+        scores = np.round(rng.choice([-1.0, 0.25, 0.5, 1.0, np.nan], (9, n)), 6)
+        ids = rng.permutation(n) * 3 - 5
+        want = [sorted(range(n), key=lambda j: (-np.nan_to_num(row[j], nan=-2.0), ids[j]))[:k] for row in scores]
+        assert N._best(scores, ids, k).tolist() == want
+
+
 def test_hashed_search_finds_most_and_scores_exactly(spark):
     rng = np.random.default_rng(4)
     centre = rng.standard_normal((20, 16)).repeat(15, axis=0)
