@@ -1,148 +1,183 @@
 """Source trees and text tables as a ``files`` DataFrame.
 
 Spark's own file sources skip every name that starts with ``_`` or ``.``, which
-would drop each ``__init__.py``; so trees are read by a small Python data source
-that plans bounded groups of files and reads each group in its own task.  Large
-corpora should be compacted to Parquet once and read from there.
+would drop each ``__init__.py``; so trees are listed and read by tasks of their own. The
+driver looks at the root alone: a task lists a bounded number of entries and hands the
+folders it did not reach to the next round, and the files found are read in groups of
+bounded size. Large corpora should be compacted to Parquet once and read from there.
 """
 
 from __future__ import annotations
 
-import json
 import os
+from collections import deque
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import DEFAULT_CONFIG, AnalysisConfig
 from ..errors import SourceTreeError
+from ..plans.checkpoints import cut_counted
 
 GROUP_BYTES = 64 * 1024 * 1024
 GROUP_FILES = 4_000
+#: Entries a task lists before it hands on the folders that are left, and tasks of a round.
+LIST_ENTRIES = 50_000
+LIST_TASKS = 4_096
+#: Bytes of file bodies, about, that a task holds before it hands them on.
+_BATCH_BYTES = 8 * 1024 * 1024
+_BATCH_ROWS = 2_000
+_LISTED = pa.schema([("file_path", pa.string()), ("length", pa.int64()), ("is_folder", pa.bool_()), ("read_error", pa.string())])
+_READ = pa.schema([("file_path", pa.string()), ("rel_path", pa.string()), ("length", pa.int64()), ("body", pa.binary()),
+                   ("read_error", pa.string())])
+
+
+def opened(root: str):
+    """(file system, folder) of a path; None stands for local files, whose links are not followed."""
+    if root.startswith("file:"):
+        return None, "/" + root[len("file:"):].lstrip("/")
+    if "://" not in root:
+        return None, os.path.abspath(root)
+    from pyarrow import fs
 
-
-class _FileGroup(InputPartition):
-    def __init__(self, paths):
-        self.paths = paths
+    return fs.FileSystem.from_uri(root)
 
 
-def _local(root: str) -> str | None:
-    if root.startswith("file:"):
-        return "/" + root[len("file:"):].lstrip("/")
-    return None if "://" in root else os.path.abspath(root)
-
-
-def _listing(root: str, suffix: str, skipped: frozenset = frozenset(), prefixes: tuple = ()):
-    """(path, size) of the files below the root, with any name; ``skipped`` folders are not
-    entered, files of that name or with one of ``prefixes`` not listed."""
-    def wanted(name: str) -> bool:
-        return name.endswith(suffix) and name not in skipped and not name.startswith(prefixes)
-
-    local = _local(root)
-    if local is not None:
-        if not os.path.isdir(local):
-            raise SourceTreeError(f"no folder of source files at {root}")
-        for folder, folders, names in os.walk(local):
-            folders[:] = [f for f in folders if f not in skipped]
-            for name in names:
-                if wanted(name):
-                    path = os.path.join(folder, name)
-                    yield path, os.path.getsize(path) if os.path.isfile(path) else 0
+def _entries(filesystem, folder: str):
+    """(path, name, is folder, size) of what lies in one folder."""
+    if filesystem is None:
+        with os.scandir(folder) as found:
+            for entry in found:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.path, entry.name, True, 0
+                elif not entry.is_dir():
+                    yield entry.path, entry.name, False, entry.stat().st_size if entry.is_file() else 0
         return
     from pyarrow import fs
 
-    filesystem, base = fs.FileSystem.from_uri(root)
-    if filesystem.get_file_info(base).type != fs.FileType.Directory:
+    for info in filesystem.get_file_info(fs.FileSelector(folder)):
+        if info.type in (fs.FileType.Directory, fs.FileType.File):
+            yield info.path, info.base_name, info.type == fs.FileType.Directory, info.size or 0
+
+
+def _is_folder(root: str) -> bool:
+    filesystem, base = opened(root)
+    if filesystem is None:
+        return os.path.isdir(base)
+    from pyarrow import fs
+
+    return filesystem.get_file_info(base).type == fs.FileType.Directory
+
+
+def _batches(rows, schema: pa.Schema, size=lambda row: 0):
+    """Arrow batches of at most ``_BATCH_ROWS`` rows and about ``_BATCH_BYTES``."""
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if len(held) >= _BATCH_ROWS or total >= _BATCH_BYTES:
+            yield batch()
+            held, total = [], 0
+    if held:
+        yield batch()
+
+
+def _ddl(schema: pa.Schema):
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return from_arrow_schema(schema)
+
+
+def list_tree(
+    spark: SparkSession, root: str, config: AnalysisConfig = DEFAULT_CONFIG, *,
+    suffix: str = ".py", entries: int = LIST_ENTRIES,
+) -> DataFrame:
+    """(file_path, length, read_error) of the files below a root whose name ends with ``suffix``,
+    with any first letter. Excluded folders are not entered and excluded files not listed;
+    a folder that cannot be listed is a row with a ``read_error``.
+
+    Every task walks its folders breadth first, up to ``entries`` entries (a folder is
+    listed whole), and the rest are rows of the next round; rounds are stored.
+    """
+    if not _is_folder(root):
         raise SourceTreeError(f"no folder of source files at {root}")
-    todo = [base]
-    while todo:
-        for info in filesystem.get_file_info(fs.FileSelector(todo.pop())):
-            if info.type == fs.FileType.Directory and info.base_name not in skipped:
-                todo.append(info.path)
-            elif info.type == fs.FileType.File and wanted(info.base_name):
-                yield info.path, info.size
-
-
-class _TreeReader(DataSourceReader):
-    def __init__(self, options):
-        self.root = options["path"]
-        self.suffix = options.get("suffix", ".py")
-        limit = options.get("maxfilebytes", "")
-        self.limit = int(limit) if limit else None
-        self.skipped = frozenset(json.loads(options.get("skipped", "[]")))
-        self.prefixes = tuple(json.loads(options.get("prefixes", "[]")))
-
-    def partitions(self):
-        groups, paths, size = [], [], 0
-        for path, length in _listing(self.root, self.suffix, self.skipped, self.prefixes):
-            if paths and (size + length > GROUP_BYTES or len(paths) >= GROUP_FILES):
-                groups.append(_FileGroup(paths))
-                paths, size = [], 0
-            paths.append((path, length))
-            size += length
-        if paths or not groups:
-            groups.append(_FileGroup(paths))
-        return groups
-
-    def read(self, partition):
-        local = _local(self.root)
-        if local is None:
-            from pyarrow import fs
-
-            filesystem, base = fs.FileSystem.from_uri(self.root)
-        else:
-            base = local
-        for path, length in partition.paths:
-            relative = path[len(base):].lstrip("/")
-            if self.limit is not None and length > self.limit:
-                yield path, relative, length, None, "file is larger than the limit"
-                continue
-            try:
-                if local is None:
-                    with filesystem.open_input_stream(path) as stream:
-                        body = stream.read()
-                else:
-                    with open(path, "rb") as stream:
-                        body = stream.read()
-            except OSError as exc:
-                yield path, relative, length, None, f"unreadable: {exc}"
-                continue
-            yield path, relative, length, body, None
-
-
-class SourceTree(DataSource):
-    """``spark.read.format("source_tree").load(root)``."""
-
-    @classmethod
-    def name(cls):
-        return "source_tree"
-
-    def schema(self):
-        return (
-            "file_path string, rel_path string, length bigint, body binary, "
-            "read_error string"
-        )
-
-    def reader(self, schema):
-        return _TreeReader(self.options)
+    skipped, prefixes = frozenset(config.excluded_dirs), tuple(config.excluded_prefixes)
+
+    def walk(folders):
+        filesystem, _ = opened(root)
+        listed = 0
+        for first in folders:
+            todo = deque([first])
+            while todo and listed < entries:
+                folder = todo.popleft()
+                try:
+                    for path, name, is_folder, size in _entries(filesystem, folder):
+                        listed += 1
+                        if is_folder:
+                            if name not in skipped:
+                                todo.append(path)
+                        elif name.endswith(suffix) and not name.startswith(prefixes):
+                            yield path, size, False, None
+                except OSError as exc:
+                    yield folder, None, False, f"unreadable folder: {exc}"
+            yield from ((folder, None, True, None) for folder in todo)
+
+    def run(batches):
+        yield from _batches(walk(f for b in batches for f in b.column(0).to_pylist()), _LISTED)
+
+    _, base = opened(root)
+    todo, left, rounds = spark.createDataFrame([(base,)], "file_path string"), 1, []
+    while left:
+        placed = todo.repartition(min(left, LIST_TASKS), "file_path")
+        step, left = cut_counted(placed.mapInArrow(run, _ddl(_LISTED)), F.col("is_folder"))
+        rounds.append(step.where(~F.col("is_folder")).drop("is_folder"))
+        todo = step.where("is_folder").select("file_path")
+    return reduce(DataFrame.unionAll, rounds)
+
+
+def read_files(files: DataFrame, root: str, limit: int | None = None) -> DataFrame:
+    """(file_path, rel_path, length, body, read_error) of listed files, undecoded. Files above
+    ``limit`` bytes are not opened and have an error, as have files that cannot be read."""
+    n, size = files.agg(F.count(F.lit(1)), F.sum("length")).first()
+    groups = max(1, -(-n // GROUP_FILES), -(-(size or 0) // GROUP_BYTES))
+
+    def body_of(filesystem, path):
+        if filesystem is None:
+            with open(path, "rb") as stream:
+                return stream.read()
+        with filesystem.open_input_stream(path) as stream:
+            return stream.read()
+
+    def read(rows):
+        filesystem, base = opened(root)
+        for path, length, error in rows:
+            body = None
+            if error is None and limit is not None and length > limit:
+                error = "file is larger than the limit"
+            elif error is None:
+                try:
+                    body = body_of(filesystem, path)
+                except OSError as exc:
+                    error = f"unreadable: {exc}"
+            yield path, path[len(base):].lstrip("/"), length, body, error
+
+    def run(batches):
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        yield from _batches(read(rows), _READ, lambda row: len(row[3] or b""))
+
+    placed = files.select("file_path", "length", "read_error").repartition(groups, "file_path")
+    return placed.mapInArrow(run, _ddl(_READ))
 
 
 def scan_tree(
     spark: SparkSession, root: str, config: AnalysisConfig = DEFAULT_CONFIG
 ) -> DataFrame:
     """All ``*.py`` files below a root, undecoded. What is excluded is never opened."""
-    local = _local(root)
-    if local is not None and not os.path.isdir(local):
-        next(_listing(root, ".py"), None)
-    spark.dataSource.register(SourceTree)
-    tree = (
-        spark.read.format("source_tree")
-        .option("suffix", ".py")
-        .option("maxfilebytes", "" if config.max_file_bytes is None else config.max_file_bytes)
-        .option("skipped", json.dumps(sorted(config.excluded_dirs)))
-        .option("prefixes", json.dumps(sorted(config.excluded_prefixes)))
-        .load(root)
-    )
+    tree = read_files(list_tree(spark, root, config), root, config.max_file_bytes)
     return tree.where(~is_excluded(F.col("rel_path"), config))
 
 

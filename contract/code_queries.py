@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codequarry import fixed_values as fixed
@@ -9,11 +11,11 @@ from codequarry.config import AnalysisConfig
 from codequarry.functions import text as T
 from codequarry.operators import callgraph, chunks as C, conventions, issues as I, parse
 from codequarry.operators import embeddings, rules
-from codequarry.plans.checkpoints import cut
-from codequarry.sources import files as S
+from codequarry.plans.checkpoints import cut, work_folder
+from codequarry.sources import files as S, results
 
 from .registry import query
-from .views import _q, code_ctes, code_files, table
+from .views import _q, code_ctes, code_files, table, tree_oracle
 
 CTES = "WITH " + code_ctes()
 
@@ -127,6 +129,38 @@ def _raw_documents(spark, sf_dir):
     )
 
 
+def _new_folder(spark) -> str:
+    return f"{work_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query(tree_oracle())
+def q_scan_tree(spark, sf_dir):
+    """All derived source files written as a tree, then listed and read from there."""
+    root = _new_folder(spark)
+    results.save_tree(code_files(spark, sf_dir), root)
+    return S.scan_tree(spark, root).select(
+        "rel_path", "length", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, sha256(text) AS text_sha256, n_chars FROM documents)
+SELECT 'json' AS kind, * FROM d UNION ALL SELECT 'table' AS kind, * FROM d""")
+def q_saved_results(spark, sf_dir):
+    """Whole documents through both sinks and read back, without a reject."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars")
+    lines, parts = _new_folder(spark), _new_folder(spark)
+    results.save_json(docs, lines)
+    results.save_table(docs, parts, "source")
+    rows, rejects = results.load_json(spark, lines, docs.schema)
+    stored = spark.read.parquet(parts).select(docs.columns)
+    told = [
+        df.select(F.lit(kind).alias("kind"), "doc_id", "source", F.sha2("text", 256).alias("text_sha256"), "n_chars")
+        for kind, df in (("json", rows), ("table", stored),
+                         ("reject", rejects.withColumn("text", F.col(results.CORRUPT))))
+    ]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
 @query("""
 SELECT 'd/' || doc_id || '.py' AS file_path, text AS content FROM documents
 WHERE doc_id % 3 <> 0""")

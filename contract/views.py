@@ -191,6 +191,17 @@ def _names(names: tuple[str, ...]) -> str:
     return "CAST([" + ", ".join(_q(n) for n in names) + "] AS VARCHAR[])"
 
 
+def tree_oracle() -> str:
+    """The bytes of the files that a scan of the derived tree opens."""
+    texts = _values((n, _q(s.text)) for n, s in enumerate(SHAPES))
+    gap = "chr(10) || chr(10) || chr(10)"
+    return f"""WITH {code_ctes()},
+    text_of(shape, text_t) AS (VALUES {texts}),
+    body AS (SELECT rel_path, string_agg({_sql_text('text_t')}, {gap} ORDER BY event_id) || chr(10) AS content
+             FROM placed JOIN text_of USING (shape) WHERE user_id % 10 NOT IN (0, 2) GROUP BY rel_path)
+    SELECT rel_path, CAST(strlen(content) AS BIGINT) AS length, sha256(content) AS body_sha256 FROM body"""
+
+
 def code_ctes() -> str:
     """CTEs ``fn`` (all functions), ``chunk`` (of scanned files) and ``hit`` (rule
     issues of all chunks) for DuckDB."""

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from codequarry.config import AnalysisConfig
 from codequarry.errors import SourceTreeError
 from codequarry.operators import chunks as C, parse
 from codequarry.sources import files as S
+from codequarry.sources.results import save_tree
 
 
 def as_files(spark, sources):
@@ -137,6 +139,35 @@ def test_scan_tree(spark, tmp_path):
     assert "pkg/crlf.py" in {r.rel_path for r in S.decode_strict(limited, "r")[1].collect()}
 
 
+def test_listing_runs_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver lists nothing, and the files are the same however little a task may list."""
+    for i in range(40):
+        folder = tmp_path / f"a{i % 3}" / f"b{i % 7}" / f"c{i}"
+        folder.mkdir(parents=True)
+        (folder / f"m{i}.py").write_text(f"x = {i}\n")
+    (tmp_path / "a0" / "loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "a1" / "gone.py").symlink_to(tmp_path / "nowhere.py")
+    listings, scandir = [], os.scandir
+    monkeypatch.setattr(os, "scandir", lambda *folder: listings.append(str(folder)) or scandir(*folder))
+    whole = {(r.file_path, r.length) for r in S.list_tree(spark, str(tmp_path)).collect()}
+    assert len(whole) == 41 and not any(str(tmp_path) in folder for folder in listings)
+    for entries in (1, 9):
+        few = [(r.file_path, r.length) for r in S.list_tree(spark, str(tmp_path), entries=entries).collect()]
+        assert len(few) == 41 and set(few) == whole
+    raw = {r.rel_path: r for r in S.scan_tree(spark, f"file:{tmp_path}").collect()}
+    assert bytes(raw["a1/b0/c7/m7.py"].body) == b"x = 7\n"
+    assert raw["a1/gone.py"].body is None and raw["a1/gone.py"].read_error.startswith("unreadable")
+
+
+def test_tree_written_and_read(spark, tmp_path):
+    rows = [("a/__init__.py", "x = 1\n"), ("a/b/ü.py", "é\r\n"), ("none.py", None), (None, "lost"), ("a/note.txt", "n")]
+    save_tree(spark.createDataFrame(rows, "rel_path string, content string"), str(tmp_path / "t"))
+    got = {r.rel_path: bytes(r.body).decode() for r in S.scan_tree(spark, str(tmp_path / "t")).collect()}
+    assert got == {"a/__init__.py": "x = 1\n", "a/b/ü.py": "é\r\n", "none.py": ""}
+    (tmp_path / "empty").mkdir()
+    assert S.scan_tree(spark, str(tmp_path / "empty")).collect() == []
+
+
 def test_scan_of_no_folder(spark, tmp_path):
     with pytest.raises(SourceTreeError):
         S.scan_tree(spark, str(tmp_path / "none"))
