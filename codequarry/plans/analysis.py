@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fixed
 from ..config import DEFAULT_CONFIG, AnalysisConfig
@@ -168,7 +168,26 @@ def _one_per_id(chunks: DataFrame) -> DataFrame:
     return keep_last_wide(slim, ["repo", "chunk_id"], ["place"]).drop("place")
 
 
-def save(results: dict[str, DataFrame], folder: str, *names: str) -> None:
-    """Write result tables as Parquet below a folder; all of them if none is named."""
-    for name in names or results:
-        save_table(results[name], f"{folder.rstrip('/')}/{name}")
+def _counted(name: str, df: DataFrame) -> dict[str, Column]:
+    """What is counted of a result table while it is saved, besides its rows."""
+    wanted = {}
+    if "severity" in df.columns:
+        wanted |= {level: F.count_if(F.col("severity") == level) for level in ("high", "medium", "low")}
+    if name == "call_nodes":
+        wanted |= {"sources": F.count_if("is_source"), "sinks": F.count_if("is_sink")}
+    if "archaeology" in df.columns:
+        wanted["investigated"] = F.count_if(F.col("archaeology.investigated"))
+    if "verification" in df.columns:
+        verified, tested = F.col("verification.verified"), F.col("verification").isNotNull()
+        wanted |= {"verified": F.count_if(verified), "rejected": F.count_if(~verified),
+                   "unverifiable": F.count_if(tested & verified.isNull())}
+    return wanted
+
+
+def save(results: dict[str, DataFrame], folder: str, *names: str) -> dict[str, dict[str, int]]:
+    """Write result tables as Parquet below a folder; all of them if none is named. Returns the
+    counters of each table, observed on the write."""
+    return {
+        name: save_table(results[name], f"{folder.rstrip('/')}/{name}", counters=_counted(name, results[name]))
+        for name in names or results
+    }

@@ -11,6 +11,7 @@ from codequarry.config import AnalysisConfig
 from codequarry.functions import text as T
 from codequarry.operators import callgraph, chunks as C, conventions, issues as I, parse
 from codequarry.operators import embeddings, rules
+from codequarry.plans import analysis
 from codequarry.plans.checkpoints import cut, work_folder
 from codequarry.sources import files as S, results
 
@@ -552,6 +553,44 @@ def q_issue_union(spark, sf_dir):
     )
 
 
+@query(CTES + """
+SELECT 'functions' AS name, 'rows' AS counter, (SELECT count(*) FROM fn) AS n
+UNION ALL SELECT 'chunks', 'rows', (SELECT count(*) FROM chunk)
+UNION ALL SELECT 'issues', 'rows', (SELECT count(*) FROM hit)
+UNION ALL SELECT 'issues', level, (SELECT count(*) FROM hit WHERE severity = level)
+FROM (VALUES ('high'), ('medium'), ('low')) AS v(level)""")
+def q_saved_counters(spark, sf_dir):
+    """Counters of saved result tables, taken while they are written."""
+    found = cut(functions(spark, sf_dir))
+    corpus = cut(C.chunk_functions(found))
+    told = analysis.save(
+        {"functions": found, "chunks": corpus, "issues": rules.scan(corpus)}, _new_folder(spark))
+    rows = [(name, counter, n) for name, of in told.items() for counter, n in of.items()]
+    return spark.createDataFrame(rows, "name string, counter string, n long")
+
+
+def _letter_model():
+    """Counts of characters, bytes, spaces and e; a text of 7, 14, ... characters fails."""
+    def encode(texts):
+        if any(len(t) % 7 == 0 for t in texts):
+            raise ValueError("a text that the model cannot take")
+        return [[len(t), len(t.encode()), t.count(" "), t.count("e")] for t in texts]
+
+    return encode
+
+
+@query("""
+SELECT doc_id, CASE WHEN length(text) % 7 <> 0 THEN CAST([length(text), strlen(text),
+           length(text) - length(replace(text, ' ', '')),
+           length(text) - length(replace(text, 'e', ''))] AS VARCHAR) END AS embedding
+FROM documents""")
+def q_embed_batches(spark, sf_dir):
+    """Vectors of whole texts from a user's model, in batches; a text that fails has none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = embeddings.embed_in_batches(docs, _letter_model, "text", batch_size=64)
+    return told.select("doc_id", F.col("embedding").cast("array<bigint>").cast("string").alias("embedding"))
+
+
 @query("SELECT doc_id, 256 AS dimensions, CAST(1 AS DOUBLE) AS norm FROM documents")
 def q_embed_texts(spark, sf_dir):
     """Hashed token vectors of whole texts: their width and length."""

@@ -70,6 +70,11 @@ def test_whole_run(spark):
     per_repo = A.analyze(files, per_repo=True)
     count = lambda t: sorted(map(tuple, t.groupBy("type").count().collect()))
     assert count(per_repo["issues"]) == count(first["issues"])
-    A.save(out, str(tmp_path / "out"), "issues", "index")
+    saved = A.save(out, str(tmp_path / "out"), "issues", "index", "patches", "call_nodes")
+    assert saved["issues"]["rows"] == len(issues) and saved["issues"]["high"] == sum(r.severity == "high" for r in issues)
+    assert saved["issues"]["investigated"] == out["history_counters"].first()["investigated"]
+    assert {k: saved["patches"][k] for k in ("verified", "rejected", "unverifiable")} == out["verification_counters"].first().asDict()
+    flows = out["taint_counters"].first()
+    assert (saved["call_nodes"]["sources"], saved["call_nodes"]["sinks"]) == (flows.sources, flows.sinks)
     assert spark.read.parquet(str(tmp_path / "out" / "issues")).count() == len(issues)
     assert read_index(spark, str(tmp_path / "out" / "index")).where(F.col("repo") == "demo").count() > 0

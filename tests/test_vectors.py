@@ -175,6 +175,24 @@ def test_encoder_failures_lose_the_vector_only(spark):
     assert got == {"a": [1.0, 1.0], "bad": None, None: None, "ccc": [3.0, 1.0]}
 
 
+def test_batch_inference_equals_the_plain_encoder(spark):
+    def make():
+        def encode(texts):
+            if len(texts) > 4:
+                raise AssertionError("batches are of four texts at most")
+            if any("bad" in x for x in texts):
+                raise RuntimeError("no")
+            return np.array([[len(x), np.nan if x == "odd" else 1.0] for x in texts])
+        return encode
+
+    texts = ["a", "bad", None, "ccc", "odd", ""] + [f"t{i}" for i in range(30)] + ["bad again"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, code string").repartition(3)
+    got = {r.id: r.embedding for r in embeddings.embed_in_batches(df, make, batch_size=4).collect()}
+    want = [None if x is None or "bad" in x or x == "odd" else [float(len(x)), 1.0] for x in texts]
+    assert [got[i] for i in range(len(texts))] == want
+    assert embeddings.embed_in_batches(df.limit(0), make).collect() == []
+
+
 def outlier_chunks(spark, n=200, partitions=4):
     x = np.random.default_rng(9).standard_normal((n, 6))
     x[:4] += 12
