@@ -176,7 +176,8 @@ def _counted(name: str, df: DataFrame) -> dict[str, Column]:
     if name == "call_nodes":
         wanted |= {"sources": F.count_if("is_source"), "sinks": F.count_if("is_sink")}
     if "archaeology" in df.columns:
-        wanted["investigated"] = F.count_if(F.col("archaeology.investigated"))
+        # Every issue of an investigated chunk has its story, asked for or not.
+        wanted["with_history"] = F.count_if(F.col("archaeology.investigated"))
     if "verification" in df.columns:
         verified, tested = F.col("verification.verified"), F.col("verification").isNotNull()
         wanted |= {"verified": F.count_if(verified), "rejected": F.count_if(~verified),
