@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +15,9 @@ from ..plans.skew import keep_last, shared, spread_lookup
 
 SEQ_BUCKET = 4_096
 LINE_BLOCK = 64
+#: Lines of a block of a file, a power of two, and changes that a task paints at once.
+OWNED_BLOCK = 65_536
+PAINT_ROWS = 200_000
 
 ARCHAEOLOGY = (
     "investigated", "reason", "author", "author_email", "commit_hash", "commit_summary",
@@ -45,7 +50,8 @@ def parse_blame(porcelain: Column) -> Column:
 
 def _tree_nodes(first: Column, stop: Column) -> Column:
     """The fewest aligned ranges that make up the lines ``first`` (included) to ``stop`` (not),
-    as (level, node): node n of level k is the lines from n * 2**k on. At most two of a level."""
+    as (level, node): node n of level k is the lines from n * 2**k on. At most two of a level.
+    :func:`owned_ranges` no longer goes by these; a test holds their number."""
     def of(level: Column) -> Column:
         low = F.negate(F.call_function("shiftright", F.negate(first), level))
         high = F.call_function("shiftright", stop, level)
@@ -60,6 +66,78 @@ def _tree_nodes(first: Column, stop: Column) -> Column:
     return F.filter(F.flatten(F.transform(levels, of)), lambda n: n.isNotNull())
 
 
+def _painted(group: np.ndarray, first: np.ndarray, stop: np.ndarray, rank: np.ndarray):
+    """(row, first, stop) of the longest ranges with one owner: for each piece of line the row with the
+    greatest rank that covers it. Rows of a group are neighbours; ``stop`` is not included.
+
+    A range of the ends that occur is two overlapping ranges of the greatest power of two that fits;
+    the greatest row of each is handed down power by power."""
+    groups, ends = np.concatenate([group, group]), np.concatenate([first, stop])
+    order = np.lexsort((ends, groups))
+    groups, ends = groups[order], ends[order]
+    new = np.ones(len(ends), bool)
+    new[1:] = (groups[1:] != groups[:-1]) | (ends[1:] != ends[:-1])
+    place = np.empty(len(ends), np.int64)
+    place[order] = np.cumsum(new) - 1
+    ends = ends[new]
+    left, right = place[:len(first)], place[len(first):]
+    by_rank = np.argsort(rank, kind="stable")
+    value = np.empty(len(rank), np.int64)
+    value[by_rank] = np.arange(len(rank))
+    power = np.frexp((right - left).astype(np.float64))[1] - 1
+    top = np.full(len(ends), -1, np.int64)
+    for level in range(int(power.max()), -1, -1):
+        at = power == level
+        np.maximum.at(top, left[at], value[at])
+        np.maximum.at(top, right[at] - (1 << level), value[at])
+        if level:
+            half = 1 << (level - 1)
+            down = top.copy()
+            np.maximum(down[half:], top[:-half], out=down[half:])
+            top = down
+    row = np.where(top >= 0, by_rank[top], -1)
+    owner = np.where(row >= 0, rank[row], 0)
+    # Nothing covers what is behind the last end of a group, so no range goes on into the next.
+    starts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
+    stops = np.append(starts[1:], len(ends) - 1)
+    held = owner[starts] > 0
+    return row[starts[held]], ends[starts[held]], ends[stops[held]]
+
+
+def _paint(batches):
+    """Rows by group and owner → their ranges. What is held of a group is painted over and over, so a
+    task holds at most about ``PAINT_ROWS`` changes and twice the ranges they leave."""
+    def painted(rows: pa.Table) -> pa.Table:
+        fresh = rows["fresh"].to_numpy()
+        taken, first, stop = _painted(np.cumsum(fresh), *(rows[c].to_numpy() for c in ("first", "stop", "rank")))
+        group = np.cumsum(fresh)[taken]
+        out = rows.take(pa.array(taken))
+        starts = np.ones(len(taken), bool)
+        starts[1:] = group[1:] != group[:-1]
+        for name, values in (("first", first), ("stop", stop), ("fresh", starts)):
+            out = out.set_column(out.schema.get_field_index(name), out.schema.field(name), pa.array(values))
+        return out
+
+    held, n, limit = [], 0, PAINT_ROWS
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < limit:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        last = int(np.flatnonzero(rows["fresh"].to_numpy())[-1])
+        if last:
+            yield from painted(rows.slice(0, last)).to_batches()
+        rest = rows.slice(last)
+        rest = painted(rest) if rest.num_rows >= PAINT_ROWS // 2 else rest
+        held, n = rest.to_batches(), rest.num_rows
+        limit = max(PAINT_ROWS, 2 * n)
+    if held:
+        yield from painted(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+
 def owned_ranges(line_history: DataFrame) -> DataFrame:
     """(repo if given, file, line_from, line_to) → the last commit that touched these lines.
 
@@ -69,36 +147,51 @@ def owned_ranges(line_history: DataFrame) -> DataFrame:
     are in none. A change without a first or a last line covers nothing, one whose ends are the
     wrong way round covers what lies between. Null is a file and a repo like others.
 
-    Rows follow changes, never lines. A change is a few aligned ranges of a binary tree over the
-    lines, of which one row each is kept (map-side combine). Ownership can only change where a
-    change starts or ends; such a line looks up the tree nodes above it by an equality join, and
-    neighbouring ones of one owner are joined by prefix scans over bounded ranges."""
+    Rows follow changes, never lines. Files are cut into blocks of ``OWNED_BLOCK`` lines, or as many as
+    a change has on average, so all changes together are at most three times as many pieces. The pieces of
+    a block are shuffled and sorted by owner once and painted in Arrow (:func:`_painted`); ranges at the edge
+    of a block, at most two a block, are joined with their neighbours."""
     keys = shared(["repo", "file"], line_history)
     facts = [c for c in line_history.columns if c not in (*keys, "line_from", "line_to", "committed_at", "commit_id")]
+    owner = ["committed_at", "commit_id", *facts]
     ends = [F.col(c).cast("long") for c in ("line_from", "line_to")]
     known = line_history.where(F.col("line_from").isNotNull() & F.col("line_to").isNotNull())
+    k, o = [f"k{n}" for n in range(len(keys))], [f"o{n}" for n in range(len(owner))]
     changes = known.select(
-        F.struct(*keys).alias("file"), F.least(*ends).alias("first"), (F.greatest(*ends) + 1).alias("stop"),
-        F.struct("committed_at", "commit_id", *facts).alias("owner"))
-    nodes = changes.select("file", F.explode(_tree_nodes(F.col("first"), F.col("stop"))).alias("n"), "owner").groupBy(
-        "file", "n.level", "n.node").agg(F.max("owner").alias("owner"))
-    longest = changes.agg(F.max(F.col("stop") - F.col("first"))).first()[0] or 1
-    points = changes.select("file", F.explode(F.array("first", "stop")).alias("at")).distinct()
-    # A node may be above many points of a file; such a key is split by adaptive execution.
-    above = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(int(longest).bit_length())))).withColumn(
-        "node", F.call_function("shiftright", "at", "level"))
-    state = above.join(nodes, ["file", "level", "node"]).select("file", "at", "owner").unionByName(
-        points.withColumn("owner", F.lit(None).cast(changes.schema["owner"].dataType))
-    ).groupBy("file", "at").agg(F.max("owner").alias("owner"))
-    scanned = _earlier_max(
-        state.select("file", F.col("at").alias("seq"), F.struct("at", "owner").alias("top")), SEQ_BUCKET, 2)
-    heads = scanned.where(~F.col("top.owner").eqNullSafe(F.col("before.owner"))).select(
-        "file", F.negate("seq").alias("seq"), "top.owner")
-    ahead = _earlier_max(heads.select("file", "seq", F.struct("seq", "owner").alias("top")), SEQ_BUCKET, 2)
+        *(F.col(c).alias(n) for c, n in zip(keys, k)), F.least(*ends).alias("first"), (F.greatest(*ends) + 1).alias("stop"),
+        *(F.col(c).alias(n) for c, n in zip(owner, o)))
+    length, low, high = changes.agg(
+        F.avg(F.col("stop").cast("double") - F.col("first")), F.min("first"), F.max("stop")).first()
+    bits = max(OWNED_BLOCK.bit_length() - 1, int(length or 0).bit_length())
+
+    def block(line: Column) -> Column:
+        return F.call_function("shiftright", line, F.lit(bits))
+
+    one_block = low is None or low >> bits == (high - 1) >> bits
+    if one_block:
+        pieces = changes.withColumn("block", F.lit(0).cast("long"))
+    else:
+        begin, end = (F.call_function("shiftleft", x, F.lit(bits)) for x in (F.col("block"), F.col("block") + 1))
+        pieces = changes.withColumn("block", F.explode(F.sequence(block(F.col("first")), block(F.col("stop") - 1)))).withColumns(
+            {"first": F.greatest("first", begin), "stop": F.least("stop", end)})
+    order = Window.partitionBy(*k, "block").orderBy(*o)
+    ranked = pieces.select(
+        *k, "block", "first", "stop", *o, F.dense_rank().over(order).alias("rank"), (F.row_number().over(order) == 1).alias("fresh"))
+    ranges = ranked.mapInArrow(_paint, ranked.schema).select(*k, "block", "first", "stop", *o)
+    if not one_block:
+        ranges = cut(ranges)
+        at_edge = (F.col("first") == F.call_function("shiftleft", "block", F.lit(bits))) | (
+            F.col("stop") == F.call_function("shiftleft", F.col("block") + 1, F.lit(bits)))
+        by_place = Window.partitionBy(*k).orderBy("first")
+        same = F.struct("first", *o).eqNullSafe(F.lag(F.struct("stop", *o)).over(by_place))
+        islands = ranges.where(at_edge).withColumn("new", (~same).cast("int")).withColumn(
+            "island", F.sum("new").over(by_place))
+        joined = islands.groupBy(*k, "island", *o).agg(F.min("first").alias("first"), F.max("stop").alias("stop"))
+        ranges = ranges.where(~at_edge).select(*k, "first", "stop", *o).unionByName(joined.select(*k, "first", "stop", *o))
     types = dict(line_history.dtypes)
-    return ahead.where(F.col("top.owner").isNotNull()).select(
-        "file.*", F.negate("seq").cast(types["line_from"]).alias("line_from"),
-        (F.negate("before.seq") - 1).cast(types["line_to"]).alias("line_to"), "top.owner.*")
+    return ranges.select(
+        *(F.col(n).alias(c) for c, n in zip(keys, k)), F.col("first").cast(types["line_from"]).alias("line_from"),
+        (F.col("stop") - 1).cast(types["line_to"]).alias("line_to"), *(F.col(n).alias(c) for c, n in zip(owner, o)))
 
 
 def line_owners(line_history: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codequarry.operators import history as H, verification as V
@@ -91,6 +92,47 @@ def test_long_changes_are_few_rows(spark):
     assert max(r.n for r in nodes.collect()) <= 62
 
 
+def test_owned_ranges_across_small_blocks(spark, monkeypatch):
+    """Changes over many blocks, ranges that go on behind an edge, and a plan in which nothing is joined."""
+    monkeypatch.setattr(H, "OWNED_BLOCK", 16)
+    rng = random.Random(11)
+    rows = [("r", rng.choice("ab"), first, first + rng.choice([0, 3, 15, 16, 40, 90]), f"c{n % 9}", rng.randrange(5), "x")
+            for n in range(120) for first in [rng.randrange(-40, 900)]]
+    df = spark.createDataFrame(rows, _CHANGE)
+    want = {(r.repo, r.file, r.line_no): (r.committed_at, r.commit_id) for r in H.line_owners(df).collect()}
+    ranges = H.owned_ranges(df)
+    assert "Join" not in ranges._jdf.queryExecution().optimizedPlan().toString()
+    got, ends = {}, set()
+    for r in ranges.collect():
+        owner = (r.committed_at, r.commit_id)
+        ends.add((r.file, r.line_to + 1, owner))
+        got.update({("r", r.file, line): owner for line in range(r.line_from, r.line_to + 1)})
+    assert got == want
+    assert not any((r.file, r.line_from, (r.committed_at, r.commit_id)) in ends for r in ranges.collect())
+
+
+def test_ranges_are_painted_in_lots(monkeypatch):
+    """A group larger than a lot is reduced on the way; lots end inside groups and at their ends."""
+    monkeypatch.setattr(H, "PAINT_ROWS", 6)
+    rng = random.Random(3)
+    rows = []
+    for group, size in ((0, 1), (1, 40), (2, 6), (3, 200)):
+        rows += [(group, first, first + rng.randrange(1, 30), 1 + n // 2, n == 0) for n in range(size) for first in [rng.randrange(60)]]
+    names = ["block", "first", "stop", "rank", "fresh"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows[at:at + 4]), types)], names)
+               for at in range(0, len(rows), 4)]
+    want = {}
+    for group, first, stop, rank, _ in rows:
+        want.update({(group, line): rank for line in range(first, stop)})
+    got = {}
+    for row in (r for b in H._paint(iter(batches)) for r in b.to_pylist()):
+        for line in range(row["first"], row["stop"]):
+            assert (row["block"], line) not in got
+            got[(row["block"], line)] = row["rank"]
+    assert got == want
+
+
 def test_story_of_an_issue(spark):
     lines = spark.createDataFrame(
         [("a.py", 1, 9, "0123456789", 5, 7, "Ann", "a@b", 86_400 * 3, "s" * 70)],
