@@ -133,6 +133,16 @@ def test_ranges_are_painted_in_lots(monkeypatch):
     assert got == want
 
 
+def test_short_changes_are_shuffled_once(spark):
+    """All changes in one block of lines: one shuffle by file, no join, nothing stored."""
+    df = spark.createDataFrame([("r", "a", 1, 3, "c1", 1, "x"), ("r", "a", 2, 2, "c2", 2, "y"), ("r", "b", 9, 7, "c1", 1, "x")], _CHANGE)
+    ranges = H.owned_ranges(df)
+    plan = ranges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = sorted((r.file, r.line_from, r.line_to, r.commit_id) for r in ranges.collect())
+    assert got == [("a", 1, 1, "c1"), ("a", 2, 2, "c2"), ("a", 3, 3, "c1"), ("b", 7, 9, "c1")]
+
+
 def test_story_of_an_issue(spark):
     lines = spark.createDataFrame(
         [("a.py", 1, 9, "0123456789", 5, 7, "Ann", "a@b", 86_400 * 3, "s" * 70)],
