@@ -6,12 +6,14 @@ the path that a depth-first walk in call order would report first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as fixed
 from ..functions import text as T
-from ..plans.checkpoints import cut, cut_counted, stored
-from ..plans.skew import join_null_safe, spread_lookup, step_join
+from ..plans.checkpoints import cut, cut_counted, forget, stored
+from ..plans.skew import SMALL_ROWS, join_null_safe, spread_lookup, step_join
 from .parse import call_sites, functions
 
 KEY = ["repo", "name"]
@@ -50,6 +52,8 @@ def call_edges(parsed: DataFrame) -> DataFrame:
     )
 
 
+#: Rounds of the general search that are kept as they are before they are merged.
+MOST_ROUNDS = 16
 #: Hops of the first stored steps of the backward search, and of any.
 FIRST_HOPS, MOST_HOPS = 4, 16
 
@@ -158,40 +162,48 @@ def _search(live: DataFrame, sources: DataFrame) -> DataFrame:
     """
     key = ["repo", "source", "at"]
     no_calls = live.schema["ordinal"].dataType.simpleString()
-    best, n = cut_counted(
+    frontier, n = cut_counted(
         sources.select(
             "repo", F.col("name").alias("source"), F.col("name").alias("at"),
             F.array().cast(f"array<{no_calls}>").alias("calls"),
             F.array("name").alias("path"), F.lit(False).alias("is_sink"),
         )
     )
-    frontier = best
+    # What rounds found is kept as they left it, with the best row of a key in the latest that has it.
+    rounds = [frontier]
     while n:
         steps = step_join(
             frontier.where("not is_sink").withColumnRenamed("at", "caller")
             .drop("is_sink"),
             n, live, ["repo", "caller"], spread_by=["source"], frontier_is_hot=True,
         ).where(~F.array_contains("path", F.col("callee")))
-        found = steps.select(
+        so_far = reduce(DataFrame.unionByName, rounds)
+        goal = so_far.where(F.col("is_sink") & (F.size("path") > 1)).groupBy("repo", "source").agg(F.min("calls").alias("goal"))
+        found, n_found = cut_counted(steps.select(
             "repo", "source", F.col("callee").alias("at"),
             F.struct(
                 F.concat("calls", F.array("ordinal")).alias("calls"),
                 F.concat("path", F.array("callee")).alias("path"), "is_sink",
             ).alias("new"),
         ).groupBy(*key).agg(F.min_by("new", F.col("new.calls")).alias("new"))
-        old = best.select(*key, F.col("calls").alias("old_calls"))
-        goal = best.where(F.col("is_sink") & (F.size("path") > 1)).groupBy("repo", "source").agg(F.min("calls").alias("goal"))
+            .join(goal, ["repo", "source"], "left")
+            .where(F.col("goal").isNull() | (F.col("new.calls") < F.col("goal"))).select(*key, "new.*"))
+        old = so_far.select(*key, "calls")
+        if n_found <= SMALL_ROWS:
+            # Only rows of keys that were found again are shuffled.
+            old = old.join(F.broadcast(found.select(*key)), key, "left_semi")
+        old = old.groupBy(*key).agg(F.min("calls").alias("old_calls"))
         frontier, n = cut_counted(
-            found.join(old, key, "left").join(goal, ["repo", "source"], "left")
-            .where(F.col("old_calls").isNull() | (F.col("new.calls") < F.col("old_calls")))
-            .where(F.col("goal").isNull() | (F.col("new.calls") < F.col("goal")))
-            .select(*key, "new.*")
-        )
-        merged = best.unionByName(frontier).groupBy(*key).agg(
-            F.min_by(F.struct("calls", "path", "is_sink"), F.col("calls")).alias("b")
+            found.join(old, key, "left")
+            .where(F.col("old_calls").isNull() | (F.col("calls") < F.col("old_calls"))).drop("old_calls")
         )
-        best = cut(merged.select(*key, "b.*"))
-    ends = best.where(F.col("is_sink") & (F.size("path") > 1))
+        forget(found)
+        rounds.append(frontier)
+        if len(rounds) == MOST_ROUNDS:
+            merged = reduce(DataFrame.unionByName, rounds).groupBy(*key).agg(
+                F.min_by(F.struct("calls", "path", "is_sink"), F.col("calls")).alias("b")).select(*key, "b.*")
+            rounds = [cut(merged)]
+    ends = reduce(DataFrame.unionByName, rounds).where(F.col("is_sink") & (F.size("path") > 1))
     return ends.groupBy("repo", "source").agg(
         F.min_by("path", F.col("calls")).alias("path")
     )

@@ -68,6 +68,22 @@ def test_paths_with_large_frontiers(spark, monkeypatch):
     assert paths_of(G.sink_paths(*tables(spark, edges, nodes))) == want
 
 
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_rounds_of_the_search_are_not_written_again(spark, monkeypatch, small):
+    """Along a loop of 12 calls a round finds one name; what is known is stored once in four rounds."""
+    monkeypatch.setattr(G, "SMALL_ROWS", small, raising=False)
+    monkeypatch.setattr(G, "MOST_ROUNDS", 4, raising=False)
+    merged = []
+    cut = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: merged.append(1) or cut(df))
+    edges = [("r", f"n{i}", f"n{i - 1 if back else i + 1}", 1 - back) for i in range(12) for back in (0, 1) if i or not back]
+    live = spark.createDataFrame(edges, "repo string, caller string, callee string, ordinal int").withColumn(
+        "is_sink", F.col("callee") == "n12")
+    got = G._search(live, spark.createDataFrame([("r", "n0")], "repo string, name string")).collect()
+    assert [(r.source, list(r.path)) for r in got] == [("n0", [f"n{i}" for i in range(13)])]
+    assert len(merged) <= 5
+
+
 def test_search_alone_equals_depth_first_search(spark):
     edges, nodes, want = random_graphs(13, 150)
     e, n = tables(spark, edges, nodes)
