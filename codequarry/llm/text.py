@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.memory import give_back
+
 PIECE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 
@@ -58,17 +60,6 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def give_back() -> None:
-    """Return what is free to the system. A worker is used by one stage after the other, and what
-    its allocators keep for later would add up beside the memory of the executor."""
-    pa.default_memory_pool().release_unused()
-    import ctypes
-
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library where it has one
-    if trim is not None:
-        trim(0)
-
-
 def pieces(data: np.ndarray, offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each; a longer text is a range of its own."""
     first = 0

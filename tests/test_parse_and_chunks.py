@@ -182,3 +182,29 @@ def test_exclusion_by_part_and_prefix(spark):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     got = df.select("p", S.is_excluded(F.col("p")).alias("x")).collect()
     assert {r.p: r.x for r in got} == paths
+
+
+def test_facts_are_built_in_lots(monkeypatch):
+    """No more than a lot of texts is held as Python objects, whatever the batch; long texts are lots of their own."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(parse, "LOT_ROWS", 3)
+    monkeypatch.setattr(parse, "LOT_BYTES", 50)
+    held = []
+
+    class Lots(type(pa)):
+        def __getattr__(self, name):
+            return getattr(pa, name)
+
+        def array(self, values, *kind):
+            held.append(len(values))
+            return pa.array(values, *kind)
+
+    monkeypatch.setattr(parse, "pa", Lots("pa"))
+    texts = [None, "x", "", "y" * 60, "z" * 49, "zz", "a", None, None, "b", "é" * 40]
+    got = parse._in_lots(pa.array(texts), lambda x: [x], pa.list_(pa.string()))
+    assert got.to_pylist() == [None if x is None else [x] for x in texts]
+    assert max(held) <= 3 and sum(held) == len(texts)
+    sliced = pa.array(["q"] * 5 + texts).slice(5)
+    assert parse._in_lots(sliced, lambda x: [x], pa.list_(pa.string())).to_pylist() == got.to_pylist()
+    assert parse._in_lots(pa.array([], pa.string()), len, pa.int64()).to_pylist() == []
