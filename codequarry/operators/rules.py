@@ -28,7 +28,8 @@ class Rule:
 
     ``predicate``, ``severity`` and ``message`` get the line or fact as a struct with
     ``line_text`` (and ``kind``, ``name``, ``flag`` for facts).  ``hint`` may tell from a
-    whole text that no line of it can match.
+    whole text that no line of it can match; ``words`` is a pattern without which a text has no
+    fact that can.
     """
 
     issue_type: str
@@ -37,16 +38,17 @@ class Rule:
     severity: Callable[[Column], Column]
     message: Callable[[Column], Column]
     hint: Callable[[Column], Column] | None = None
+    words: str | None = None
 
 
 def _always(value: str) -> Callable[[Column], Column]:
     return lambda _: F.lit(value)
 
 
-def _simple(issue_type: str, over: str, severity: str, predicate) -> Rule:
+def _simple(issue_type: str, over: str, severity: str, predicate, words: str | None = None) -> Rule:
     return Rule(
         issue_type, over, predicate, _always(severity),
-        _always(fixed.RULE_MESSAGES[issue_type]),
+        _always(fixed.RULE_MESSAGES[issue_type]), words=words,
     )
 
 
@@ -85,22 +87,22 @@ RULES: tuple[Rule, ...] = (
     _pattern("division_by_zero", "high", DIVISION_BY_ZERO, "/"),
     Rule("eval_usage", "fact", _call_to("eval"),
          _either(_eval_is_compiled, "medium", "high"),
-         _either(_eval_is_compiled, _TEXT["eval_usage_compiled"], _TEXT["eval_usage"])),
+         _either(_eval_is_compiled, _TEXT["eval_usage_compiled"], _TEXT["eval_usage"]), words="eval"),
     Rule("exec_usage", "fact", _call_to("exec"),
          _either(_exec_from_file, "medium", "high"),
-         _either(_exec_from_file, _TEXT["exec_usage_from_file"], _TEXT["exec_usage"])),
+         _either(_exec_from_file, _TEXT["exec_usage_from_file"], _TEXT["exec_usage"]), words="exec"),
     _simple("potential_infinite_loop", "fact", "medium",
-            lambda x: (x["kind"] == "while_true") & ~x["flag"]),
+            lambda x: (x["kind"] == "while_true") & ~x["flag"], "while"),
     _simple("assert_in_production", "fact", "low",
             lambda x: (x["kind"] == "assert")
-            & ~F.col("function_name").startswith("test")),
+            & ~F.col("function_name").startswith("test"), "assert"),
     _simple("bare_except_swallow", "fact", "high",
-            lambda x: x["kind"] == "except_pass"),
+            lambda x: x["kind"] == "except_pass", "except"),
     Rule("mutable_default_argument", "fact",
          lambda x: x["kind"] == "mutable_default", _always("medium"),
-         lambda x: F.format_string(_TEXT["mutable_default_argument"], x["name"])),
+         lambda x: F.format_string(_TEXT["mutable_default_argument"], x["name"]), words=r"[\[{]"),
     _pattern("hardcoded_secret", "high", SECRET, "="),
-    _simple("print_in_production", "fact", "low", _call_to("print")),
+    _simple("print_in_production", "fact", "low", _call_to("print"), "print"),
 )
 
 RULE_ISSUE_COLUMNS = (
@@ -156,8 +158,9 @@ def scan(chunks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     are joined in rule order and exploded once.  ``line_number`` counts from the start
     of the chunk, ``file_line`` from the start of the file.
     """
-    uses_facts = any(r.over == "fact" for r in rules)
-    prepared = (with_facts(chunks) if uses_facts else chunks).withColumn(
+    words = [r.words for r in rules if r.over == "fact"]
+    asked = () if None in words else tuple(words)
+    prepared = (with_facts(chunks, asked) if words else chunks).withColumn(
         "code_lines", _lines_in_question(F.col("code"), rules)
     )
     findings = [

@@ -130,3 +130,18 @@ def test_skipping_the_parser_loses_no_fact(spark):
             except SyntaxError:
                 continue
             assert "eval" not in names
+
+
+def test_only_texts_with_a_word_of_the_rule_are_parsed(spark):
+    """One rule parses the chunks that hold its word and finds what it finds among all rules."""
+    codes = ["def f(a=[]):\n    print(a)\n    return a", "def g(p):\n    eval(p)\n    print(p)", "def h(p):\n    while True:\n        step(p)",
+             "def i(p):\n    try:\n        exec(p)\n    except E:\n        pass", "def j(p):\n    assert p\n    return {1}", "def k(p):\n    ｅval(p)\n    return p"]
+    chunks = spark.createDataFrame(
+        [("r", f"c{n}", "f.py", "f", 1, c) for n, c in enumerate(codes)],
+        "repo string, chunk_id string, file_path string, function_name string, start_line int, code string")
+    facts = {r.chunk_id: len(r.facts) for r in parse.with_facts(chunks, ("eval",)).collect()}
+    assert facts == {"c0": 0, "c1": 2, "c2": 0, "c3": 0, "c4": 0, "c5": 1}
+    place = ("type", "chunk_id", "line_number", "message")
+    every = sorted(tuple(r) for r in rules.scan(chunks).select(*place).collect())
+    alone = sorted(tuple(r) for rule in rules.RULES for r in rules.scan(chunks, (rule,)).select(*place).collect())
+    assert every == alone and len(every) >= 8
