@@ -24,6 +24,8 @@ from ..plans.skew import keep_last_wide, shared, spread_lookup
 SMALL_LIBRARY_ROWS = 16_384
 SMALL_QUERY_ROWS = 2_048
 PACK_ROWS = 2_048
+# Queries of one matrix product, which has as many rows of scores and a column per index row.
+PRODUCT_ROWS = 256
 # Digits that scores are compared with, in every form of the search.
 SCORE_DIGITS = 6
 # Rows of a key that stay together: larger groups are cut into blocks of about as many, by a
@@ -84,6 +86,26 @@ def _running(kept, scores: np.ndarray, ids: np.ndarray, k: int):
     return new, new_ids
 
 
+def _better(kept: list, units: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int) -> None:
+    """:func:`_running` over the rows of ``matrix``, in ``kept`` by lots of ``PRODUCT_ROWS`` queries, so that a product
+    is bounded. A query goes on only if some row comes up to its k-th best, within what rounding can change."""
+    for lot, begin in enumerate(range(0, len(units), PRODUCT_ROWS)):
+        scores = units[begin:begin + PRODUCT_ROWS] @ matrix.T
+        if lot == len(kept):
+            kept.append(_running(None, np.round(scores, SCORE_DIGITS), ids, k))
+            continue
+        best, best_ids = kept[lot]
+        if best.shape[1] < k:
+            kept[lot] = _running(kept[lot], np.round(scores, SCORE_DIGITS), ids, k)
+            continue
+        least = best.min(axis=1) - 10.0 ** -SCORE_DIGITS
+        # Not below is also what is no number.
+        asked = np.flatnonzero(~(scores < least[:, None]).all(axis=1))
+        if len(asked):
+            best[asked], best_ids[asked] = _running(
+                (best[asked], best_ids[asked]), np.round(scores[asked], SCORE_DIGITS), ids, k)
+
+
 # --- best pattern per chunk ------------------------------------------------------
 
 
@@ -373,6 +395,10 @@ def _hits_batch(query_ids, kept, schema):
     )
 
 
+def _together(kept: list):
+    return tuple(np.concatenate(columns) for columns in zip(*kept))
+
+
 def _pair_products(k: int, schema):
     """Running top-k over the pairs of a task. Only the best of the query pack at hand are held;
     if its pairs do not come in a row, more rows leave the task and the top-k is the same."""
@@ -386,13 +412,13 @@ def _pair_products(k: int, schema):
                 ids = ids.values.to_numpy(zero_copy_only=False)
                 if units is None or not (matrix.as_buffer().equals(units) and asked.values.equals(query_ids)):
                     if units is not None:
-                        yield _hits_batch(query_ids.to_numpy(zero_copy_only=False), kept, schema)
-                    units, query_ids, kept = matrix.as_buffer(), asked.values, None
+                        yield _hits_batch(query_ids.to_numpy(zero_copy_only=False), _together(kept), schema)
+                    units, query_ids, kept = matrix.as_buffer(), asked.values, []
                 a = np.frombuffer(units).reshape(len(query_ids), -1)
                 b = np.frombuffer(rows.as_buffer()).reshape(len(ids), -1)
-                kept = _running(kept, np.round(a @ b.T, SCORE_DIGITS), ids, k)
+                _better(kept, a, b, ids, k)
         if units is not None:
-            yield _hits_batch(query_ids.to_numpy(zero_copy_only=False), kept, schema)
+            yield _hits_batch(query_ids.to_numpy(zero_copy_only=False), _together(kept), schema)
 
     return run
 

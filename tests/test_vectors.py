@@ -102,6 +102,33 @@ def test_best_columns_are_those_of_a_full_sort():
         assert N._best(scores, ids, k).tolist() == want
 
 
+def test_products_are_bounded_and_keep_the_best(monkeypatch):
+    """Pack by pack, a lot of queries at a time: ties by smaller id, rows that are no number, few index rows at first."""
+    monkeypatch.setattr(N, "PRODUCT_ROWS", 7, raising=False)
+    widest = []
+    running = N._running
+    monkeypatch.setattr(N, "_running", lambda kept, scores, ids, k: widest.append(len(scores)) or running(kept, scores, ids, k))
+    rng = np.random.default_rng(4)
+    units = N._unit_rows(rng.integers(-2, 3, (30, 3)))
+    units[5] = np.nan
+    ids = rng.permutation(200).astype(np.int64)
+    rows = N._unit_rows(rng.integers(-2, 3, (200, 3)))
+    rows[17] = np.nan
+    kept = []
+    for begin, end in ((0, 2), (2, 3), (3, 90), (90, 200)):
+        N._better(kept, units, rows[begin:end], ids[begin:end], 4)
+    scores = np.round(units @ rows.T, N.SCORE_DIGITS)
+    best = N._best(scores, ids, 4)
+    got, got_ids = N._together(kept)
+    real = [n for n in range(30) if n != 5]
+    assert (got_ids[real] == ids[best][real]).all() and np.isnan(got[5]).all()
+    assert (got[real] == np.take_along_axis(scores, best, 1)[real]).all()
+    assert max(widest) <= 7
+    widest.clear()
+    N._better(kept, units, np.zeros((9, 3)), np.arange(1000, 1009), 4)
+    assert sum(widest) < 15  # others have four better ones
+
+
 def test_hashed_search_finds_most_and_scores_exactly(spark):
     rng = np.random.default_rng(4)
     centre = rng.standard_normal((20, 16)).repeat(15, axis=0)
