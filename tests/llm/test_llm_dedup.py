@@ -4,9 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from codequarry.llm import decontaminate, fingerprint, near, suffix
+from codequarry.llm import components as components_module, decontaminate, fingerprint, near, suffix
 from codequarry.llm.components import components
 from codequarry.llm.queries import op2_decontamination, op3_suffix_dedup, op8_fingerprint
 
@@ -123,6 +124,49 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {i: 20 for i in range(20, 61)}
 
 
+def _plain_components(edges):
+    """Every node with the smallest of its component."""
+    named = {n: n for e in edges for n in e if e[0] != e[1]}
+    while True:
+        before = dict(named)
+        for a, b in edges:
+            if a != b:
+                named[a] = named[b] = min(named[a], named[b])
+        if named == before:
+            return named
+
+
+@pytest.mark.parametrize("lot", [1 << 19, 10])
+def test_components_store_few_steps(spark, monkeypatch, lot):
+    """Edges of one lot are two stored steps, however wide a component is; more go through stars."""
+    steps, kept = [], components_module.cut
+
+    def cut(df):
+        steps.append(1)
+        return kept(df)
+
+    monkeypatch.setattr(components_module, "cut", cut)
+    monkeypatch.setattr(components_module, "cut_counted", lambda df: (kept_step := cut(df), kept_step.count()))
+    monkeypatch.setattr(components_module, "LOT_EDGES", lot)
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i + 1, i) for i in range(1000, 1300)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert got == _plain_components(edges)
+    assert lot == 10 or len(steps) == 2
+
+
+def test_edges_are_contracted_lot_by_lot(monkeypatch):
+    monkeypatch.setattr(components_module, "LOT_EDGES", 16)
+    rng = random.Random(6)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(100)]
+    edges = [(max(e), min(e)) for e in edges if e[0] != e[1]]
+    batches = [pa.RecordBatch.from_pydict({"a": [a for a, _ in part], "b": [b for _, b in part]}) for part in (edges[:5], edges[5:75], edges[75:])]
+    lots = [list(zip(*lot.to_pydict().values())) for lot in components_module._contract(iter(batches))]
+    assert len(lots) == -(-len(edges) // 16)
+    assert _plain_components([e for lot in lots for e in lot]) == _plain_components(edges)
+    assert list(components_module._contract(iter([]))) == []
+
+
 def digest(rows):
     return {r["doc_id"]: (bytes(r["sa_kept"]), r["sa_removed"], r["sa_spans"]) for r in rows}
 
