@@ -159,6 +159,18 @@ def test_listing_runs_in_tasks(spark, tmp_path, monkeypatch):
     assert raw["a1/gone.py"].body is None and raw["a1/gone.py"].read_error.startswith("unreadable")
 
 
+def test_a_listing_asks_for_names_alone(spark, tmp_path, monkeypatch):
+    """Sizes of a folder's files are asked for by other tasks than the one that lists it."""
+    for i in range(30):
+        (tmp_path / f"m{i}.py").write_text("x" * i)
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nowhere.py")
+    os.mkfifo(tmp_path / "pipe.py")
+    assert {size for _, _, _, size in S._entries(None, str(tmp_path))} == {None}
+    monkeypatch.setattr(S, "LIST_ENTRIES", 4)
+    got = {os.path.basename(r.file_path): (r.length, r.read_error) for r in S.list_tree(spark, str(tmp_path)).collect()}
+    assert got == {f"m{i}.py": (i, None) for i in range(30)} | {"gone.py": (0, None), "pipe.py": (0, None)}
+
+
 def test_tree_written_and_read(spark, tmp_path):
     rows = [("a/__init__.py", "x = 1\n"), ("a/b/ü.py", "é\r\n"), ("none.py", None), (None, "lost"), ("a/note.txt", "n")]
     save_tree(spark.createDataFrame(rows, "rel_path string, content string"), str(tmp_path / "t"))
