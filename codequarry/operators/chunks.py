@@ -28,8 +28,7 @@ def _cut_points(rows: Column, max_lines: int) -> Column:
     )
 
 
-def _parts(rows: Column, max_lines: int) -> Column:
-    cuts = _cut_points(rows, max_lines)
+def _parts(rows: Column, cuts: Column) -> Column:
     starts = F.concat(F.array(F.lit(1)), F.transform(cuts, lambda c: c + 1))
     ends = F.concat(cuts, F.array(F.size(rows)))
     spans = F.arrays_zip(starts.alias("a"), ends.alias("b"))
@@ -48,8 +47,10 @@ def chunk_functions(
     """Drop short functions, split long ones at blank lines, give stable ids.
 
     A later part starts where the *stripped* parts before it end, and ``end_line`` is
-    one past the last line.
+    one past the last line. ``facts`` of a function, if given, stay with a chunk that is the whole of it;
+    they are NULL for parts.
     """
+    facts = [c for c in ("facts",) if c in functions.columns]
     keep = [c for c in ("repo", "rel_path", "func_seq", "is_nested")
             if c in functions.columns]
     # Short functions get no parts and fall out after the explode: as a filter before it,
@@ -58,15 +59,17 @@ def chunk_functions(
         "rows", T.lines(F.col("code"))
     )
     n_lines = F.size("rows")
-    parts = F.when(
-        (n_lines >= config.min_chunk_lines) & (n_lines <= config.max_chunk_lines),
-        F.array("code"),
-    ).when(n_lines > config.max_chunk_lines, _parts(F.col("rows"), config.max_chunk_lines))
-    texts = rows.withColumn("parts", parts)
+    is_long = n_lines > config.max_chunk_lines
+    # Used twice, so the cuts are a column; a function in one part has its lines counted already.
+    rows = rows.withColumn("cuts", F.when(is_long, _cut_points(F.col("rows"), config.max_chunk_lines)))
+    parts = F.when(is_long, _parts(F.col("rows"), F.col("cuts"))).when(
+        n_lines >= config.min_chunk_lines, F.array("code"))
+    texts = rows.withColumn("parts", parts).withColumn(
+        "sizes", F.when(is_long, F.transform("parts", lambda p: F.size(T.lines(p)))).otherwise(F.array(n_lines)))
+    texts = texts.withColumns({c: F.when(~is_long, F.col(c)) for c in facts})
     exploded = texts.select(
         *keep, "function_name", "file_path", F.col("start_line").alias("func_start"),
-        F.transform("parts", lambda p: F.size(T.lines(p))).alias("sizes"),
-        F.posexplode_outer("parts").alias("part", "p"),
+        "sizes", *facts, F.posexplode_outer("parts").alias("part", "p"),
     ).where(F.col("part").isNotNull())
     before = F.aggregate(
         F.slice("sizes", F.lit(1), F.col("part")), F.lit(0), lambda acc, n: acc + n
@@ -78,7 +81,7 @@ def chunk_functions(
         .alias("chunk_id"),
         "function_name", "file_path", "start_line",
         (F.col("start_line") + F.col("sizes")[F.col("part")]).cast("int").alias("end_line"),
-        F.col("p").alias("code"),
+        F.col("p").alias("code"), *facts,
     )
 
 

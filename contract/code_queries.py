@@ -38,6 +38,11 @@ def chunks(spark, sf_dir):
     return C.chunk_functions(functions(spark, sf_dir))
 
 
+def fact_chunks(spark, sf_dir):
+    """The same with the syntax facts that the parse of their file found."""
+    return C.chunk_functions(parse.functions(parse.parse_files(scanned(spark, sf_dir), facts=True)))
+
+
 # --- line rules over documents -----------------------------------------------------------
 
 _DOC_LINES = """
@@ -266,7 +271,7 @@ SELECT type, severity, confidence, function_name AS function, file_path AS file,
 
 
 def _hits(spark, sf_dir):
-    return rules.scan(chunks(spark, sf_dir)).select(
+    return rules.scan(fact_chunks(spark, sf_dir)).select(
         "type", "severity", "confidence", "function", "file", "line_number", "file_line",
         "code_snippet", "chunk_id",
     )
@@ -279,7 +284,8 @@ def q_rule_issues(spark, sf_dir):
 
 def _one_rule(rule: rules.Rule):
     def run(spark, sf_dir):
-        return rules.scan(chunks(spark, sf_dir), (rule,)).select(
+        found = fact_chunks(spark, sf_dir) if rule.over == "fact" else chunks(spark, sf_dir)
+        return rules.scan(found, (rule,)).select(
             "type", "severity", "confidence", "function", "file", "line_number",
             "file_line", "code_snippet", "chunk_id",
         )
@@ -304,7 +310,7 @@ SELECT type, function_name AS function,
                       function_name) END AS message
 FROM hit""")
 def q_rule_messages(spark, sf_dir):
-    return rules.scan(chunks(spark, sf_dir)).select("type", "function", "message")
+    return rules.scan(fact_chunks(spark, sf_dir)).select("type", "function", "message")
 
 
 @query(CTES + """
@@ -543,7 +549,7 @@ SELECT 'dna_violation', 'low', 0.75, function_name, chunk_id,
 FROM mark, prof WHERE pattern_name = 'error_handling' AND is_consistent
   AND dominant_value = 'custom_exceptions' AND generic""")
 def q_issue_union(spark, sf_dir):
-    corpus = cut(chunks(spark, sf_dir))
+    corpus = cut(fact_chunks(spark, sf_dir))
     everything = I.union(
         rules=rules.scan(corpus),
         convention=conventions.violations(corpus, conventions.measure(corpus)),

@@ -10,7 +10,7 @@ from codequarry.operators import rules, verification as V
 from codequarry.plans.checkpoints import cut
 
 from . import views
-from .code_queries import CTES, chunks
+from .code_queries import CTES, fact_chunks
 from .registry import query
 from .views import _q, oracle_view, run_sql, table
 
@@ -348,7 +348,7 @@ _MESSAGE = f"""CASE type {' '.join(
 
 def _work(spark, sf_dir):
     # Both tables are read more than once, so they are stored first.
-    corpus = cut(chunks(spark, sf_dir))
+    corpus = cut(fact_chunks(spark, sf_dir))
     found = cut(I.union(rules=rules.scan(corpus)))
     return P.with_chunks(found, corpus)
 

@@ -145,3 +145,25 @@ def test_only_texts_with_a_word_of_the_rule_are_parsed(spark):
     every = sorted(tuple(r) for r in rules.scan(chunks).select(*place).collect())
     alone = sorted(tuple(r) for rule in rules.RULES for r in rules.scan(chunks, (rule,)).select(*place).collect())
     assert every == alone and len(every) >= 8
+
+
+def test_facts_of_a_file_are_those_of_its_chunks(spark):
+    """The parse of a file finds what a parse of each chunk finds, and chunks are not parsed again unless they
+    are parts, or their text by itself may read otherwise."""
+    nested = "class K:\n    @eval(a=[])\n    async def f(p, q={}):\n\n        def g(x):\n            while True:\n                assert x\n" \
+             "                print(x)\n        try:\n            exec(open(p).read())\n        except E:\n            pass   \n"
+    open_end = "def h(p):\n    eval(p)\n    assert p \\\n\n\n"
+    long = "def l(p, a=[]):\n" + "    print(p)\n" * 90 + "\n" + "    eval(p)\n" * 5
+    sources = {"a": nested, "b": open_end, "c": long, "d": "def w(p):\n    x = 1\n    return ｅval(p)\n",
+               "e": "def b(p):\n    x = '\x0c'\n    assert p\n    return p\n", "f": SAMPLE, "g": "def broken(:\n"}
+    files = spark.createDataFrame(
+        [("r", f"r/{k}.py", f"{k}.py", v) for k, v in sources.items()], "repo string, file_path string, rel_path string, content string")
+    plain = C.chunk_functions(parse.functions(parse.parse_files(files)))
+    known = C.chunk_functions(parse.functions(parse.parse_files(files, facts=True)))
+    assert known.drop("facts").columns == plain.columns
+    asked = {r.function_name for r in known.collect() if r.facts is None}
+    assert asked == {"h", "l", "w", "b"}
+    for r in known.where("facts is not null").collect():
+        assert [f.asDict() for f in r.facts] == parse._facts_of(r.code)
+    every = sorted(tuple(r) for r in rules.scan(known).collect())
+    assert every == sorted(tuple(r) for r in rules.scan(plain).collect()) and len(every) >= 10
