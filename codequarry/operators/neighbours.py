@@ -28,6 +28,13 @@ PACK_ROWS = 2_048
 PRODUCT_ROWS = 256
 # Digits that scores are compared with, in every form of the search.
 SCORE_DIGITS = 6
+# Without keys all rows meet all rows: bytes of the index that a task reads and buffers, products of a
+# task, and the fewest queries that are worth a task.
+INDEX_PART_BYTES = 128 * 1024 * 1024
+TASK_PRODUCTS = 2 ** 32
+TASK_QUERIES = 256
+# Index rows that the first best ones come from; later ones are compared with these.
+_FIRST_ROWS = 64
 # Rows of a key that stay together: larger groups are cut into blocks of about as many, by a
 # hash of the id. The index rows of a block (128 MB of 1,000 wide vectors) are buffered by the join.
 BLOCK_ROWS = 8 * PACK_ROWS
@@ -88,22 +95,49 @@ def _running(kept, scores: np.ndarray, ids: np.ndarray, k: int):
 
 def _better(kept: list, units: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int) -> None:
     """:func:`_running` over the rows of ``matrix``, in ``kept`` by lots of ``PRODUCT_ROWS`` queries, so that a product
-    is bounded. A query goes on only if some row comes up to its k-th best, within what rounding can change."""
+    is bounded. Products are taken in single precision first; in double only those of rows that come up to the k-th
+    best of a query, within what rounding can change."""
+    single, rows = units.astype(np.float32), matrix.astype(np.float32)
     for lot, begin in enumerate(range(0, len(units), PRODUCT_ROWS)):
-        scores = units[begin:begin + PRODUCT_ROWS] @ matrix.T
+        end, done = begin + PRODUCT_ROWS, 0
         if lot == len(kept):
-            kept.append(_running(None, np.round(scores, SCORE_DIGITS), ids, k))
-            continue
-        best, best_ids = kept[lot]
-        if best.shape[1] < k:
-            kept[lot] = _running(kept[lot], np.round(scores, SCORE_DIGITS), ids, k)
-            continue
-        least = best.min(axis=1) - 10.0 ** -SCORE_DIGITS
-        # Not below is also what is no number.
-        asked = np.flatnonzero(~(scores < least[:, None]).all(axis=1))
-        if len(asked):
-            best[asked], best_ids[asked] = _running(
-                (best[asked], best_ids[asked]), np.round(scores[asked], SCORE_DIGITS), ids, k)
+            done = min(len(ids), max(k, _FIRST_ROWS))
+            kept.append(_running(None, np.round(units[begin:end] @ matrix[:done].T, SCORE_DIGITS), ids[:done], k))
+        while done < len(ids):
+            # The best of few rows let many through: at first, as many rows go on as went before.
+            stop = 2 * done if done else len(ids)
+            kept[lot] = _step(kept[lot], units[begin:end], single[begin:end], matrix[done:stop], rows[done:stop], ids[done:stop], k)
+            done = stop
+
+
+def _step(kept, units, single, matrix, rows, ids, k: int):
+    """``kept`` of one lot of queries after some more index rows; ``single`` and ``rows`` are the same vectors in single precision."""
+    best, best_ids = kept
+    if best.shape[1] < k:
+        return _running(kept, np.round(units @ matrix.T, SCORE_DIGITS), ids, k)
+    least = best.min(axis=1)
+    # A product of unit rows is off by less than this in single precision, whatever the order of its sum.
+    slack = (units.shape[1] + 8) * 2.0 ** -24 + 10.0 ** -SCORE_DIGITS
+    hits = np.flatnonzero(single @ rows.T >= (least - slack).astype(np.float32)[:, None])
+    at, column = np.divmod(hits, len(ids))
+    asked = np.unique(at)
+    # What is no number counts as the least; only queries that hold such rows can take more of them.
+    blank = np.flatnonzero(np.isnan(least))
+    if len(hits) > 8 * PRODUCT_ROWS or len(blank):
+        asked = np.union1d(asked, blank)
+        best[asked], best_ids[asked] = _running(
+            (best[asked], best_ids[asked]), np.round(units[asked] @ matrix.T, SCORE_DIGITS), ids, k)
+    elif len(hits):
+        scores = np.round(np.einsum("ij,ij->i", units[at], matrix[column]), SCORE_DIGITS)
+        query = np.concatenate([np.repeat(asked, k), at])
+        scores = np.concatenate([best[asked].ravel(), scores])
+        found = np.concatenate([best_ids[asked].ravel(), ids[column]])
+        place = np.unique(found, return_inverse=True)[1].reshape(-1)
+        order = np.lexsort((place, -scores, query))
+        first = np.searchsorted(query[order], asked)
+        top = order[first[:, None] + np.arange(k)]
+        best[asked], best_ids[asked] = scores[top], found[top]
+    return best, best_ids
 
 
 # --- best pattern per chunk ------------------------------------------------------
@@ -344,31 +378,24 @@ def _packed_hits(queries, index, k: int, keys: list[str], tables: int = 0, bits:
     """The k best of each query in each block of the index that shares its keys; a row whose key
     is null shares it with none.
 
-    Blocks follow measured sizes: a group of up to ``BLOCK_ROWS`` rows is one. Without keys there
-    are as many as shuffle partitions at least."""
+    Blocks follow measured sizes: a group of up to ``BLOCK_ROWS`` rows is one. Without keys they are
+    the parts of :func:`_all_hits`."""
     schema = _hit_schema(queries, index)
     if tables:
         queries = _with_buckets(queries, tables, bits, seed)
         index = _with_buckets(index, tables, bits, seed)
         keys = [*keys, "table", "bucket"]
-    if keys:
-        known = F.lit(True)
-        for key in keys:
-            known = known & F.col(key).isNotNull()
-        queries, index = queries.where(known), index.where(known)
-        index_blocks = _block_counts(index, keys)
-        queries = _with_blocks(queries, keys, _block_counts(queries, keys))
-        index = _with_blocks(index, keys, index_blocks)
-    else:
-        keys = ["all"]
-        partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        n = max(partitions, -(-index.count() // BLOCK_ROWS))
-        index = index.withColumn("all", F.lit(0)).withColumn(_BLOCKS, F.lit(n))
-        queries = queries.withColumn("all", F.lit(0)).withColumn(
-            _BLOCKS, F.lit(max(1, -(-queries.count() // BLOCK_ROWS))))
+    if not keys:
+        return _all_hits(queries, index, k, schema)
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    queries, index = queries.where(known), index.where(known)
+    index_blocks = _block_counts(index, keys)
+    queries = _with_blocks(queries, keys, _block_counts(queries, keys))
+    index = _with_blocks(index, keys, index_blocks)
     left = _pack(queries, keys, "query_id", F.col(_BLOCKS)).drop("salt")
-    left = left.withColumn(_BLOCKS, F.lit(n)) if keys == ["all"] else _with_blocks(left, keys, index_blocks)
-    left = left.select(
+    left = _with_blocks(left, keys, index_blocks).select(
         *keys, F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"),
         F.explode(F.sequence(F.lit(0), F.col(_BLOCKS) - 1)).alias("salt"),
     )
@@ -376,6 +403,65 @@ def _packed_hits(queries, index, k: int, keys: list[str], tables: int = 0, bits:
     return _products(left, right, [*keys, "salt"], k, schema)
 
 
+def _number_type(df: DataFrame) -> np.dtype:
+    single = isinstance(df.schema["embedding"].dataType.elementType, t.FloatType)
+    return np.dtype(np.float32 if single else np.float64)
+
+
+def _flat_packs(df: DataFrame, id_column: str, rows: int, parts: int, names: tuple[str, str]) -> DataFrame:
+    """Neighbouring rows as packs of at most ``rows`` rows, dealt to ``parts`` partitions. Vectors stay as they are, so
+    a pack has the size of its rows."""
+    number = _number_type(df)
+    schema = t.StructType([
+        t.StructField(names[0], t.ArrayType(df.schema[id_column].dataType)), t.StructField(names[1], t.BinaryType())])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        wanted = to_arrow_schema(schema)
+        ids, vectors, held = [], [], 0
+
+        def flush():
+            row = [np.concatenate(ids).tolist()], [np.concatenate(vectors).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, wanted)], schema=wanted)
+
+        for batch in batches:
+            begin = 0
+            while begin < batch.num_rows:
+                part = batch.slice(begin, rows - held)
+                begin += part.num_rows
+                held += part.num_rows
+                ids.append(part.column(0).to_numpy(zero_copy_only=False))
+                vectors.append(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(number, copy=False))
+                if held == rows:
+                    yield flush()
+                    ids, vectors, held = [], [], 0
+        if held:
+            yield flush()
+
+    return df.select(id_column, "embedding").mapInArrow(run, schema).repartition(parts)
+
+
+def _all_hits(queries: DataFrame, index: DataFrame, k: int, schema) -> DataFrame:
+    """The k best of each query in each part of the index. Either side is dealt out once: a task reads a
+    part of the queries and a part of the index from where the shuffle left them, and no pack is copied for the
+    pairs that it is in. Parts follow measured sizes."""
+    def told(df):
+        n, width = df.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+        return n, (width or 0) * _number_type(df).itemsize
+
+    asked, _ = told(queries)
+    n, row_bytes = told(index)
+    index_parts = max(1, -(-n * row_bytes // INDEX_PART_BYTES))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    query_parts = max(1, -(-asked * n // (index_parts * TASK_PRODUCTS)), min(2 * cores, -(-asked // TASK_QUERIES)))
+    query_rows = min(PACK_ROWS, max(1, -(-asked // (4 * query_parts))))
+    left = _flat_packs(queries, "query_id", query_rows, query_parts, ("query_ids", "query_matrix"))
+    right = _flat_packs(index, "id", PACK_ROWS, index_parts, ("ids", "matrix"))
+    pairs = left.crossJoin(right.hint("shuffle_replicate_nl"))
+    return pairs.mapInArrow(_pair_products(k, schema, (_number_type(queries), _number_type(index))), schema)
+
+
 def _products(left: DataFrame, right: DataFrame, on: list[str], k: int, schema) -> DataFrame:
     """Hits of query packs in the index packs they meet. A merge join streams its left side, so a
     task sees all index packs of one query pack in a row and hands on k rows per query for them."""
@@ -399,25 +485,30 @@ def _together(kept: list):
     return tuple(np.concatenate(columns) for columns in zip(*kept))
 
 
-def _pair_products(k: int, schema):
+def _pair_products(k: int, schema, numbers: tuple[np.dtype, np.dtype] | None = None):
     """Running top-k over the pairs of a task. Only the best of the query pack at hand are held;
-    if its pairs do not come in a row, more rows leave the task and the top-k is the same."""
+    if its pairs do not come in a row, more rows leave the task and the top-k is the same. Packs hold
+    unit rows, or vectors as they are, of the types ``numbers``."""
+    def units_of(matrix, n: int, number) -> np.ndarray:
+        if number is None:
+            return np.frombuffer(matrix).reshape(n, -1)
+        return _unit_rows(np.frombuffer(matrix, number).reshape(n, -1))
 
     def run(batches):
-        units = query_ids = kept = None
+        held = a = query_ids = kept = None
+        query_number, number = numbers or (None, None)
         for batch in batches:
             columns = [batch.column(c) for c in ("query_ids", "query_matrix", "ids", "matrix")]
             for at in range(batch.num_rows):
                 asked, matrix, ids, rows = (c[at] for c in columns)
                 ids = ids.values.to_numpy(zero_copy_only=False)
-                if units is None or not (matrix.as_buffer().equals(units) and asked.values.equals(query_ids)):
-                    if units is not None:
+                if held is None or not (matrix.as_buffer().equals(held) and asked.values.equals(query_ids)):
+                    if held is not None:
                         yield _hits_batch(query_ids.to_numpy(zero_copy_only=False), _together(kept), schema)
-                    units, query_ids, kept = matrix.as_buffer(), asked.values, []
-                a = np.frombuffer(units).reshape(len(query_ids), -1)
-                b = np.frombuffer(rows.as_buffer()).reshape(len(ids), -1)
-                _better(kept, a, b, ids, k)
-        if units is not None:
+                    held, query_ids, kept = matrix.as_buffer(), asked.values, []
+                    a = units_of(held, len(query_ids), query_number)
+                _better(kept, a, units_of(rows.as_buffer(), len(ids), number), ids, k)
+        if held is not None:
             yield _hits_batch(query_ids.to_numpy(zero_copy_only=False), _together(kept), schema)
 
     return run

@@ -85,6 +85,54 @@ def test_few_rows_leave_the_tasks(spark, monkeypatch):
     same_hits(out, brute(x, x, 2, lambda i, j: group[i] == group[j]))
 
 
+def test_packs_are_not_copied_for_the_pairs_they_are_in(spark, monkeypatch):
+    """Without keys k rows per query and part of the index leave the tasks, whatever the number of shuffle
+    partitions, and either side is dealt out once."""
+    x = vectors(240, 6, 5)
+    df = table(spark, x)
+    queries = df.withColumnRenamed("id", "query_id")
+    assert N._packed_hits(queries, df, 2, []).count() == 240 * 2
+    plan = N._packed_hits(queries, df, 2, [])._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
+    monkeypatch.setattr(N, "INDEX_PART_BYTES", 2_000)  # 240 rows of 24 bytes: three parts
+    monkeypatch.setattr(N, "PACK_ROWS", 16)
+    assert N._packed_hits(queries, df, 2, []).count() == 240 * 3 * 2
+    same_hits(N.nearest(queries, df, 3, packed=True), brute(x, x, 3))
+
+
+def test_packs_keep_types_and_repeated_ids(spark, monkeypatch):
+    """Ids as text, queries in double, an id twice among the queries, equal index rows."""
+    monkeypatch.setattr(N, "PACK_ROWS", 16)
+    monkeypatch.setattr(N, "INDEX_PART_BYTES", 1_000)
+    x = vectors(90, 5, 31)
+    index = table(spark, x).withColumn("id", F.format_string("%03d", "id"))
+    asked = table(spark, x[:40]).select(
+        (F.col("id") % 39).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    got = {(r.query_id, r["rank"]): (r.id, round(r.similarity, 6)) for r in N.nearest(asked, index, 3, packed=True).collect()}
+    hits = brute(x[:40], x, 3)
+    for q in range(39):
+        own = sorted((-s, i) for a, i, s, _ in hits if a % 39 == q)[:3]
+        assert [got[q, n + 1] for n in range(3)] == [(f"{i:03d}", round(float(-s), 6)) for s, i in own]
+    assert len(got) == 39 * 3
+
+
+def test_single_precision_hides_no_neighbour():
+    """Scores that differ in the sixth digit only, many ties, and more rows than go on at first."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((3, 40))
+    rows = N._unit_rows(centre[rng.integers(0, 3, 900)] + 2e-4 * rng.standard_normal((900, 40)))
+    rows[500:560] = rows[20]
+    ids = rng.permutation(900)
+    units = N._unit_rows(centre.repeat(100, axis=0) + 1e-3 * rng.standard_normal((300, 40)))
+    kept = []
+    for begin, end in ((0, 70), (70, 71), (71, 600), (600, 900)):
+        N._better(kept, units, rows[begin:end], ids[begin:end], 5)
+    scores = np.round(units @ rows.T, N.SCORE_DIGITS)
+    best = N._best(scores, ids, 5)
+    got, got_ids = N._together(kept)
+    assert (got_ids == ids[best]).all() and (got == np.take_along_axis(scores, best, 1)).all()
+
+
 def test_rows_of_no_group_match_none(spark):
     x = vectors(30, 4, 11)
     group = [None if i % 3 == 0 else "a" for i in range(30)]
