@@ -70,9 +70,12 @@ def keep_last_wide(
     row in the stored files are reduced, with map-side combine and without reading the rest; the
     rows at the places that are left are then fetched by one hash join, so no wide row is sorted or
     aggregated. Of rows equal in keys and order the one that was stored last is kept. Null is a
-    value like others, in keys and, as the least, in order columns."""
+    value like others, in keys and, as the least, in order columns. The keys are counted first: where none
+    comes twice, the stored rows are the result and are not shuffled."""
     kept = stored(df)
     kept = kept if where is None else kept.where(where)
+    if kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty():
+        return kept.select(df.columns)
     placed = kept.select("*", F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
     last = placed.groupBy(*keys).agg(F.max(F.struct(*order, _FILE, _ROW)).alias("__top"))
     places = last.select(f"__top.{_FILE}", f"__top.{_ROW}").hint("shuffle_hash")

@@ -237,6 +237,17 @@ def test_similar_functions_drop_own_name_after_the_cut(spark):
     assert [(r.function, r.file, r.n) for r in out.collect()] == [("g", "a.py", 1)]
 
 
+def test_index_rows_shuffle_vectors_only_where_ids_repeat(spark):
+    x = [(i, f"f{i}", f"{i}.py", 1, f"code {i}", [1.0, float(i)]) for i in range(50)]
+    columns = "chunk_id long, function_name string, file_path string, start_line int, code string, embedding array<double>"
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    once = N.index_rows(spark.createDataFrame(x, columns))
+    assert "Join" not in plan(once) and sorted(r.code for r in once.collect()) == sorted(r[4] for r in x)
+    twice = N.index_rows(spark.createDataFrame([*x, (7, "f7", "7.py", 9, "later", [2.0, 7.0]), (8, "f8", "8.py", 0, "earlier", [2.0, 8.0])], columns))
+    assert "Join" in plan(twice)
+    assert sorted(r.code for r in twice.collect()) == sorted([*(r[4] for r in x if r[0] != 7), "later"])
+
+
 def test_encoder_failures_lose_the_vector_only(spark):
     def make():
         def encode(texts):
