@@ -26,16 +26,16 @@ def with_chunks(issues: DataFrame, chunks: DataFrame) -> DataFrame:
     keys = shared(["repo", "chunk_id"], issues, chunks)
     place = [c for c in ("rel_path", "func_seq", "part") if c in chunks.columns]
     place = place or ["file_path", "start_line"]
-    # Only chunks with an issue are stored, and their text is not sorted to find the last.
-    asked = chunks.join(issues.select(*keys).distinct(), keys, "left_semi")
+    # Only chunks with an issue are stored, and their text is not sorted to find the last. Of a vector
+    # it is only asked whether there is one, before chunks are shuffled.
+    told = chunks.select(
+        *keys, F.col("function_name").alias("chunk_function"),
+        F.col("file_path").alias("chunk_file"), F.col("code").alias("chunk_code"),
+        has_vector.alias("chunk_has_vector"),
+        *(F.col(c).alias(f"__{c}") for c in place),
+    )
     lookup = keep_last_wide(
-        asked.select(
-            *keys, F.col("function_name").alias("chunk_function"),
-            F.col("file_path").alias("chunk_file"), F.col("code").alias("chunk_code"),
-            has_vector.alias("chunk_has_vector"),
-            *(F.col(c).alias(f"__{c}") for c in place),
-        ),
-        keys, [f"__{c}" for c in place],
+        told.join(issues.select(*keys).distinct(), keys, "left_semi"), keys, [f"__{c}" for c in place],
     ).drop(*(f"__{c}" for c in place)).withColumn("found", F.lit(True))
     joined = spread_lookup(issues, lookup, keys, spread_by=["issue_id"], how="left")
     taint = F.col("type") == "taint_flow"

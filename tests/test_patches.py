@@ -56,6 +56,19 @@ def test_last_chunk_wins_and_lost_issues_drop(spark):
     assert got == {"c": ("new", "new"), "taint_a_b": ("f", "def a")}
 
 
+def test_vectors_of_chunks_are_not_shuffled_for_issues(spark, monkeypatch):
+    plans = []
+    keep = P.keep_last_wide
+    monkeypatch.setattr(P, "keep_last_wide", lambda df, *how: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, *how))
+    chunks = chunk_table(spark, ("c", "old", "a.py", 1, "old")).withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>")).localCheckpoint()
+    bare = chunk_table(spark, ("d", "bare", "a.py", 1, "bare")).withColumn("embedding", F.lit(None).cast("array<float>"))
+    found = I.union(rules=issue(spark).unionByName(issue(spark, chunk_id="d")))
+    got = {r.chunk_id: r.chunk_has_vector for r in P.with_chunks(found, chunks.union(bare)).collect()}
+    assert got == {"c": True, "d": False}
+    # The plan is read from the result down to the sources.
+    assert 0 < plans[0].index("LeftSemi") < plans[0].index("size(")
+
+
 def test_every_type_has_its_template(spark):
     for kind in [*fixed.PATCH_TEMPLATES, "dna_violation"]:
         work = P.with_chunks(I.union(rules=issue(spark, type=kind)), chunk_table(spark, ("c", "f", "a", 1, "x")))
