@@ -8,6 +8,7 @@ from codequarry.config import AnalysisConfig
 from codequarry.errors import SourceTreeError
 from codequarry.operators import chunks as C, parse
 from codequarry.sources import files as S
+from codequarry.sources import results
 from codequarry.sources.results import save_tree
 
 
@@ -180,6 +181,32 @@ def test_tree_written_and_read(spark, tmp_path):
     assert S.scan_tree(spark, str(tmp_path / "empty")).collect() == []
 
 
+def test_more_files_than_lie_in_a_tree_at_once(spark, tmp_path, monkeypatch):
+    """Every file is written, listed and read, and no more than so many lie there at once."""
+    monkeypatch.setattr(results, "TREE_FILES", 60)
+    rows = [(f"a/b{i % 3}/ü{i}.py", f"x = {i}\n") for i in range(200)] + [("tests/t.py", "no"), ("a/n.txt", "no"), ("e.py", None), (None, "lost")]
+    files = spark.createDataFrame(rows, "rel_path string, content string")
+    most = []
+
+    def read(root):
+        most.append(sum(len(names) for _, _, names in os.walk(tmp_path / "t") if any(n.endswith((".py", ".txt")) for n in names)))
+        return S.scan_tree(spark, root).select("rel_path", "length", "body")
+
+    got = {r.rel_path: (r.length, bytes(r.body).decode()) for r in results.through_trees(files, str(tmp_path / "t"), read).collect()}
+    want = {path: (len((text or "").encode()), text or "") for path, text in rows if path and path.endswith(".py") and not path.startswith("tests")}
+    assert got == want
+    assert len(most) > 4 and max(most) < 120  # trees are of about 15 files
+    assert not [name for _, _, names in os.walk(tmp_path / "t") for name in names]
+
+
+def test_few_or_no_files_are_one_tree(spark, tmp_path):
+    read = lambda root: S.scan_tree(spark, root).select("rel_path")
+    one = spark.createDataFrame([("a/b.py", "x\n")], "rel_path string, content string")
+    assert results.through_trees(one, str(tmp_path / "one"), read).collect() == [("a/b.py",)]
+    assert (tmp_path / "one" / "a" / "b.py").read_text() == "x\n"
+    assert results.through_trees(one.where("false"), str(tmp_path / "none"), read).collect() == []
+
+
 def test_scan_of_no_folder(spark, tmp_path):
     with pytest.raises(SourceTreeError):
         S.scan_tree(spark, str(tmp_path / "none"))
